@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,17 @@ def decimal_places(c: Column | str) -> Column:
     return F.coalesce(F.length(F.rtrim(frac, F.lit("0"))), F.lit(0))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    scaled = x * _SPLITTER
+    high = scaled - (scaled - x)
+    return high, x - high
+
+
 def round_half_even(x: Column, places: Column) -> Column:
     """Round the exact binary value of a double, ties to even.
 
@@ -28,20 +41,23 @@ def round_half_even(x: Column, places: Column) -> Column:
     tie) would round up. The product is therefore taken with its rounding error
     (two halves of each factor), and the error decides which side of the tie x is on.
     """
-    p = F.pow(F.lit(10.0), places)
-    hi = x * p
-    xs, ps = x * _SPLITTER, p * _SPLITTER
-    xh, ph = xs - (xs - x), ps - (ps - p)
-    xl, pl = x - xh, p - ph
-    lo = ((xh * ph - hi) + xh * pl + xl * ph) + xl * pl
-    floor = F.rint(hi - F.lit(0.5))
-    floor = F.when(floor > hi, floor - 1).when(hi - floor >= 1, floor + 1).otherwise(floor)
-    off = hi - (floor + F.lit(0.5))
-    up = (off > 0) | ((off == 0) & ((lo > 0) | ((lo == 0) & (F.pmod(floor, F.lit(2.0)) == 1))))
-    # a product that is itself integral may hide a fraction only in its error: no tie there
-    return F.when(F.abs(hi) >= _EXACT_DOUBLE, x).otherwise(
-        F.when(up, floor + 1).otherwise(floor) / p
-    )
+
+    def product(s: Column) -> Column:
+        (xh, xl), (ph, pl) = _halves(s["x"]), _halves(s["p"])
+        hi = s["x"] * s["p"]
+        lo = ((xh * ph - hi) + xh * pl + xl * ph) + xl * pl
+        return F.struct(s["x"].alias("x"), s["p"].alias("p"), hi.alias("hi"), lo.alias("lo"),
+                        F.floor(hi).cast("double").alias("floor"))
+
+    def rounded(s: Column) -> Column:
+        off = s["hi"] - (s["floor"] + 0.5)
+        odd = F.pmod(s["floor"], F.lit(2.0)) == 1
+        up = (off > 0) | ((off == 0) & ((s["lo"] > 0) | ((s["lo"] == 0) & odd)))
+        whole = F.when(up, s["floor"] + 1).otherwise(s["floor"])
+        return F.when(F.abs(s["hi"]) >= _EXACT_DOUBLE, s["x"]).otherwise(whole / s["p"])
+
+    pair = F.struct(x.alias("x"), F.pow(F.lit(10.0), places).alias("p"))
+    return _let(_let(pair, product), rounded)
 
 
 def round_to_reference(src: Column | str, ref: Column | str, method: str = "round") -> Column:

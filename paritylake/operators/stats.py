@@ -90,35 +90,65 @@ def run_totals(rows: DataFrame, feature_count: int, error: str = "error") -> Dat
 _PROFILED = ("count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
 
 
-def profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """One row per column: type, rows, nulls, and count/mean/stddev/quartiles of
-    number columns. One aggregation pass; quartiles are approximate unless `exact`."""
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
+    """Interpolated quantiles by rank in the sorted column; only the wanted ranks leave
+    the executors. One range shuffle per column."""
+    from .merge import with_position
+
+    values = df.select(F.col(quote(column)).cast("double").alias("x")).where("x is not null")
+    ranked = with_position(values, ["x"], "rank")
+    n = ranked.count()
+    if n == 0:
+        return [None] * len(probabilities)
+    spots = [p * (n - 1) for p in probabilities]
+    wanted = sorted({int(s) for s in spots} | {min(int(s) + 1, n - 1) for s in spots})
+    at = {r["rank"]: r["x"] for r in ranked.where(F.col("rank").isin(wanted)).collect()}
+    return [at[int(s)] + (at[min(int(s) + 1, n - 1)] - at[int(s)]) * (s - int(s)) for s in spots]
+
+
+def profile(df: DataFrame, quartiles: str | None = "approx") -> DataFrame:
+    """One row per column: type, rows, nulls, and count/mean/stddev/min/max and
+    quartiles of number columns.
+
+    One aggregation pass. Quartiles: `approx` in the same pass, `exact` with one sort
+    per number column, None leaves them NULL.
+    """
+    if quartiles not in ("approx", "exact", None):
+        raise ValueError(f"unknown quartiles: {quartiles}")
     fields = df.schema.fields
-    quantile = F.percentile if exact else F.percentile_approx
+    cuts = [0.25, 0.5, 0.75]
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = F.col(quote(f.name))
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
         if isinstance(f.dataType, T.NumericType):
             x = c.cast("double")
+            if quartiles == "approx":
+                q = F.percentile_approx(x, cuts)
+            elif quartiles == "exact":
+                q = F.array(*[F.lit(v).cast("double") for v in exact_quantiles(df, f.name, cuts)])
+            else:
+                q = F.array(*[F.lit(None).cast("double")] * 3)
+            if quartiles != "approx":
+                q = F.first(q)
             aggs.append(F.struct(
                 F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("stddev"), F.min(x).alias("min"),
-                F.max(x).alias("max"), quantile(x, [0.25, 0.5, 0.75]).alias("q"),
+                F.stddev_samp(x).alias("stddev"), F.min(x).alias("min"), F.max(x).alias("max"),
+                q.alias("q"),
             ).alias(f"d{i}"))
     wide = df.agg(*aggs)
     rows = []
+    none = F.lit(None).cast("double")
     for i, f in enumerate(fields):
-        number = isinstance(f.dataType, T.NumericType)
-        d = F.col(f"d{i}") if number else None
-        none = F.lit(None).cast("double")
+        d = F.col(f"d{i}") if isinstance(f.dataType, T.NumericType) else None
+        values = {m: none if d is None else d[m] for m in ("count", "mean", "stddev", "min", "max")}
+        for n, m in enumerate(("p25", "p50", "p75")):
+            values[m] = none if d is None else F.get(d["q"], F.lit(n))
         rows.append(F.struct(
             F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("data_type"), F.col("rows"),
             F.col(f"n{i}").alias("null_count"),
-            *[(none if d is None else
-               d["q"][int(m[1:]) // 25 - 1] if m.startswith("p") else d[m]).cast("double").alias(m)
-              for m in _PROFILED],
+            *[values[m].cast("double").alias(m) for m in _PROFILED],
         ))
     return wide.select(F.inline(F.array(*rows)))
 

@@ -70,7 +70,8 @@ def file_order() -> Column:
 
 def csv_health(spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = True,
                sep: str = ",") -> DataFrame:
-    """Per file its rows, header width and the rows of another width."""
+    """Per file its rows, header width, rows of another width and rows without a
+    first cell."""
     names = read_header(spark, path, encoding=encoding, multi_line=multi_line, sep=sep)
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
@@ -80,12 +81,14 @@ def csv_health(spark: SparkSession, path, *, encoding: str = "utf-8", multi_line
         .option("columnPruning", False)  # a pruned scan would not see the row's width
         .schema(schema).csv(path)
     )
-    # keep the record column beside a data column, as the parser insists on
     seen = rows.select(F.col("_metadata.file_path").alias("file"), "c0", _CORRUPT)
+    # the length test is never true; the parser refuses plans that read the record column alone
+    bad = F.col(_CORRUPT).isNotNull() | F.coalesce(F.length("c0") < 0, F.lit(False))
     return seen.groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(names)).alias("header_width"),
-        F.count_if(F.col(_CORRUPT).isNotNull()).alias("bad_rows"),
+        F.count_if(bad).alias("bad_rows"),
+        F.count_if(F.col("c0").isNull()).alias("keyless_rows"),
     )
 
 
@@ -101,6 +104,7 @@ def write_table(
         writer = writer.option("maxRecordsPerFile", max_records)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"').option("encoding", encoding)
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.save(path)
 
 
