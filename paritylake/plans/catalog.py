@@ -891,7 +891,7 @@ def stream_feature_stats(spark, d):
 
 
 @query("stream_window_stats", f"""{_STREAM_SQL},
-closed AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM responses),
+closed AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM cells),
 w AS (SELECT *, date_trunc('day', ts) AS day FROM cells)
 SELECT day, feature, count(*) AS total, count(*) FILTER (same) AS match, count(*) FILTER (NOT same) AS mismatch
 FROM w WHERE day + INTERVAL 1 DAY <= (SELECT mark FROM closed) GROUP BY day, feature""")

@@ -204,7 +204,7 @@ def responses_of(events: DataFrame) -> DataFrame:
         .when(_every(k, 10), F.concat(F.lit('{"retCode":"0","data":{'), inner, F.lit(","), kind, F.lit("}}")))
         .otherwise(F.concat(F.lit('{"retCode":"0","data":{"features":{'), inner, F.lit("},"), kind, F.lit("}}")))
     )
-    return events.select(k.alias("k"), "ts", body.alias("body"))
+    return events.select(k.alias("k"), F.col("ts").cast("timestamp").alias("ts"), body.alias("body"))
 
 
 # state: error, bad, empty, direct or full

@@ -111,13 +111,16 @@ def write_batches(tables: dict[str, object], base_path: str):
     own folder, so every row is written once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        shared = len(tables) > 1
+        if shared:
+            batch.persist()
         try:
             for name, make in tables.items():
                 target = f"{base_path.rstrip('/')}/{name}/batch={batch_id}"
                 make(batch).write.mode("overwrite").parquet(target)
         finally:
-            batch.unpersist()
+            if shared:
+                batch.unpersist()
 
     return write
 
