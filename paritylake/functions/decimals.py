@@ -14,6 +14,8 @@ METHODS = ("none", "round", "double_round", "truncate", "ceil")
 MODES = ("exact", "tolerance", "last_digit", "last_digit_2")
 _SLACK = 1e-10
 _SPLITTER = 134217729.0  # 2**27 + 1: halves the mantissa of a double
+_NEAR_TIE = 1e-3
+_FAR_FROM_ULP = 1e12
 _EXACT_DOUBLE = 4503599627370496.0  # 2**52: no fraction bits above this
 
 
@@ -35,29 +37,32 @@ def _halves(x: Column) -> tuple[Column, Column]:
 
 
 def round_half_even(x: Column, places: Column) -> Column:
-    """Round the exact binary value of a double, ties to even.
-
-    `x * 10**places` loses bits, so values such as 2.675 (in binary just below the
-    tie) would round up. The product is therefore taken with its rounding error
-    (two halves of each factor), and the error decides which side of the tie x is on.
-    """
+    """Round the exact binary value of a double, ties to even."""
+    pair = F.struct(x.alias("x"), F.pow(F.lit(10.0), places).alias("p"))
+    return _let(pair, lambda s: round_scaled(s["x"], s["p"]))
 
-    def product(s: Column) -> Column:
-        (xh, xl), (ph, pl) = _halves(s["x"]), _halves(s["p"])
-        hi = s["x"] * s["p"]
-        lo = ((xh * ph - hi) + xh * pl + xl * ph) + xl * pl
-        return F.struct(s["x"].alias("x"), s["p"].alias("p"), hi.alias("hi"), lo.alias("lo"),
-                        F.floor(hi).cast("double").alias("floor"))
 
-    def rounded(s: Column) -> Column:
-        off = s["hi"] - (s["floor"] + 0.5)
-        odd = F.pmod(s["floor"], F.lit(2.0)) == 1
-        up = (off > 0) | ((off == 0) & ((s["lo"] > 0) | ((s["lo"] == 0) & odd)))
-        whole = F.when(up, s["floor"] + 1).otherwise(s["floor"])
-        return F.when(F.abs(s["hi"]) >= _EXACT_DOUBLE, s["x"]).otherwise(whole / s["p"])
+def round_scaled(x: Column, p: Column) -> Column:
+    """`round_half_even` with the scale as a power of ten. Arguments are used many
+    times: pass columns, not expressions.
 
-    pair = F.struct(x.alias("x"), F.pow(F.lit(10.0), places).alias("p"))
-    return _let(_let(pair, product), rounded)
+    Away from a tie the product tells the answer. Near one, `x * p` has lost the bits
+    that decide (2.675 is in binary just below its tie), so the product is taken with
+    its rounding error, from two halves of each factor.
+    """
+    hi = x * p
+    floor = F.floor(hi).cast("double")
+    off = hi - (floor + 0.5)
+    (xh, xl), (ph, pl) = _halves(x), _halves(p)
+    lo = ((xh * ph - hi) + xh * pl + xl * ph) + xl * pl
+    odd = F.pmod(floor, F.lit(2.0)) == 1
+    up = (off > 0) | ((off == 0) & ((lo > 0) | ((lo == 0) & odd)))
+    return (
+        F.when((F.abs(off) > _NEAR_TIE) & (F.abs(hi) < _FAR_FROM_ULP), F.rint(hi) / p)
+        .when(F.abs(hi) >= _EXACT_DOUBLE, x)
+        .when(up, (floor + 1) / p)
+        .otherwise(floor / p)
+    )
 
 
 def round_to_reference(src: Column | str, ref: Column | str, method: str = "round") -> Column:
@@ -68,20 +73,27 @@ def round_to_reference(src: Column | str, ref: Column | str, method: str = "roun
     x = numeric(src)
     if method == "none":
         return x
-    places = decimal_places(ref)
-    p = F.pow(F.lit(10.0), places)
+    given = F.struct(x.alias("x"), decimal_places(ref).alias("d"), numeric(ref).isNotNull().alias("ok"))
+    return _let(given, lambda s: F.when(s["ok"], round_number(s["x"], s["d"], method)))
+
+
+def round_number(x: Column, places: Column, method: str) -> Column:
+    """V15 for a double and a number of places."""
+    if method not in METHODS:
+        raise ValueError(f"unknown rounding method: {method}")
+    if method == "none":
+        return x
     if method == "round":
-        out = round_half_even(x, places)
-    elif method == "double_round":
-        out = round_half_even(round_half_even(x, places + 1), places)
-    elif method == "truncate":
-        scaled = x * p
+        return round_half_even(x, places)
+    if method == "double_round":
+        return round_half_even(round_half_even(x, places + 1), places)
+    p = F.pow(F.lit(10.0), places)
+    scaled = x * p
+    if method == "truncate":
         whole = F.when(scaled < 0, F.ceil(scaled)).otherwise(F.floor(scaled)).cast("double")
-        out = F.when(F.abs(scaled) >= _EXACT_DOUBLE, x).otherwise(whole / p)
     else:
-        scaled = x * p
-        out = F.when(F.abs(scaled) >= _EXACT_DOUBLE, x).otherwise(F.ceil(scaled).cast("double") / p)
-    return F.when(numeric(ref).isNotNull(), out)
+        whole = F.ceil(scaled).cast("double")
+    return F.when(F.abs(scaled) >= _EXACT_DOUBLE, x).otherwise(whole / p)
 
 
 def diff_ignorable(

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.cells import cells_equal, numbers_equal
-from ..functions.numbers import plain_number, to_number
+from ..functions.cells import numbers_equal, parsed_equal, quickly_equal
+from ..functions.numbers import numeric, plain_number, to_number, unquote
 from ..functions.text import clean, non_empty, quote
 from . import keys as K
 from .skew import HotKeys, SkewPolicy, find_hot_keys, lookup_join
+from .stage import compute
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NUMBERS = (*_WHOLE, T.DoubleType, T.DecimalType)
@@ -334,38 +335,65 @@ class Comparison:
             ln.alias("ln"), rn.alias("rn"), lt.alias("lt"), rt.alias("rt"),
         )
 
-    def _verdict(self) -> Column:
+    @cached_property
+    def _kinds(self) -> set[str]:
         kinds = set()
         for _, lpos, rpos in self.feature_positions:
             if lpos is None or rpos is None:
                 kinds.add("missing" if self.rules.missing_differs else "text")
             else:
                 kinds.add("number" if self._is_typed(lpos, rpos) else "text")
-        text = cells_equal(F.col("c.lt"), F.col("c.rt"), convert=self.style,
-                           exact_integers=self.exact_integers, **self.options)
-        number = numbers_equal(F.col("c.ln"), F.col("c.rn"), **self.options)
-        if kinds == {"text"}:
-            return text
-        if kinds == {"number"}:
-            return number
-        out = F.when(F.col("c.kind") == "missing", False)
-        if "number" in kinds:
-            out = out.when(F.col("c.kind") == "number", number)
-        return out.otherwise(text if "text" in kinds else F.lit(False))
-
-    def _exploded(self, with_rows: bool) -> DataFrame:
-        """All cells of the joined rows; with one extra NULL feature per row to count rows."""
+        return kinds
+
+    def _exploded(self, with_rows: bool = False) -> DataFrame:
+        """All cells of the joined rows as feature, kind, ln, rn, lt, rt; with one extra
+        cell of kind `row` per joined row, to count the rows."""
         cells = [self._cell(*f) for f in self.feature_positions]
         if with_rows:
-            none = F.lit(None)
+            text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
             cells.append(F.struct(
-                none.cast("string").alias("feature"), F.lit("row").alias("kind"),
-                none.cast("double").alias("ln"), none.cast("double").alias("rn"),
-                none.cast("string").alias("lt"), none.cast("string").alias("rt"),
+                text.alias("feature"), F.lit("row").alias("kind"), number.alias("ln"),
+                number.alias("rn"), text.alias("lt"), text.alias("rt"),
             ))
-        joined = self.joined
-        keep = [c for c in joined.columns]
-        return joined.select(*keep, F.explode(F.array(*cells)).alias("c"))
+        return self.joined.select("*", F.inline(F.array(*cells)))
+
+    def _judged(self, with_rows: bool = False, all_cells: bool = False) -> DataFrame:
+        """Cells with `is_match`. Unless `all_cells`, identical ones are dropped first and
+        equal ones last, so that only cells which look different are trimmed and parsed,
+        each once."""
+        zero_nan = self.options["ignore_zero_nan"]
+        kind = F.col("kind")
+        cells = self._exploded(with_rows)
+        counted = kind == "row"
+        quick = quickly_equal(F.col("lt"), F.col("rt"), zero_nan)
+        if not all_cells:
+            identical = F.lit(False)
+            if "text" in self._kinds:
+                identical = (kind == "text") & quick
+            if "number" in self._kinds:
+                same = F.coalesce(F.col("ln") == F.col("rn"), F.lit(False)) & ~F.isnan("ln")
+                identical = identical | ((kind == "number") & same)
+            cells = cells.where(~identical)
+        verdict = F.when(counted | (kind == "missing"), False)
+        if "number" in self._kinds:
+            verdict = verdict.when(kind == "number", numbers_equal(F.col("ln"), F.col("rn"), **self.options))
+        if "text" in self._kinds:
+            def ready(name: str) -> Column:
+                c = F.col(name)
+                return clean(unquote(c, self.style)) if self.style else clean(c)
+
+            cells = compute(cells, ltext=ready("lt"), rtext=ready("rt"))
+            cells = compute(cells, lnum=numeric("ltext"), rnum=numeric("rtext"))
+            parsed = parsed_equal(
+                F.col("ltext"), F.col("rtext"), F.col("lnum"), F.col("rnum"),
+                exact_integers=self.exact_integers, **self.options,
+            )
+            verdict = verdict.when(quick, True).otherwise(parsed) if all_cells else verdict.otherwise(parsed)
+        else:
+            verdict = verdict.otherwise(F.lit(False))
+        if all_cells:
+            return cells.withColumn("is_match", verdict)
+        return cells.where(counted | ~verdict)
 
     def _context_columns(self) -> list[Column]:
         out = []
@@ -381,7 +409,7 @@ class Comparison:
         shown = to_number(t, self.style) if self.style else (
             clean(t) if self.mode == "offline" else t
         )
-        return F.when(F.col("c.kind") == "number", plain_number(F.col(number))).otherwise(shown)
+        return F.when(F.col("kind") == "number", plain_number(F.col(number))).otherwise(shown)
 
     def _key_output(self) -> list[Column]:
         return [F.col(k).alias(n) for k, n in zip(self._k, self.key_names)]
@@ -389,12 +417,9 @@ class Comparison:
     def cells(self) -> DataFrame:
         """Every compared cell: keys, feature, both values, is_match. As large as the
         input itself; meant for further aggregation."""
-        df = self._exploded(with_rows=False)
-        return df.select(
-            *self._key_output(), F.col("c.feature").alias("feature"),
-            self._shown("c.lt", "c.ln").alias("left_value"),
-            self._shown("c.rt", "c.rn").alias("right_value"),
-            self._verdict().alias("is_match"),
+        return self._judged(all_cells=True).select(
+            *self._key_output(), "feature", self._shown("lt", "ln").alias("left_value"),
+            self._shown("rt", "rn").alias("right_value"), "is_match",
         )
 
     def diffs(self) -> DataFrame:
@@ -406,11 +431,10 @@ class Comparison:
         drv = self._side(self._drv)
         order = [drv.column(i).alias(f"o{n}") for n, i in enumerate(self._driver_order)]
         once = self.rules.per_key and not self.unique_driver
-        df = self._exploded(with_rows=False).where(~self._verdict()).select(
-            *self._k, F.col("c.feature").alias("feature"),
-            self._shown("c.lt", "c.ln").alias("left_value"),
-            self._shown("c.rt", "c.rn").alias("right_value"),
-            *self._context_columns(), *(order if once else []),
+        df = self._judged().select(
+            *self._k, "feature", self._shown("lt", "ln").alias("left_value"),
+            self._shown("rt", "rn").alias("right_value"), *self._context_columns(),
+            *(order if once else []),
         )
         if once:
             df = K.dedupe_last(df, [*self._k, "feature"], [f"o{n}" for n in range(len(order))])
@@ -420,8 +444,7 @@ class Comparison:
 
     def diff_keys(self) -> DataFrame:
         """The distinct keys that have any difference."""
-        df = self._exploded(with_rows=False).where(~self._verdict()).select(*self._k).distinct()
-        return df.select(*self._key_output())
+        return self._judged().select(*self._k).distinct().select(*self._key_output())
 
     def stats(self) -> DataFrame:
         """A1: feature, total, match, mismatch, one row per compared feature.
@@ -430,9 +453,7 @@ class Comparison:
         aggregated; the shuffles carry differing (key, feature) pairs and one partial
         count per task.
         """
-        marked = self._exploded(with_rows=True).where(
-            (F.col("c.kind") == "row") | ~self._verdict()
-        ).select(*self._k, F.col("c.feature").alias("feature"))
+        marked = self._judged(with_rows=True).select(*self._k, "feature")
         if self.rules.per_key and not self.unique_driver:
             owner = [F.when(F.col("feature").isNotNull(), F.col(k)).alias(k) for k in self._k]
             per = marked.select(*owner, "feature").groupBy(*self._k, "feature").agg(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import float_text, to_double, to_number
 from ..functions.text import clean, col, is_null_token, non_empty, quote
 from . import keys as K
+from .stage import compute
 
 Path = tuple[str, ...]
 
@@ -29,6 +30,7 @@ LEAD_COLUMNS = (
 )
 
 _ITEM = "[]"  # path step into the items of a list; object keys carry a "." in front
+_WHOLE_DOUBLE = r"^DECIMAL\((\d|1[0-8]),0\)$"  # 1.0 in the text; integers are BIGINT
 _MAX_PATHS = 200_000
 
 
@@ -76,41 +78,46 @@ def names_of(path: Path) -> tuple[str, ...]:
     return tuple(s[1:] for s in path if s != _ITEM)
 
 
-def _kind(v: Column, arrays: bool) -> Column:
-    s = F.schema_of_variant(v)
-    listed = s.startswith("ARRAY<")
-    of_objects = F.schema_of_variant(F.try_variant_get(v, "$[0]", "variant")).startswith("OBJECT<")
-    out = (
-        F.when(s == "OBJECT<>", "object")
-        .when(s.startswith("OBJECT<"), "+object")
-    )
-    if arrays:
-        out = out.when(listed & F.coalesce(of_objects, F.lit(False)), "+list")
-    return (
-        out.when(listed, "list").when(s == "VOID", "null").when(s == "BOOLEAN", "bool")
-        .when(s.rlike(r"^DECIMAL\((\d|1[0-8]),0\)$"), "whole").otherwise("plain")
-    )
-
-
 def path_rows(docs: DataFrame, doc: str, depth: int, arrays: bool = False) -> DataFrame:
     """One row per leaf of every document: path, kind. Nodes deeper than `depth` stay
-    open (kind starts with "+")."""
+    open (kind starts with "+").
+
+    Each level carries only the type text of its nodes; what that text means is worked
+    out once, after the last level.
+    """
     spark = docs.sparkSession
     v = F.col(quote(doc))
     rows = docs.where(v.isNotNull()).select(
-        v.alias("node"), F.array().cast("array<string>").alias("path"), _kind(v, arrays).alias("kind")
+        v.alias("node"), F.array().cast("array<string>").alias("path"),
+        F.schema_of_variant(v).alias("type"),
     )
+    opened = _open_type(F.col("type"), F.col("node"), arrays)
     for _ in range(depth):
-        rows = rows.withColumn("open", F.when(F.col("kind").startswith("+"), F.col("node")))
+        rows = rows.select("path", "type", "node", F.when(opened, F.col("node")).alias("open"))
         rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("open").outer()))
         stepped = F.col("pos").isNotNull()
         step = F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit(_ITEM))
         rows = rows.select(
-            F.when(stepped, F.col("value")).otherwise(F.col("node")).alias("node"),
+            F.when(stepped, F.col("value")).alias("node"),
             F.when(stepped, F.array_append("path", step)).otherwise(F.col("path")).alias("path"),
-            F.when(stepped, _kind(F.col("value"), arrays)).otherwise(F.col("kind")).alias("kind"),
+            F.when(stepped, F.schema_of_variant("value")).otherwise(F.col("type")).alias("type"),
         )
-    return rows.select("path", "kind")
+    t = F.col("type")
+    kind = (
+        F.when(t == "OBJECT<>", "object")
+        .when(_open_type(t, F.col("node"), arrays), "+open")
+        .when(t.startswith("ARRAY<"), "list").when(t == "VOID", "null").when(t == "BOOLEAN", "bool")
+        .when(t.rlike(_WHOLE_DOUBLE), "whole").otherwise("plain")
+    )
+    return rows.select("path", kind.alias("kind"))
+
+
+def _open_type(t: Column, node: Column, arrays: bool) -> Column:
+    out = t.startswith("OBJECT<") & (t != "OBJECT<>")
+    if arrays:  # lists whose first item is an object are looked into
+        first = F.schema_of_variant(F.try_variant_get(node, "$[0]", "variant"))
+        out = out | (t.startswith("ARRAY<") & F.coalesce(first.startswith("OBJECT<"), F.lit(False)))
+    return out
 
 
 def discover(
@@ -169,7 +176,7 @@ def text_of(v: Column, kinds: frozenset[str] = frozenset({"bool", "whole"})) ->
     if "bool" in kinds:
         out = F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(text))
     if "whole" in kinds:
-        whole = F.schema_of_variant(v).rlike(r"^DECIMAL\((\d|1[0-8]),0\)$")
+        whole = F.schema_of_variant(v).rlike(_WHOLE_DOUBLE)
         shown = F.concat(text, F.lit(".0"))
         out = F.when(whole, shown) if out is None else out.when(whole, shown)
     return text if out is None else out.otherwise(text)
@@ -226,12 +233,12 @@ def parse_json_column(df: DataFrame, column: str, keys, doc: str = "doc") -> tup
     names = df.columns
     parts = [non_empty(names[i]) for i in K.resolve_all(names, keys)]
     v = F.col(quote(doc))
-    parsed = df.select("*", parse(column).alias(doc))
+    parsed = compute(df, **{doc: parse(column)})  # parsed once, though filtered on
     reason = (
         F.when(F.coalesce(*parts).isNull(), "no_key")
         .when(is_null_token(column), "empty")
         .when(v.isNull(), "invalid")
-        .when(~is_object(v), "not_object")
+        .when(~clean(column).startswith("{"), "not_object")
     )
     return (
         parsed.where(reason.isNull()),
@@ -331,7 +338,7 @@ def json_to_wide(
     # only the source text is shuffled; parsing again costs less than moving parsed values
     keyed = rows.select(*[quote(n) for n in names], *parts)
     last = K.dedupe_last(keyed, [f"__k{i}" for i in range(len(parts))], [names[i] for i in _refs(names, order_by)])
-    last = last.withColumn("__doc", parse(column)).withColumn("__nodes", features_node("__doc"))
+    last = compute(compute(last, __doc=parse(column)), __nodes=features_node("__doc"))
     columns = _node_columns(catalog, column, convert)
     base = [n for n in names if n != column]
     out = [
@@ -455,8 +462,8 @@ def body_to_wide(
     bad body leaves the features NULL; a path named like a base column overrides it."""
     for name in (*base, body):
         K.resolve(df.columns, name)
-    rows = df.select(*[quote(b) for b in base], parse(body).alias("__doc"))
-    rows = rows.withColumn("__doc", F.when(is_object(F.col("__doc")), F.col("__doc")))
+    shaped = clean(body).startswith("{")
+    rows = compute(df, keep=list(base), __doc=F.when(shaped, parse(body)))
     columns = _dotted_columns(rows, "__doc", ".", None, catalog)
     out = [
         F.coalesce(columns[b], F.col(quote(b)).cast("string")).alias(b) if b in columns
@@ -650,7 +657,7 @@ def convert_envelope(df: DataFrame, column: str, doc: str = "converted") -> Data
     new_data = F.when(is_object(features), rebuilt(data, "features", new_inner)).otherwise(new_inner)
     states = F.transform(F.map_values("__inner"), counted)
     return (
-        df.withColumn("__v", parse(column)).withColumn("__inner", inner)
+        compute(compute(df, __v=parse(column)), __inner=inner)
         .select(
             *[quote(c) for c in df.columns],
             F.when(F.col("__inner").isNotNull(), F.to_json(rebuilt(v, "data", new_data)))

@@ -13,6 +13,7 @@ from ..functions.text import quote
 from . import documents as D
 from . import keys as K
 from .skew import SkewPolicy, find_hot_keys, lookup_join
+from .stage import compute
 
 
 def render(v: Column, convert: bool = False) -> Column:
@@ -50,7 +51,7 @@ def _attach(df: DataFrame, responses: DataFrame, keys, response_keys, body: str,
     )
     hot = find_hot_keys(rows.select(*k), k, skew)
     looked = looked.withColumn("__seen", F.lit(True))
-    joined = lookup_join(rows, looked, k, "left", hot).withColumn("__doc", D.parse("__body"))
+    joined = compute(lookup_join(rows, looked, k, "left", hot), __doc=D.parse("__body"))
     doc = F.col("__doc")
     error = (
         F.when(F.col("__seen").isNull(), "no response")
@@ -65,7 +66,7 @@ def _documents(responses: DataFrame, body: str) -> DataFrame:
     docs = responses
     if "error" in responses.columns:
         docs = docs.where(F.col("error").isNull())
-    docs = docs.select(D.parse(body).alias("__doc"))
+    docs = compute(docs, keep=[], __doc=D.parse(body))
     return docs.where(D.is_object(F.col("__doc")) & D.at(F.col("__doc"), ["_error"]).isNull())
 
 

@@ -158,11 +158,11 @@ times AS (
 
 def decimals(spark: SparkSession, d: str) -> DataFrame:
     """Source with four decimals that never sits on a rounding tie; reference as text
-    with 0-3 places, off by 0-2 units of its last place."""
+    with 0-3 places, off by 0-4 units of its last place."""
     m = F.round(F.col("l_extendedprice") * 100).cast("bigint") * 10 + 1
     p = F.pmod(F.col("l_linenumber"), F.lit(4))
     unit = F.pow(F.lit(10), p).cast("bigint")
-    r = F.floor(m / F.pow(F.lit(10), 4 - p)).cast("bigint") + F.col("l_partkey") % 3
+    r = F.floor(m / F.pow(F.lit(10), 4 - p)).cast("bigint") + F.col("l_partkey") % 5
     whole = F.floor(r / unit).cast("bigint")
     frac = F.lpad((r % unit).cast("string"), p, "0")
     ref = F.when(p == 0, whole.cast("string")).otherwise(F.concat_ws(".", whole.cast("string"), frac))
@@ -178,7 +178,7 @@ decimals AS (
          CASE WHEN p = 0 THEN CAST(r AS VARCHAR)
               ELSE CAST(r // u AS VARCHAR) || '.' || lpad(CAST(r % u AS VARCHAR), p, '0') END AS ref, u,
          CAST(pow(10, 4 - p) AS BIGINT) AS cut
-  FROM (SELECT *, m // CAST(pow(10, 4 - p) AS BIGINT) + l_partkey % 3 AS r, CAST(pow(10, p) AS BIGINT) AS u
+  FROM (SELECT *, m // CAST(pow(10, 4 - p) AS BIGINT) + l_partkey % 5 AS r, CAST(pow(10, p) AS BIGINT) AS u
         FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + 1 AS m,
                      CAST(l_linenumber % 4 AS INTEGER) AS p FROM lineitem)))
 """

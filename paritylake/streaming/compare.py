@@ -11,6 +11,7 @@ from ..functions.cells import cells_equal
 from ..functions.text import quote
 from ..operators import documents as D
 from ..operators import keys as K
+from ..operators.stage import compute
 
 STATUS_ERROR = "error"
 
@@ -25,7 +26,7 @@ def parse_stream(stream: DataFrame, body: str = "body", error: str | None = None
         F.when(~D.is_object(doc), "response is no JSON object"),
         D.text_of(D.at(doc, ["_error"])),
     )
-    out = stream.withColumn("doc", D.parse(body))
+    out = compute(stream, doc=D.parse(body))
     return out.withColumn(STATUS_ERROR, why)
 
 
