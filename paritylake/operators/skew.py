@@ -46,7 +46,7 @@ class SkewPolicy:
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate, or None where it cannot be read."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # not a classic session: no estimate
         return None
 
