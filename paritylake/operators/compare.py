@@ -317,45 +317,62 @@ class Comparison:
             return False
         return isinstance(lt, _NUMBERS) and isinstance(rt, _NUMBERS)
 
-    def _cell(self, name: str, lpos: int | None, rpos: int | None) -> Column:
-        """One cell pair. Number columns stay doubles: text is made for differences only."""
-        text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
-        lcol = self.left.column(lpos) if lpos is not None else None
-        rcol = self.right.column(rpos) if rpos is not None else None
-        if lcol is not None and rcol is not None and self._is_typed(lpos, rpos):
-            kind, ln, rn, lt, rt = "number", lcol.cast("double"), rcol.cast("double"), text, text
-        else:
-            absent = (lcol is None or rcol is None) and self.rules.missing_differs
-            kind = "missing" if absent else "text"
-            ln = rn = number
-            lt = lcol.cast("string") if lcol is not None else text
-            rt = rcol.cast("string") if rcol is not None else text
-        return F.struct(
-            F.lit(name).alias("feature"), F.lit(kind).alias("kind"),
-            ln.alias("ln"), rn.alias("rn"), lt.alias("lt"), rt.alias("rt"),
-        )
+    def _kind(self, lpos: int | None, rpos: int | None) -> str:
+        if lpos is None or rpos is None:
+            return "missing" if self.rules.missing_differs else "text"
+        return "number" if self._is_typed(lpos, rpos) else "text"
 
     @cached_property
     def _kinds(self) -> set[str]:
-        kinds = set()
-        for _, lpos, rpos in self.feature_positions:
-            if lpos is None or rpos is None:
-                kinds.add("missing" if self.rules.missing_differs else "text")
-            else:
-                kinds.add("number" if self._is_typed(lpos, rpos) else "text")
-        return kinds
+        return {self._kind(lpos, rpos) for _, lpos, rpos in self.feature_positions}
 
     def _exploded(self, with_rows: bool = False) -> DataFrame:
         """All cells of the joined rows as feature, kind, ln, rn, lt, rt; with one extra
-        cell of kind `row` per joined row, to count the rows."""
-        cells = [self._cell(*f) for f in self.feature_positions]
+        cell of kind `row` per joined row, to count the rows.
+
+        Number columns stay doubles (ln, rn): text is made for differences only. The
+        cells come from parallel arrays, which keeps the plan small for wide tables.
+        """
+        names: list[Column] = []
+        kinds: list[Column] = []
+        sides: dict[str, list] = {"lt": [], "rt": [], "ln": [], "rn": []}
+        text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+        def value(side: _Side, pos: int | None, as_type: str):
+            if pos is None:
+                return text
+            c = side.column(pos)
+            return c if side.fields[pos].dataType.simpleString() == as_type else c.cast(as_type)
+
+        for name, lpos, rpos in self.feature_positions:
+            kind = self._kind(lpos, rpos)
+            names.append(F.lit(name))
+            kinds.append(F.lit(kind))
+            typed = kind == "number"
+            sides["lt"].append(text if typed else value(self.left, lpos, "string"))
+            sides["rt"].append(text if typed else value(self.right, rpos, "string"))
+            sides["ln"].append(value(self.left, lpos, "double") if typed else number)
+            sides["rn"].append(value(self.right, rpos, "double") if typed else number)
         if with_rows:
-            text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
-            cells.append(F.struct(
-                text.alias("feature"), F.lit("row").alias("kind"), number.alias("ln"),
-                number.alias("rn"), text.alias("lt"), text.alias("rt"),
-            ))
-        return self.joined.select("*", F.inline(F.array(*cells)))
+            names.append(text)
+            kinds.append(F.lit("row"))
+            for part, fill in (("lt", text), ("rt", text), ("ln", number), ("rn", number)):
+                sides[part].append(fill)
+        arrays = {"feature": F.array(*names).cast("array<string>")}
+        mixed = len(self._kinds) > 1
+        if mixed:
+            arrays["kind"] = F.array(*kinds)
+        if self._kinds != {"number"}:
+            arrays.update({n: F.array(*sides[n]).cast("array<string>") for n in ("lt", "rt")})
+        if "number" in self._kinds:
+            arrays.update({n: F.array(*sides[n]).cast("array<double>") for n in ("ln", "rn")})
+        zipped = F.arrays_zip(*[c.alias(n) for n, c in arrays.items()])
+        out = self.joined.select("*", F.inline(zipped).alias(*arrays))
+        if not mixed:
+            only = next(iter(self._kinds), "text")
+            out = out.withColumn("kind", F.when(F.col("feature").isNull(), "row").otherwise(only))
+        missing = {"lt": text, "rt": text, "ln": number, "rn": number}
+        return out.withColumns({n: c for n, c in missing.items() if n not in arrays})
 
     def _judged(self, with_rows: bool = False, all_cells: bool = False) -> DataFrame:
         """Cells with `is_match`. Unless `all_cells`, identical ones are dropped first and
