@@ -31,7 +31,7 @@ LEAD_COLUMNS = (
 
 _ITEM = "[]"  # path step into the items of a list; object keys carry a "." in front
 _WHOLE_DOUBLE = r"^DECIMAL\((\d|1[0-8]),0\)$"  # 1.0 in the text; integers are BIGINT
-_MAX_PATHS = 200_000
+MAX_NAMES = 200_000
 
 
 # -- catalog ----------------------------------------------------------------------
@@ -129,9 +129,9 @@ def discover(
     set nested deeper than `depth` is read again with twice the depth.
     """
     while True:
-        found = path_rows(docs, doc, depth, arrays).distinct().limit(_MAX_PATHS + 1).collect()
-        if len(found) > _MAX_PATHS:
-            raise ValueError(f"more than {_MAX_PATHS} distinct paths: keys look like data")
+        found = path_rows(docs, doc, depth, arrays).distinct().limit(MAX_NAMES + 1).collect()
+        if len(found) > MAX_NAMES:
+            raise ValueError(f"more than {MAX_NAMES} distinct paths: keys look like data")
         if not any(r["kind"].startswith("+") for r in found):
             break
         if depth >= max_depth:
@@ -143,6 +143,15 @@ def discover(
     return Catalog({p: frozenset(k) for p, k in kinds.items()})
 
 
+def distinct_names(names: DataFrame) -> list[str]:
+    """The sorted distinct texts of a one-column table of column names. Fails, rather
+    than cutting the list, when the names turn out to be data."""
+    found = names.distinct().limit(MAX_NAMES + 1).collect()
+    if len(found) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} distinct names: keys look like data")
+    return sorted(r[0] for r in found)
+
+
 # -- reading values ---------------------------------------------------------------
 
 

@@ -118,8 +118,7 @@ def batch_enrich(
     if features is None:
         inner = _documents(responses, body).select(D.unwrap("__doc").alias("node"))
         members = F.try_variant_get("node", "$", "map<string,variant>")
-        found = inner.select(F.explode(F.map_keys(members)).alias("f")).distinct().collect()
-        features = sorted(r["f"] for r in found)
+        features = D.distinct_names(inner.select(F.explode(F.map_keys(members))))
     rows = _attach(df, responses, keys, response_keys, body, order_by, skew)
     kept = K.keep_columns(df, keep).columns
     node = D.unwrap("__doc")

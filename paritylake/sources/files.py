@@ -131,8 +131,10 @@ def records_to_table(df: DataFrame, column: str, order_by: str | None = None) ->
     order = F.col(quote(order_by)) if order_by else F.monotonically_increasing_id()
     keys = (
         df.select(order.alias("o"), F.posexplode(F.json_object_keys(F.col(quote(column)))).alias("p", "k"))
-        .groupBy("k").agg(F.min(F.struct("o", "p")).alias("first")).orderBy("first").collect()
+        .groupBy("k").agg(F.min(F.struct("o", "p")).alias("first")).orderBy("first").limit(D.MAX_NAMES + 1).collect()
     )
+    if len(keys) > D.MAX_NAMES:
+        raise ValueError(f"more than {D.MAX_NAMES} distinct keys: they look like data")
     rows = df.select(D.parse(column).alias("doc"))
     return rows.select(*[D.text_of(D.at(F.col("doc"), [r["k"]])).alias(r["k"]) for r in keys])
 
