@@ -32,6 +32,7 @@ LEAD_COLUMNS = (
 _ITEM = "[]"  # path step into the items of a list; object keys carry a "." in front
 _WHOLE_DOUBLE = r"^DECIMAL\((\d|1[0-8]),0\)$"  # 1.0 in the text; integers are BIGINT
 MAX_NAMES = 200_000
+ANY_KIND = frozenset({"bool", "whole"})
 
 
 # -- catalog ----------------------------------------------------------------------
@@ -53,6 +54,10 @@ class Catalog:
     def at(self, path: Path) -> frozenset[str]:
         return self.kinds.get(path, frozenset())
 
+    def value_kinds(self) -> frozenset[str]:
+        """All kinds that occur anywhere."""
+        return frozenset().union(*self.kinds.values()) if self.kinds else frozenset()
+
     def has_children(self, path: Path) -> bool:
         return any(len(p) > len(path) and p[: len(path)] == path for p in self._prefixed(path))
 
@@ -177,7 +182,7 @@ def at(v: Column, names: Sequence[str], as_type: str = "variant") -> Column:
     return F.try_variant_get(v, where, as_type)
 
 
-def text_of(v: Column, kinds: frozenset[str] = frozenset({"bool", "whole"})) -> Column:
+def text_of(v: Column, kinds: frozenset[str] = ANY_KIND) -> Column:
     """A value as text: True/False, doubles with their point, nested values as JSON.
     `kinds` names what may occur, to leave out tests that cannot apply."""
     text = F.try_variant_get(v, "$", "string")
@@ -598,7 +603,7 @@ def _first_in_document(paths, node, source: Column) -> Column:
 
 def lookup(v: Column | str, name: str, catalog: Catalog, text: Column | str | None = None) -> Column:
     """J7 as text, NULL when not found."""
-    return text_of(lookup_node(v, name, catalog, text))
+    return text_of(lookup_node(v, name, catalog, text), catalog.value_kinds())
 
 
 def nested_columns(docs: DataFrame, doc: str, wanted: Sequence[str], *, keep: Sequence,

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import float_text, to_double
-from ..functions.text import quote
+from ..functions.text import clean, quote
 from . import documents as D
 from . import keys as K
 from .skew import SkewPolicy, find_hot_keys, lookup_join
 from .stage import compute
 
 
-def render(v: Column, convert: bool = False) -> Column:
-    """V5: a response value as text; missing is `null`, nested is JSON text."""
-    text = D.text_of(v)
+def render(v: Column, convert: bool = False, kinds: frozenset[str] = D.ANY_KIND) -> Column:
+    """V5: a response value as text; missing is `null`, nested is JSON text. `kinds` as
+    in `documents.text_of`."""
+    text = D.text_of(v, kinds)
     if convert:
         s = F.schema_of_variant(v)
         scalar = ~(s.startswith("OBJECT<") | s.startswith("ARRAY<") | (s == "BOOLEAN"))
@@ -56,18 +57,19 @@ def _attach(df: DataFrame, responses: DataFrame, keys, response_keys, body: str,
     error = (
         F.when(F.col("__seen").isNull(), "no response")
         .when(F.col("__failed").isNotNull(), F.col("__failed"))
-        .when(~D.is_object(doc), "response is no JSON object")
+        .when(doc.isNull() | ~clean("__body").startswith("{"), "response is no JSON object")
         .when(D.at(doc, ["_error"]).isNotNull(), D.text_of(D.at(doc, ["_error"])))
     )
-    return joined.withColumn("__error", error)
+    return compute(joined, __error=error)
 
 
 def _documents(responses: DataFrame, body: str) -> DataFrame:
     docs = responses
     if "error" in responses.columns:
         docs = docs.where(F.col("error").isNull())
-    docs = compute(docs, keep=[], __doc=D.parse(body))
-    return docs.where(D.is_object(F.col("__doc")) & D.at(F.col("__doc"), ["_error"]).isNull())
+    shaped = clean(body).startswith("{")
+    docs = compute(docs, keep=[], __doc=F.when(shaped, D.parse(body)))
+    return docs.where(F.col("__doc").isNotNull() & D.at(F.col("__doc"), ["_error"]).isNull())
 
 
 def enrich(
@@ -89,17 +91,18 @@ def enrich(
         targets = K.resolve_all(names, features)
     rows = _attach(df, responses, keys, response_keys, body, order_by, skew)
     doc, failed = F.col("__doc"), F.col("__error").isNotNull()
+    kinds = catalog.value_kinds()
     out = []
     for i, n in enumerate(names):
         c = F.col(quote(n))
         if i in targets and n.lower() != "pt":
-            value = render(D.lookup_node(doc, n, catalog, F.col("__body")), convert)
+            value = render(D.lookup_node(doc, n, catalog, F.col("__body")), convert, kinds)
             c = F.when(failed, c.cast("string")).otherwise(value)
         out.append(c.alias(n))
     paths = D.path_names(catalog)
     leaves = sorted({D.names_of(p)[-1] for p in D.feature_paths(catalog)})
     for leaf in leaves:
-        value = render(D.at(doc, D.names_of(paths[leaf])), convert)
+        value = render(D.at(doc, D.names_of(paths[leaf])), convert, kinds)
         name = leaf if leaf not in names else f"{leaf}_response"
         out.append(F.when(failed, F.lit("")).otherwise(value).alias(name))
     return rows.select(*out, F.col("__error").alias("error"))
