@@ -6,8 +6,8 @@ word boundaries and outside every match of an exception phrase that covers it. T
 the matched weights and that sum per word of the text go into a logistic curve.
 
 Training reads labelled rows only: word counts by label are made by Spark over all of
-them; the greedy choice of terms then works on the documents that hold one of at most
-`max_candidates` words, and the curve on at most `max_fit` documents in hash order.
+them and give the terms, at most `max_terms`; exception phrases and the curve come from at
+most `max_fit` documents in hash order.
 
 Null or empty texts have no match and get the curve's value at zero. Rows without an id
 are never used for training and not held out. Repeated rows are scored one by one; of
@@ -45,15 +45,21 @@ _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _FOLD = {ord(k): v for k, v in {**_LETTERS, **_SIGNS, "l": "i"}.items()}
 _FOLD |= {0xFF01 + i: _FOLD.get(0x21 + i, chr(0x21 + i)).lower() for i in range(94)}  # full-width forms
 _FOLD |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}  # invisible characters
+_BYTES = bytes(ord(_FOLD.get(c, chr(c))) if c < 128 else c for c in range(256))
+_OTHERS = re.compile("[" + "".join(re.escape(chr(c)) for c in _FOLD if c > 127) + "]")
 _LOOSE_SIGNS = re.compile(r"(?<!\w)[@$€]+(?!\w)|(?<=\w)[@$€]+(?![\w@$€])|(?<![\w@$€])[@$€]+(?=\W|$)")
 _WORDS = re.compile(r"[^\W_]+")
+#: A term that ends so is the stem of words: it matches their beginnings. Its "contexts" are those words.
+STEM, _STEM = "*", 4
 
 
 def fold(text: str) -> str:
     text = text.lower()
     if "$" in text or "@" in text or "€" in text:
         text = _LOOSE_SIGNS.sub(" ", text)  # decoration around a word is no letter
-    return text.translate(_FOLD)
+    if not text.isascii():
+        text = _OTHERS.sub(lambda m: _FOLD[ord(m[0])] or "", text)
+    return text.encode("utf-8", "surrogatepass").translate(_BYTES).decode("utf-8", "surrogatepass")
 
 
 @dataclass
@@ -69,7 +75,7 @@ class Model:
         if self._auto is None:
             a = ahocorasick.Automaton()
             for w in self.weights:
-                a.add_word(w, (len(w), w))
+                a.add_word(w.rstrip(STEM), (len(w.rstrip(STEM)), w))
             for p in self.exceptions:
                 if p not in self.weights:
                     a.add_word(p, (len(p), None))
@@ -84,7 +90,9 @@ class Model:
         found, spared, n = [], [], len(folded)
         for end, (size, term) in self.automaton().iter(folded):
             start = end - size + 1
-            if (start and folded[start - 1].isalnum()) or (end + 1 < n and folded[end + 1].isalnum()):
+            if start and folded[start - 1].isalnum():
+                continue
+            if end + 1 < n and folded[end + 1].isalnum() and not (term and term.endswith(STEM)):
                 continue
             (spared if term is None else found).append((start, end, term))
         if spared:
@@ -120,44 +128,42 @@ def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("text").alias("text")).select("h", "toxic", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, max_candidates: int = 2000, max_terms: int = 500,
+def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, min_odds: float = 4.0, max_terms: int = 500,
           max_fit: int = 20_000, exceptions: tuple[str, ...] = ()) -> Model:
     rows = written(_training_rows(docs, labels), "toxic-train")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            count: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            count: Counter = Counter()
             for y, t in zip(b["toxic"], b["text"]):
-                count[int(y > 0)].update(set(_WORDS.findall(fold(t))))
-            yield pd.DataFrame([(w, y, n) for y in (0, 1) for w, n in count[y].items()], columns=["word", "y", "n"])
+                found, seen = _WORDS.findall(fold(t)), {}
+                for before, w in zip(["", *found], found):
+                    if w not in seen:
+                        seen[w] = before
+                        if len(w) > _STEM:
+                            seen.setdefault(w[:_STEM] + STEM, w)
+                count.update((w, int(y > 0), before if y > 0 else "") for w, before in seen.items())
+            yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["word", "y", "before", "n"])
 
     sizes = {int(r["y"]): int(r["n"]) for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return Model({}, curve=(-4.0 if neg or not pos else 4.0, 0.0, 0.0))
-    p, q = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
-    counted = rows.mapInPandas(words, "word string, y int, n bigint")
+    counted = rows.mapInPandas(words, "word string, y int, before string, n bigint").groupBy("word", "before").agg(
+        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
+    # a word of one much-copied text stands after the same word every time; an insult does not
+    least = F.when(F.endswith("word", F.lit(STEM)), F.lit(min_docs)).otherwise(F.greatest(F.lit(min_docs), F.col("p") / 2))
+    spread = F.col("contexts") >= least
     listed = (
-        counted.groupBy("word").agg(p.alias("p"), q.alias("q")).where(F.col("p") >= min_docs)
-        .withColumn("odds", odds).where("odds > 1.5").withColumn("gain", F.col("p") * F.col("odds"))
-        .orderBy(F.desc("gain"), "word").limit(max_candidates).collect()
+        counted.groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("p") > 0).alias("contexts"))
+        .where((F.col("p") >= min_docs) & spread).withColumn("odds", odds).where(F.col("odds") > min_odds)
+        .orderBy(F.desc(F.col("p") * F.col("odds")), "word").limit(max_terms).collect()
     )
-    odds_of = {r["word"]: float(r["odds"]) for r in listed}
-
-    # documents with a candidate; greedy cover keeps words that explain toxic texts no chosen word explains
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for h, y, t in zip(b["h"], b["toxic"], b["text"]):
-                seen = sorted(set(_WORDS.findall(fold(t))) & odds_of.keys())
-                if seen:
-                    out.append((h, int(y > 0), seen))
-            yield pd.DataFrame(out, columns=["h", "y", "seen"])
-
-    some = rows.orderBy("h").limit(max_fit) if rows.count() > max_fit else rows
-    seen = some.mapInPandas(hits, "h bigint, y int, seen array<string>").where("y = 1").select("seen").limit(max_fit).collect()
-    weights = _cover([set(r["seen"]) for r in seen], odds_of, min_docs, max_terms)
+    weights = {r["word"]: float(r["odds"]) for r in listed}
+    # a word and a stem of the same letters would share an entry; words that a listed stem covers go
+    weights = {w: v for w, v in weights.items() if w.endswith(STEM) or (w[:_STEM] + STEM) not in weights}
+    some = rows.orderBy("h").limit(max_fit)
     model = Model(weights, tuple(fold(e) for e in exceptions))
     model = Model(weights, tuple(sorted({*model.exceptions, *_contexts(some, model)})))
 
@@ -170,20 +176,6 @@ def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, max_candidat
     return Model(model.weights, model.exceptions, _logistic(pts))
 
 
-def _cover(texts: list[set[str]], odds: dict[str, float], least: int, most: int) -> dict[str, float]:
-    left, chosen = texts, {}
-    while left and len(chosen) < most:
-        counts = Counter(w for t in left for w in t if w not in chosen)
-        if not counts:
-            break
-        word, n = max(counts.items(), key=lambda x: (x[1] * odds[x[0]], x[0]))
-        if n < least:
-            break
-        chosen[word] = odds[word]
-        left = [t for t in left if word not in t]
-    return chosen
-
-
 def _contexts(rows: DataFrame, model: Model) -> list[str]:
     """Two-word phrases around a term that nearly only clean texts use."""
 
@@ -192,7 +184,7 @@ def _contexts(rows: DataFrame, model: Model) -> list[str]:
             c: Counter = Counter()
             for y, t in zip(b["toxic"], b["text"]):
                 w = _WORDS.findall(fold(t))
-                at = [i for i, x in enumerate(w) if x in model.weights]
+                at = [i for i, x in enumerate(w) if x in model.weights or x[:_STEM] + STEM in model.weights]
                 c.update({(f"{w[j]} {w[j + 1]}", int(y > 0)) for i in at for j in (i - 1, i) if 0 <= j < len(w) - 1})
             yield pd.DataFrame([(p, y, n) for (p, y), n in c.items()], columns=["phrase", "y", "n"])
 
