@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritylake.llm import packing, quality
+from paritylake.llm import decontaminate, jaccard, packing, quality, suffix_dedup
 from paritylake.llm.common import table, written
 from paritylake.llm.queries import tokenizer_path
 
@@ -19,6 +20,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_policy(quality.ledger(docs, keep=DOC_COLUMNS)).where("kept").select(*DOC_COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar documents: that with the smallest id."""
+    found = jaccard.join(docs).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__first")).where("__id <> __first").distinct()
+    drop = written(found.select("__id"), "near-duplicates")
+    kept = docs.join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
+    return kept.select(*DOC_COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that documents with smaller ids hold. A character whose
+    bytes are cut apart goes whole; n_chars is counted anew."""
+    kept = suffix_dedup.dedup(docs.select(*DOC_COLUMNS), with_kept=True)
+    names = [c for c in DOC_COLUMNS if c not in ("text", "n_chars")]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [t.decode("utf-8", "ignore") for t in b.column("kept").to_pylist()]
+            columns = {"text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else b.column(c) for c in DOC_COLUMNS], names=list(DOC_COLUMNS))
+
+    types = dict(docs.select(*names).dtypes) | {"text": "string", "n_chars": "bigint"}
+    return kept.select("kept", *names).mapInArrow(decode, ", ".join(f"{c} {types[c]}" for c in DOC_COLUMNS))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontaminate.find(docs.select(*DOC_COLUMNS), table(spark, sf_dir, "benchmark"))
+    return found.where("n_hit = 0").select(*DOC_COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
     return packing.pieces(docs, tokenizer_path())
@@ -26,6 +57,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", decontaminated),
     ("packing", packed),
 ]
 

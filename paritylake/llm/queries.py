@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, packing, quality, toxicity, url_filter, warc
+from . import decontaminate, html_text, jaccard, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -27,6 +27,16 @@ def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, d, "labels")))
 
 
+def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontaminate.find(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     led = quality.ledger(table(spark, d, "documents"), keep=("doc_id",))
     return quality.apply_policy(led).select(
@@ -43,6 +53,10 @@ def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op9_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.join(table(spark, d, "documents"))
+
+
 def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pieces(table(spark, d, "documents"), tokenizer_path())
 
@@ -50,9 +64,12 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_html": op7_html,
     "op8_url_filter": op8_url_filter,
+    "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
 }
 
@@ -109,4 +126,26 @@ SELECT page_id, host, path, rule, CASE
     WHEN regexp_matches(path, '(?s)(^/|[^0-9A-Za-z])(casino|cgi-bin|porn|viagra|xxx)([^0-9A-Za-z]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLES: dict[str, str] = {"op1_warc": _WARC_SQL, "op6_quality": _QUALITY_SQL, "op8_url_filter": _URL_SQL}
+_DECONTAMINATION_SQL = r"""
+WITH dw AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), bw AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), k AS (
+    SELECT item_id, w, least(10, len(w)) AS width, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0
+), win AS (SELECT DISTINCT item_id, width, array_to_string(w[i : i + width - 1], ' ') AS gram FROM k
+), dk AS (
+    SELECT doc_id, s.width, w, unnest(range(1, len(w) - s.width + 2)) AS i FROM dw, (SELECT DISTINCT width FROM win) s WHERE len(w) >= s.width
+), m AS (
+    SELECT doc_id, i, dk.width, item_id FROM dk JOIN win ON dk.width = win.width AND array_to_string(w[i : i + dk.width - 1], ' ') = gram
+), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM m) GROUP BY doc_id
+), it AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": _WARC_SQL, "op3_decontamination": _DECONTAMINATION_SQL, "op6_quality": _QUALITY_SQL, "op8_url_filter": _URL_SQL}

@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, min_odds: fl
     spread = F.col("contexts") >= least
     listed = (
         counted.groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("p") > 0).alias("contexts"))
-        .where((F.col("p") >= min_docs) & spread).withColumn("odds", odds).where(F.col("odds") > min_odds)
+        .where((F.col("p") >= min_docs) & spread).withColumn("odds", odds)
+        .where(F.col("odds") > F.when(F.endswith("word", F.lit(STEM)), 1.5 * min_odds).otherwise(min_odds))
         .orderBy(F.desc(F.col("p") * F.col("odds")), "word").limit(max_terms).collect()
     )
     weights = {r["word"]: float(r["odds"]) for r in listed}

@@ -58,7 +58,7 @@ def _tokens(host: Column, path: Column) -> Column:
 
 def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """Give every rule the token that the fewest URLs hold ("" if it has none)."""
-    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    wanted = written(rules.select(F.explode("tokens").alias("token")).distinct(), "rule-tokens")
     held = urls.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
     counts = held.join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     by_token = rules.select("rule", "kind", F.explode("tokens").alias("token")).join(counts, "token", "left")
