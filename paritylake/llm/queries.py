@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, html_text, jaccard, lm_score, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def op5_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    return lm_score.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     led = quality.ledger(table(spark, d, "documents"), keep=("doc_id",))
     return quality.apply_policy(led).select(
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_quality": op6_quality,
     "op7_html": op7_html,
     "op8_url_filter": op8_url_filter,
