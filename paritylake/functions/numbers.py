@@ -16,7 +16,7 @@ from .text import (
 # The layout of a decimal number in text, digits may be grouped with "_".
 _DIGITS = r"\d+(?:_\d+)*"
 NUMBER = rf"^([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)$"
-_PLAIN_LIMIT = 1e20
+_PART = 2.0**40
 
 # What `unquote` removes. Every pattern needs one character to remain, so a cell of
 # nothing but quote marks stays as it is.
@@ -51,14 +51,22 @@ def unquote(c: Column | str, style: str = "fast") -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """V6: a double without exponent; integral values as integers."""
-    integral = (x == F.floor(x)) & (F.abs(x) < 9e18)
+    """V6: a double without exponent; integral values as integers, others to 17 places.
+
+    Integers are shown by their exact value up to 2**103, above that by the digits that
+    tell the double apart, followed by zeros.
+    """
+    whole = (F.abs(x) >= 2.0**53) | (x == F.floor(x))  # floor() stops at the largest bigint
+    high = F.floor(x / _PART)
+    low = x - high.cast("double") * _PART
+    exact = high.cast("decimal(20,0)") * F.lit(int(_PART)).cast("decimal(14,0)") + low.cast("decimal(14,0)")
     digits = F.regexp_replace(x.try_cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
-    tiny = (x != 0) & (F.abs(x) < 1e-17)
     return (
         F.when(F.isnan(x), F.lit("nan"))
-        .when(integral, x.cast("bigint").cast("string"))
-        .when((F.abs(x) >= _PLAIN_LIMIT) | tiny, F.format_string("%.17g", x))
+        .when(whole & (F.abs(x) < 9e18), x.cast("bigint").cast("string"))
+        .when(whole & (F.abs(x) < 2.0**102), exact.cast("string"))
+        .when(F.abs(x) >= 2.0**102, F.format_string("%.0f", x))
+        .when((x < 0) & (digits == "0"), F.lit("-0"))
         .otherwise(digits)
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import float_text, to_double, to_number
@@ -160,8 +160,18 @@ def distinct_names(names: DataFrame) -> list[str]:
 # -- reading values ---------------------------------------------------------------
 
 
-def parse(c: Column | str) -> Column:
-    return F.try_parse_json(col(c).cast("string"))
+# What Python services write: NaN and infinities are numbers, single quotes are not taken.
+_JSON = {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"}
+_REPEATED = "spark.sql.variant.allowDuplicateKeys"
+
+
+def parse(c: Column | str, kind: str = "variant") -> Column:
+    """JSON text as a variant, NULL where it is none. NaN and infinities are kept, and of
+    repeated keys the last counts: for that the session's setting is turned on."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_REPEATED) != "true":
+        spark.conf.set(_REPEATED, "true")
+    return F.from_json(col(c).cast("string"), kind, _JSON)
 
 
 def is_object(v: Column) -> Column:

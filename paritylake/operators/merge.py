@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,8 @@ from pyspark.sql.window import Window
 from ..functions.text import quote
 from . import keys as K
 from .compare import Comparison, _positions, _Side
-from .skew import SALT, HotKeys, SkewPolicy, find_hot_keys, lookup_join, replicate, salt_count, spread
+from .stage import shared_dir
+from .skew import SkewPolicy, find_hot_keys, full_join, lookup_join
 
 
 def merge_rows(dfs: Sequence[DataFrame], by_name: bool = False) -> DataFrame:
@@ -32,43 +32,27 @@ def merge_rows(dfs: Sequence[DataFrame], by_name: bool = False) -> DataFrame:
     return out
 
 
-def _full_join(left: DataFrame, right: DataFrame, keys: list[str], policy: SkewPolicy) -> DataFrame:
-    """Full outer join by key. With hot keys, which no full join can split, it is put
-    together from a salted inner join and the two one-sided rests."""
-    lhot, rhot = find_hot_keys(left, keys, policy), find_hot_keys(right, keys, policy)
-    if not lhot and not rhot:
-        return left.join(right, keys, "full")
-    salts = salt_count(left)
-    if len(lhot.hashes) >= len(rhot.hashes):
-        big, small, hot = left, right, HotKeys(lhot.hashes)
-    else:
-        big, small, hot = right, left, HotKeys(rhot.hashes)
-    matched = spread(big, keys, hot, salts).join(replicate(small, keys, hot, salts), [*keys, SALT])
-    lrest = lookup_join(left, right.select(*keys).distinct(), keys, "left_anti", lhot)
-    rrest = lookup_join(right, left.select(*keys).distinct(), keys, "left_anti", rhot)
-    columns = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]
-    out = matched.select(*columns)
-    for rest in (lrest, rrest):
-        out = out.unionByName(rest, allowMissingColumns=True)
-    return out.select(*columns)
-
-
 def merge_columns(
     dfs: Sequence[DataFrame], keys: Sequence[str] | None, *, coalesce_duplicates: bool = False,
-    null_safe: bool = False, order_by: Sequence[Sequence[str]] | None = None,
+    null_safe: bool = False, order_by: Sequence[Sequence[str]] | None = None, last_per_key: bool = False,
     skew: SkewPolicy = SkewPolicy(),
 ) -> tuple[DataFrame, list[str]]:
     """M2: columns of several tables side by side, matched by key (chained full outer).
 
     Repeated non-key columns are dropped and the first copy kept, even where it is NULL
     unless `coalesce_duplicates`; the second result lists them. NULL keys match nothing
-    unless `null_safe`. Without keys rows are matched by position (M3): `order_by` then
+    unless `null_safe`. A key repeated in two tables gives all pairs of its rows; with
+    `last_per_key` every table is first reduced to the last row of a key in its `order_by`.
+    Without keys rows are matched by position (M3): `order_by` then
     gives each table's order, see `with_position`.
     """
     if not keys:
         return _merge_by_position(dfs, order_by)
     keys = list(keys)
     removed: list[str] = []
+    if last_per_key:
+        orders = order_by or [()] * len(dfs)
+        dfs = [K.dedupe_last(df, keys, list(order)) for df, order in zip(dfs, orders)]
     out = dfs[0]
     for n, df in enumerate(dfs[1:], 1):
         have = set(out.columns)
@@ -81,7 +65,7 @@ def merge_columns(
         if null_safe:
             out = _null_safe_join(out, df, keys, skew)
         else:
-            out = _full_join(out, df, keys, skew)
+            out = full_join(out, df, keys, skew)
         if coalesce_duplicates:
             for c in double:
                 out = out.withColumn(c, F.coalesce(quote(c), quote(f"__again{n}_{c}"))).drop(f"__again{n}_{c}")
@@ -99,7 +83,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], policy:
 
     types = {f.name: f.dataType for f in left.schema.fields}
     on = [*flags, *[f"__key_{k}" for k in keys]]
-    out = _full_join(marked(left).drop(*keys), marked(right).drop(*keys), on, policy)
+    out = full_join(marked(left).drop(*keys), marked(right).drop(*keys), on, policy)
     restored = [
         F.when(~F.col(f), F.col(f"__key_{k}").cast(types[k])).alias(k) for k, f in zip(keys, flags)
     ]
@@ -107,17 +91,10 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], policy:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names in `spark.checkpoint.dir`.
-    A local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Checkpoint into the shared folder the cluster names in `spark.checkpoint.dir`."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -164,6 +141,7 @@ def merged_view(
     left_features: int | Sequence[K.Ref] | None = None, right_features: int | Sequence[K.Ref] | None = None,
     suffixes: tuple[str, str] = ("_left", "_right"), key_policy: str = "any", order_by=(),
     exclude: Sequence[str] = K.EXCLUDE_RESPONSE, fill_keys: bool = False, skew: SkewPolicy = SkewPolicy(),
+    labels: tuple[dict[int, str], dict[int, str]] = ({}, {}),
 ) -> DataFrame:
     """M4: both tables in full, side by side.
 
@@ -171,19 +149,21 @@ def merged_view(
     sorted by name, left-only, right-only, and `time_now` last if either side has it.
     A left row takes the last right row of its key; right rows without a left row follow
     with empty left columns (`fill_keys=True` shows their key); rows without a key appear
-    once, right ones not at all.
+    once, right ones not at all. `labels` renames features by position before they are paired.
     """
     l, r = _Side(left, "l"), _Side(right, "r")
     lk = K.resolve_all(l.names, left_keys if left_keys is not None else keys)
     rk = K.resolve_all(r.names, right_keys if right_keys is not None else keys)
     lf_all, rf_all = _positions(l, left_features, lk, ()), _positions(r, right_features, rk, ())
     lf = _positions(l, left_features, lk, exclude)
-    shared = {l.names[i] for i in lf_all}
+    lname = lambda i: labels[0].get(i, l.names[i])
+    rname = lambda i: labels[1].get(i, r.names[i])
+    shared = {lname(i) for i in lf_all}
     barred = {e.lower() for e in exclude}
     rf = [i for i in rf_all if r.names[i].lower() != "time_now"
-          and not (r.names[i].lower() in barred and r.names[i] in shared)]
-    lpos = {l.names[i]: i for i in lf}
-    rpos = {r.names[i]: i for i in rf}
+          and not (r.names[i].lower() in barred and rname(i) in shared)]
+    lpos = {lname(i): i for i in lf}
+    rpos = {rname(i): i for i in rf}
     lnow = next((i for i in lf_all if l.names[i].lower() == "time_now"), None)
     rnow = next((i for i in rf_all if r.names[i].lower() == "time_now"), None)
 
@@ -214,8 +194,8 @@ def merged_view(
             else:
                 cols.append(cell(l, i, n, l_live))
         pairs = [(n, lpos[n], rpos[n]) for n in sorted(lpos) if n in rpos]
-        pairs += [(l.names[i], i, None) for i in lf if l.names[i] not in rpos]
-        pairs += [(r.names[i], None, i) for i in rf if r.names[i] not in lpos]
+        pairs += [(lname(i), i, None) for i in lf if lname(i) not in rpos]
+        pairs += [(rname(i), None, i) for i in rf if rname(i) not in lpos]
         if lnow is not None or rnow is not None:
             pairs.append(("time_now", lnow, rnow))
         for n, li, ri in pairs:

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import quote
 
 SALT = "__salt"
-_TRACKED = 10_000  # sketch entries; a key above 0.1 % of the rows cannot be missed
-_LISTED = 200
+_TRACKED = (10_000, 1_000_000)  # least and most entries of the sketch
 
 
 @dataclass(frozen=True)
@@ -31,83 +33,108 @@ class HotKeys:
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When to look for hot keys.
-
-    A key is hot above `share` of the rows. Inputs whose plan is estimated below
-    `min_bytes` are not probed: one task can hold them whole. `enabled=False` never
-    probes.
-    """
+    """When keys are split. A key is hot above `share` of the rows: by default above what one
+    shuffle partition would get if all were equal. `enabled=False` never looks."""
 
     enabled: bool = True
-    share: float = 0.002
-    min_bytes: int = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, or None where it cannot be read."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # not a classic session: no estimate
-        return None
+    share: float | None = None
 
 
 def find_hot_keys(df: DataFrame, keys: list[str], policy: SkewPolicy) -> HotKeys:
+    """All keys above the policy's share. There are at most 1/share of them, and the sketch keeps
+    20 entries for each, so none is missed."""
     if not policy.enabled:
         return HotKeys()
-    size = estimated_bytes(df)
-    if size is not None and size < policy.min_bytes:
-        return HotKeys()
-    valid = _has_key(keys)
+    share = policy.share or 1 / salt_count(df)
+    listed = int(1 / share) + 1
+    tracked = max(listed, min(max(20 * listed, _TRACKED[0]), _TRACKED[1]))
     row = (
-        df.select(F.when(valid, F.xxhash64(*keys)).alias("h"))
+        df.select(F.when(_has_key(keys), _key_hash(keys)).alias("h"))
         .agg(
-            F.expr(f"approx_top_k(h, {_LISTED}, {_TRACKED})").alias("top"),
+            F.expr(f"approx_top_k(h, {listed}, {tracked})").alias("top"),
             F.count("h").alias("keyed"),
             F.count(F.lit(1)).alias("n"),
         )
         .first()
     )
-    floor = max(row["n"] * policy.share, 2)
+    floor = max(row["n"] * share, 2)
     hashes = tuple(e["item"] for e in (row["top"] or []) if e["item"] is not None and e["count"] >= floor)
     return HotKeys(hashes, row["n"] - row["keyed"] >= floor)
 
 
+def _key_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*[F.col(quote(k)) for k in keys])
+
+
 def _has_key(keys: list[str]) -> Column:
-    cond = F.col(keys[0]).isNotNull()
+    cond = F.col(quote(keys[0])).isNotNull()
     for k in keys[1:]:
-        cond = cond & F.col(k).isNotNull()
+        cond = cond & F.col(quote(k)).isNotNull()
     return cond
 
 
 def _is_hot(keys: list[str], hot: HotKeys) -> Column:
     if not hot.hashes:
         return F.lit(False)
-    return F.coalesce(F.xxhash64(*keys).isin(*hot.hashes), F.lit(False))
+    return F.coalesce(_key_hash(keys).isin(*hot.hashes), F.lit(False))
 
 
 def salt_count(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def spread(df: DataFrame, keys: list[str], hot: HotKeys, salts: int) -> DataFrame:
-    """Add a salt: the input partition for hot rows, 0 for the rest.
+def own_salt(df: DataFrame, salts: int) -> Column:
+    """A salt from the whole row and its partition: the same when a task is run again, and
+    spread out even where a shuffle has gathered a key. Only equal rows of one partition
+    share it."""
+    plain = [F.col(quote(f.name)) for f in df.schema.fields if not _unhashable(f.dataType)]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(salts)).cast("int")
+
+
+def _unhashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_unhashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _unhashable(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def salted(df: DataFrame, keys: list[str], own: HotKeys, copied: HotKeys, salts: int) -> DataFrame:
+    """Add a salt: rows of `own` hot keys (and key-less rows, where those are many) get one of
+    their own, rows of `copied` ones are repeated for every salt, the rest get 0."""
+    dealt = _is_hot(keys, own)
+    if own.spread_nulls:
+        dealt = dealt | ~_has_key(keys)
+    if not copied.hashes:
+        return df.withColumn(SALT, F.when(dealt, own_salt(df, salts)).otherwise(F.lit(0)))
+    places = (
+        F.when(_is_hot(keys, copied), F.sequence(F.lit(0), F.lit(salts - 1)))
+        .when(dealt, F.array(own_salt(df, salts))).otherwise(F.array(F.lit(0)))
+    )
+    return df.withColumn(SALT, F.explode(places))
 
-    The partition number is a fixed property of the row's place in the input, so a
-    task that is run again salts its rows as before; equal copies of a row still part.
-    """
-    chosen = _is_hot(keys, hot)
-    if hot.spread_nulls:
-        chosen = chosen | ~_has_key(keys)
-    own = F.pmod(F.spark_partition_id(), F.lit(salts))
-    return df.withColumn(SALT, F.when(chosen, own).otherwise(F.lit(0)))
 
+def full_join(left: DataFrame, right: DataFrame, keys: list[str], policy: SkewPolicy) -> DataFrame:
+    """Full outer join by key in one join, hot and missing keys of both sides spread.
 
-def replicate(df: DataFrame, keys: list[str], hot: HotKeys, salts: int) -> DataFrame:
-    """One copy per salt of the rows of hot keys, one copy with salt 0 of the rest."""
-    copies = F.when(_is_hot(keys, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    return df.withColumn(SALT, F.explode(copies))
+    A hot key is dealt out on one side and copied on the other. A copy that meets no row
+    in its part is dropped: the key is hot, so it meets some in another part. Each input
+    occurs once in the plan. A key repeated on both sides gives all its pairs.
+    """
+    both = left.select(*map(quote, keys)).union(right.select(*map(quote, keys))).schema
+    cast = lambda df: df.withColumns({f.name: F.col(quote(f.name)).cast(f.dataType) for f in both.fields})
+    if [left.schema[k].dataType for k in keys] != [right.schema[k].dataType for k in keys]:
+        left, right = cast(left), cast(right)
+    lhot, rhot = find_hot_keys(left, keys, policy), find_hot_keys(right, keys, policy)
+    if not lhot and not rhot:
+        return left.join(right, keys, "full")
+    rhot = HotKeys(tuple(h for h in rhot.hashes if h not in lhot.hashes), rhot.spread_nulls)
+    salts = salt_count(left)
+    l = salted(left, keys, lhot, rhot, salts).withColumn("__left", F.lit(True))
+    r = salted(right, keys, rhot, lhot, salts).withColumn("__right", F.lit(True))
+    lone = (F.col("__left").isNull() & _is_hot(keys, lhot)) | (F.col("__right").isNull() & _is_hot(keys, rhot))
+    names = [*keys, *[c for df in (left, right) for c in df.columns if c not in keys]]
+    return l.join(r, [*keys, SALT], "full").where(~lone).select(*map(quote, names))
 
 
 def lookup_join(
@@ -120,6 +147,6 @@ def lookup_join(
     if not hot or (how in ("inner", "left_semi") and not hot.hashes):
         return driver.join(lookup, keys, how)
     salts = salt_count(driver)
-    salted = spread(driver, keys, hot, salts)
-    copies = replicate(lookup, keys, hot, salts)
-    return salted.join(copies, [*keys, SALT], how).drop(SALT)
+    dealt = salted(driver, keys, hot, HotKeys(), salts)
+    copies = salted(lookup, keys, HotKeys(), hot, salts)
+    return dealt.join(copies, [*keys, SALT], how).drop(SALT)

@@ -1,8 +1,13 @@
-"""Columns that are computed once."""
+"""Columns that are computed once, and the folder all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import os
+import shutil
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import quote
@@ -18,3 +23,26 @@ def compute(df: DataFrame, keep: list[str] | None = None, **columns: Column) ->
     kept = ["*"] if keep is None else [F.col(quote(k)) for k in keep]
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select(*kept, F.inline(F.array(row)))
+
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`. Only a local session, which is one process, may go
+    without: it gets one temporary folder, removed when the process ends."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, _local[sc.applicationId], ignore_errors=True)
+    return _local[sc.applicationId]
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new path below it."""
+    return f"{shared_dir(spark)}/{name}-{os.urandom(6).hex()}"

@@ -21,6 +21,7 @@ from ..operators.detail import diff_detail, error_report, only_report
 from ..operators.enrich import batch_enrich, enrich
 from ..operators.merge import merge_columns, merge_rows, merged_view, tagged_view
 from ..operators.reconcile import decimal_reconcile
+from ..operators.stage import fresh_dir
 from ..sources import files
 from . import fixtures as X
 from .scenarios import outcome_counts, run_scenarios
@@ -788,18 +789,58 @@ def run_history(spark, d):
     return S.run_delta(e, by=["user_id"], start="ts", duration="value", status="event_type")
 
 
+# -- documents that strict parsers refuse, keys that hold half of a table ---------------
+
+@query("json_nan_documents", """SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN '-Infinity' ELSE CAST(o_custkey AS VARCHAR) END AS v,
+CAST(o_orderkey % 7 AS VARCHAR) AS r FROM orders""")
+def json_nan_documents(spark, d):
+    k = F.col("o_orderkey")
+    v = F.when(k % 3 == 0, "NaN").when(k % 3 == 1, "-Infinity").otherwise(F.col("o_custkey").cast("string"))
+    body = F.concat(F.lit('{"v":'), v, F.lit(',"r":"first","r":'), (k % 7).cast("string"), F.lit("}"))
+    docs = X.table(spark, d, "orders").select(k.alias("k"), D.parse(body).alias("doc"))
+    return docs.select("k", D.get_path("doc", "v").alias("v"), D.get_path("doc", "r").alias("r"))
+
+
+@query("read_responses", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'NaN' ELSE CAST(o_custkey AS VARCHAR) END AS v FROM orders
+WHERE o_orderkey // 1000 % 9 <> 4""")
+def responses_in_files(spark, d):
+    """Files of one array each; every ninth file is cut off and rejected."""
+    k, part = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 1000)
+    v = F.when(k % 5 == 0, "NaN").otherwise(F.col("o_custkey").cast("string"))
+    one = F.concat(F.lit('{"k":'), k.cast("string"), F.lit(',"v":'), v, F.lit("}"))
+    arrays = X.table(spark, d, "orders").groupBy(part.alias("part")).agg(F.concat_ws(",\n", F.collect_list(one)).alias("items"))
+    text = F.concat(F.lit("["), "items", F.when(F.col("part") % 9 == 4, "").otherwise("]"))
+    path = f"{fresh_dir(spark, 'responses')}/files"
+    arrays.select("part", text.alias("value")).write.partitionBy("part").text(path)
+    doc = D.parse("body")
+    return files.read_responses(spark, path).select(D.get_path(doc, "k").cast("bigint").alias("k"), D.get_path(doc, "v").alias("v"))
+
+
+@query("merge_columns_hot_both", """WITH l AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE l_orderkey * 10 + l_linenumber END AS k, l_partkey AS a FROM lineitem),
+r AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 31 WHEN o_orderkey = 1 THEN 1 ELSE o_orderkey * 10 + 1 END AS k, o_custkey AS c FROM orders)
+SELECT k, a, c FROM l FULL JOIN r USING (k)""")
+def merge_hot_both(spark, d):
+    """One key holds half of the left rows, another half of the right ones."""
+    line, order = F.col("l_linenumber"), F.col("o_orderkey")
+    left = X.table(spark, d, "lineitem").select(
+        F.when(line % 2 == 0, 1).otherwise(F.col("l_orderkey") * 10 + line).cast("bigint").alias("k"), F.col("l_partkey").alias("a"))
+    right = X.table(spark, d, "orders").select(
+        F.when(order % 2 == 0, 31).when(order == 1, 1).otherwise(order * 10 + 1).cast("bigint").alias("k"), F.col("o_custkey").alias("c"))
+    return merge_columns([left, right], ["k"])[0]
+
+
 # -- files and scenarios ----------------------------------------------------------------
 
 @query("csv_table", f"""WITH {X.ORDERS_SQL} SELECT CAST(k AS VARCHAR) AS k, price, status, priority, cust FROM orders_b""")
 def csv_table(spark, d):
-    path = f"{X.work_dir(spark, 'csv')}/orders"
+    path = f"{fresh_dir(spark, 'csv')}/orders"
     files.write_table(X.orders_b(spark, d), path, fmt="csv")
     return files.read_table(spark, path, multi_line=False)
 
 
 @query("csv_health", """SELECT count(*) AS rows, 3 AS header_width, count(*) FILTER (o_orderkey % 10 IN (3, 7)) AS bad_rows FROM orders""")
 def csv_health(spark, d):
-    path = f"{X.work_dir(spark, 'csv')}/ragged"
+    path = f"{fresh_dir(spark, 'csv')}/ragged"
     k = F.col("o_orderkey")
     cells = F.array(k.cast("string"), "o_orderstatus", "o_orderpriority", F.lit("extra"))
     width = F.when(k % 10 == 3, 2).when(k % 10 == 7, 4).otherwise(3)
@@ -875,13 +916,13 @@ cells AS (SELECT *, {eq_sql('l', 'r')} AS same FROM c)"""
 @query("stream_compare", f"{_STREAM_SQL} SELECT k, feature, l AS left_value, r AS right_value FROM cells WHERE NOT same")
 def stream_compare(spark, d):
     cells = _stream_cells(spark, d)
-    root = X.work_dir(spark, "stream")
+    root = fresh_dir(spark, "stream")
     return spark.read.parquet(_run(cells.where(~F.col("is_match")).drop("is_match"), root, "diffs", "append"))
 
 
 @query("stream_feature_stats", f"{_STREAM_SQL}, {_PER_FEATURE} SELECT feature, total, match, mismatch FROM stats")
 def stream_feature_stats(spark, d):
-    root = X.work_dir(spark, "stream")
+    root = fresh_dir(spark, "stream")
     stats = ST.stream_feature_stats(_stream_cells(spark, d))
     path = _run(stats, root, "stats", "complete", {"stats": lambda batch: batch})
     # complete mode: the last batch holds every feature
@@ -896,7 +937,7 @@ w AS (SELECT *, date_trunc('day', ts) AS day FROM cells)
 SELECT day, feature, count(*) AS total, count(*) FILTER (same) AS match, count(*) FILTER (NOT same) AS mismatch
 FROM w WHERE day + INTERVAL 1 DAY <= (SELECT mark FROM closed) GROUP BY day, feature""")
 def stream_window_stats(spark, d):
-    root = X.work_dir(spark, "stream")
+    root = fresh_dir(spark, "stream")
     stats = ST.stream_feature_stats(_stream_cells(spark, d, carry=["ts"]), time="ts", window="1 day")
     out = spark.read.parquet(_run(stats, root, "windows", "append"))
     return out.select(F.col("window.start").alias("day"), "feature", "total", "match", "mismatch")
@@ -907,7 +948,7 @@ def stream_last(spark, d):
     events = X.table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = stream.select("user_id", F.col("event_id").alias("k"), F.col("event_type").alias("kind"), "ts")
-    root = X.work_dir(spark, "stream")
+    root = fresh_dir(spark, "stream")
     path = _run(ST.stream_last(rows, ["user_id"], ["ts"]), root, "last", "update", {"last": lambda batch: batch})
     return ST.read_last(spark, path, ["user_id"], ["ts"]).select("user_id", "k", "kind", "ts")
 
@@ -915,7 +956,7 @@ def stream_last(spark, d):
 @query("stream_errors", f"""WITH {X.RESPONSES_SQL} SELECT k, CASE state WHEN 'error' THEN 'timeout' ELSE 'response is no JSON object' END AS error
 FROM responses WHERE state IN ('error', 'bad')""")
 def stream_errors(spark, d):
-    root = X.work_dir(spark, "stream")
+    root = fresh_dir(spark, "stream")
     tables = {"errors": lambda batch: ST.stream_errors(batch), "good": lambda batch: ST.parse_stream(batch).where("error is null").drop("doc")}
     _run(_response_stream(spark, d), root, "split", "append", tables)
     return spark.read.parquet(f"{root}/errors").select("k", "error")

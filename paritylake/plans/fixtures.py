@@ -7,7 +7,6 @@ sides are spread by arithmetic on the keys; every source row is kept.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder all executors share: below spark.checkpoint.dir where it is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"{name}-")
-
-
 def _every(c: Column, n: int) -> Column:
     return c % n == 0
 

@@ -1,16 +1,18 @@
 from .files import (
     csv_health,
     file_order,
+    header_groups,
     preview,
     read_header,
     read_responses,
     read_table,
     records_to_table,
+    rejected_responses,
     write_table,
 )
 from .reports import report_tables, write_reports
 
 __all__ = [
-    "csv_health", "file_order", "preview", "read_header", "read_responses", "read_table",
-    "records_to_table", "report_tables", "write_reports", "write_table",
+    "csv_health", "file_order", "header_groups", "preview", "read_header", "read_responses", "read_table",
+    "records_to_table", "rejected_responses", "report_tables", "write_reports", "write_table",
 ]

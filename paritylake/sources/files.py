@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,40 +23,75 @@ def _csv_reader(spark: SparkSession, encoding: str, multi_line: bool, sep: str):
     )
 
 
-def read_header(spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = True,
+def read_header(spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = False,
                 sep: str = ",") -> list[str]:
     """The header cells of a CSV table; ValueError when empty or repeated."""
     first = _csv_reader(spark, encoding, multi_line, sep).csv(path).first()
     if first is None:
         raise ValueError(f"CSV file is empty: {path}")
-    names = ["" if c is None else c for c in first]
+    return _checked(["" if c is None else c for c in first], path)
+
+
+def _checked(names: list[str], path) -> list[str]:
     double = sorted({n for n in names if names.count(n) > 1})
     if double:
         raise ValueError(f"repeated column names in {path}: {double}")
     return names
 
 
+def header_groups(spark: SparkSession, path, *, encoding: str = "utf-8", sep: str = ",") -> list[tuple[list[str], list[str]]]:
+    """(header, files) for every header among the files of a table, most files first.
+
+    One pass over the lines finds the first of each file; it must hold the whole header.
+    """
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value")
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()  # names and paths only
+    return sorted(((_cells(g["head"], sep), sorted(g["files"])) for g in groups), key=lambda g: (-len(g[1]), g[0]))
+
+
+def _cells(line: str, sep: str) -> list[str]:
+    return next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), [])
+
+
 def read_table(
-    spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = True, sep: str = ",",
-    row_order: bool = False,
+    spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = False, sep: str = ",",
+    row_order: bool = False, by_name: bool = False,
 ) -> DataFrame:
     """A CSV table with header, every column text.
 
     Short rows are padded with NULL, extra cells dropped. Names may differ in case
-    only. `multi_line=False` lets Spark split large files; quoted line breaks are then
-    not understood. `row_order` adds the row's place in its file as `_row_order`, which
-    orders rows the way the file does. GBK text needs `spark.sql.legacy.javaCharsets`.
+    only. Large files are split; `multi_line` understands quoted line breaks instead and
+    reads each file in one task. A file with another header than the first is an error;
+    `by_name` matches the columns of such files by name, NULL where a file lacks one, for one
+    more pass over the lines. `row_order` adds the row's place in its file as `_row_order`,
+    which orders rows the way the file does. GBK text needs `spark.sql.legacy.javaCharsets`.
     """
+    if by_name:
+        groups = header_groups(spark, path, encoding=encoding, sep=sep)
+        if not groups:
+            raise ValueError(f"CSV file is empty: {path}")
+        out = None
+        for names, files in groups:
+            part = _read_named(spark, files, _checked(names, files[0]), encoding, multi_line, sep, row_order, check=False)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
     names = read_header(spark, path, encoding=encoding, multi_line=multi_line, sep=sep)
-    safe = [f"c{i}" for i in range(len(names))]
+    return _read_named(spark, path, names, encoding, multi_line, sep, row_order, check=True)
+
+
+def _read_named(spark, path, names, encoding, multi_line, sep, row_order, check) -> DataFrame:
+    # Spark compares each file's header with the schema, but cannot hold names that differ in case only
+    check = check and len({n.lower() for n in names}) == len(names) and "" not in names
+    safe = names if check else [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in safe])
-    df = (
-        _csv_reader(spark, encoding, multi_line, sep).option("header", True)
-        .option("enforceSchema", True).schema(schema).csv(path)
-    )
+    reader = _csv_reader(spark, encoding, multi_line, sep).option("header", True).option("enforceSchema", not check)
+    df = reader.option("columnPruning", not check).schema(schema).csv(path)
     if not row_order:
         return df.toDF(*names)
-    return df.select(*safe, file_order().alias(ORDER_COLUMN)).toDF(*names, ORDER_COLUMN)
+    return df.select(*map(quote, safe), file_order().alias(ORDER_COLUMN)).toDF(*names, ORDER_COLUMN)
 
 
 def file_order() -> Column:
@@ -68,25 +104,37 @@ def file_order() -> Column:
     )
 
 
-def csv_health(spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = True,
+def csv_health(spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = False,
                sep: str = ",") -> DataFrame:
-    """Per file its rows, header width, rows of another width and rows without a
-    first cell."""
-    names = read_header(spark, path, encoding=encoding, multi_line=multi_line, sep=sep)
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    """Per file its rows, the width of its own header, rows of another width and rows
+    without a first cell."""
+    out = None
+    widths: dict[int, list[str]] = {}
+    for names, found in header_groups(spark, path, encoding=encoding, sep=sep):
+        widths.setdefault(len(names), []).extend(found)
+    if not widths:
+        raise ValueError(f"CSV file is empty: {path}")
+    for width, found in sorted(widths.items()):
+        part = _health(spark, found, width, encoding, multi_line, sep)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _health(spark, files, width, encoding, multi_line, sep) -> DataFrame:
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
     rows = (
         _csv_reader(spark, encoding, multi_line, sep).option("header", True)
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("columnPruning", False)  # a pruned scan would not see the row's width
-        .schema(schema).csv(path)
+        .schema(schema).csv(files)
     )
     seen = rows.select(F.col("_metadata.file_path").alias("file"), "c0", _CORRUPT)
     # the length test is never true; the parser refuses plans that read the record column alone
     bad = F.col(_CORRUPT).isNotNull() | F.coalesce(F.length("c0") < 0, F.lit(False))
     return seen.groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.lit(len(names)).alias("header_width"),
+        F.lit(width).alias("header_width"),
         F.count_if(bad).alias("bad_rows"),
         F.count_if(F.col("c0").isNull()).alias("keyless_rows"),
     )
@@ -108,21 +156,48 @@ def write_table(
     writer.save(path)
 
 
+def _whole_files(spark: SparkSession, path) -> DataFrame:
+    """(file, value, items): the text of each file and its documents, NULL where it is no JSON.
+
+    The items of an array are parsed one by one, so only a single document is bound by
+    the size limit of a variant.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    many = F.col("value").rlike(r"^\s*\[")
+    one = D.parse("value")
+    return text.select("file", "value", F.when(many, D.parse("value", "array<variant>")).when(one.isNotNull(), F.array(one)).alias("items"))
+
+
 def read_responses(spark: SparkSession, path, *, lines: bool = False) -> DataFrame:
     """Stored responses as (file, position, body): each file one JSON object or an
-    array of them, or with `lines` one document per line."""
+    array of them, or with `lines` one document per line, which Spark splits at any size.
+
+    A file that is no JSON gives no row here; `rejected_responses` lists it.
+    """
     if lines:
         return spark.read.text(path).select(
             F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"),
             F.col("value").alias("body"),
         )
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), D.parse("value").alias("doc")
-    )
-    items = F.try_variant_get("doc", "$", "array<variant>")
-    return docs.where("doc is not null").select(
-        "file", F.posexplode(F.coalesce(items, F.array("doc"))).alias("position", "item")
-    ).select("file", F.col("position").cast("bigint").alias("position"), F.to_json("item").alias("body"))
+    return _whole_files(spark, path).select("file", F.posexplode("items").alias("position", "item")).select(
+        "file", F.col("position").cast("bigint").alias("position"), F.to_json("item").alias("body"))
+
+
+def rejected_responses(spark: SparkSession, path, *, lines: bool = False) -> DataFrame:
+    """What `read_responses` cannot use, as (file, position, reason): files that are blank or
+    no JSON (position NULL), and lines or array items that are no JSON object. Spark's readers
+    skip files without a byte, so those are in neither table."""
+    if lines:
+        rows = read_responses(spark, path, lines=True)
+        doc = D.parse("body")
+        reason = F.when(F.trim("body") == "", "empty").when(doc.isNull(), "invalid").when(~D.is_object(doc), "not_object")
+        return rows.select("file", "position", reason.alias("reason")).where("reason is not null")
+    files = _whole_files(spark, path)
+    broken = files.where("items is null").select(
+        "file", F.lit(None).cast("bigint").alias("position"), F.when(F.col("value").rlike(r"^\s*$"), "empty").otherwise("invalid").alias("reason"))
+    items = files.select("file", F.posexplode("items").alias("position", "item")).where(~D.is_object(F.col("item")))
+    other = items.select("file", F.col("position").cast("bigint").alias("position"), F.lit("not_object").alias("reason"))
+    return broken.unionByName(other)
 
 
 def records_to_table(df: DataFrame, column: str, order_by: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from paritylake.operators.skew import HotKeys, find_hot_keys, lookup_join
 
 from test_functions import py_equal
 
-ALWAYS = SkewPolicy(share=0.05, min_bytes=0)
+ALWAYS = SkewPolicy(share=0.05)
 
 
 def make(seed, hot=False, n=240):
@@ -116,7 +116,7 @@ def test_hot_keys_are_found_and_joined_whole(spark):
     salted = lookup_join(big, small, ["k"], "inner", hot)
     plan = salted._jdf.queryExecution().toString()
     assert "spark_partition_id" in plan.lower()
-    assert not find_hot_keys(big, ["k"], SkewPolicy())  # small input: one task can hold it
+    assert find_hot_keys(big, ["k"], SkewPolicy()).hashes == hot.hashes  # whatever the size of the input
     assert not HotKeys()
 
 

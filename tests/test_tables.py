@@ -10,12 +10,13 @@ from paritylake import streaming as ST
 from paritylake.operators import documents as D
 from paritylake.operators.merge import merge_columns, merge_rows, merged_view, with_position
 from paritylake.operators.reconcile import decimal_reconcile
+from paritylake.operators.skew import HotKeys, find_hot_keys, salted
 from paritylake.plans.scenarios import outcome_counts, run_scenarios
 from paritylake.sources import (
-    csv_health, preview, read_responses, read_table, records_to_table, write_reports, write_table,
+    csv_health, preview, read_responses, read_table, records_to_table, rejected_responses, write_reports, write_table,
 )
 
-ALWAYS = SkewPolicy(share=0.05, min_bytes=0)
+ALWAYS = SkewPolicy(share=0.05)
 
 
 def write(path, text, encoding="utf-8"):
@@ -26,10 +27,10 @@ def write(path, text, encoding="utf-8"):
 
 def test_csv_dialect(spark, tmp_path):
     p = write(tmp_path / "a.csv", 'k,a,A\r\n1,"x, ""q""\nline",y\r\n2,short\r\n3,1,2,extra\r\n')
-    df = read_table(spark, p)
+    df = read_table(spark, p, multi_line=True)
     assert df.columns == ["k", "a", "A"]
     assert sorted(map(tuple, df.collect())) == [("1", 'x, "q"\nline', "y"), ("2", "short", None), ("3", "1", "2")]
-    health = csv_health(spark, p).first()
+    health = csv_health(spark, p, multi_line=True).first()
     assert (health["rows"], health["header_width"], health["bad_rows"]) == (3, 3, 2)
     bom = write(tmp_path / "b.csv", "k,a\n1,2\n", "utf-8-sig")
     assert read_table(spark, bom).columns == ["k", "a"]
@@ -39,6 +40,36 @@ def test_csv_dialect(spark, tmp_path):
         read_table(spark, write(tmp_path / "d.csv", ""))
 
 
+def test_files_with_their_own_headers(spark, tmp_path):
+    write(tmp_path / "1.csv", "id,x,y\n1,10,20\n")
+    write(tmp_path / "2.csv", "id,y,x\n2,200,100\n")
+    write(tmp_path / "3.csv", 'id,"z,z"\n3,5\n4\n')
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, str(tmp_path)).collect()
+    got = read_table(spark, str(tmp_path), by_name=True).select("id", "x", "y", "`z,z`")
+    assert sorted(map(tuple, got.collect())) == [("1", "10", "20", None), ("2", "100", "200", None), ("3", None, None, "5"), ("4", None, None, None)]
+    health = {r["file"][-5:]: (r["rows"], r["header_width"], r["bad_rows"]) for r in csv_health(spark, str(tmp_path)).collect()}
+    assert health == {"1.csv": (1, 3, 0), "2.csv": (1, 3, 0), "3.csv": (2, 2, 1)}
+
+
+def test_nothing_is_lost_from_response_files(spark, tmp_path):
+    write(tmp_path / "a.json", '[{"a":1},{"a":NaN,"b":-Infinity}]')
+    write(tmp_path / "b.json", '{"a":1,"a":2}')
+    write(tmp_path / "c.json", '{"a":')
+    write(tmp_path / "d.json", " \n")
+    write(tmp_path / "e.json", '[5, {"a":3}]')
+    docs = read_responses(spark, str(tmp_path))
+    assert sorted(r["body"] for r in docs.collect()) == ['5', '{"a":"NaN","b":"-Infinity"}', '{"a":1}', '{"a":2}', '{"a":3}']
+    bad = {(os.path.basename(r["file"]), r["position"], r["reason"]) for r in rejected_responses(spark, str(tmp_path)).collect()}
+    assert bad == {("c.json", None, "invalid"), ("d.json", None, "empty"), ("e.json", 0, "not_object")}
+
+
+def test_response_file_above_the_limit_of_a_document(spark, tmp_path):
+    with open(tmp_path / "big.json", "w") as f:
+        f.write("[" + ",".join(f'{{"id":{i},"data":"{"x" * 960}"}}' for i in range(140_000)) + "]")
+    assert read_responses(spark, str(tmp_path)).count() == 140_000
+
+
 def test_last_row_of_the_file_wins(spark, tmp_path):
     lines = "".join(f"{i % 7},{i}\n" for i in range(5000))
     left = read_table(spark, write(tmp_path / "l.csv", "k,v\n" + lines), row_order=True, multi_line=False)
@@ -76,6 +107,40 @@ def test_merge_rows_and_columns(spark):
     assert len(rows) == 4 and rows[1]["d"] == "R" and rows[None]["w"] == "m" and rows[None]["d"] == "l"
 
 
+def test_hot_key_spreads_after_a_shuffle_on_it(spark):
+    df = spark.range(80_000).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    gathered = df.repartition(8, "k")
+    hot = find_hot_keys(gathered, ["k"], SkewPolicy())
+    salts = {r["__salt"]: r["count"] for r in salted(gathered, ["k"], hot, HotKeys(), 8).where("k = 1").groupBy("__salt").count().collect()}
+    assert len(salts) == 8 and max(salts.values()) < 2 * 40_000 / 8
+
+
+def test_many_merged_tables_are_read_once(spark, tmp_path):
+    tables = []
+    for n in range(6):
+        spark.range(400).select(F.when(F.col("id") % 2 == n % 2, F.lit(1)).otherwise(F.col("id")).alias("k"), F.col("id").alias(f"a.{n}")).where(
+            f"k <> 1 OR id < {2 if n else 400}").write.parquet(f"{tmp_path}/{n}")
+        tables.append(spark.read.parquet(f"{tmp_path}/{n}"))
+    out, _ = merge_columns(tables, ["k"], skew=ALWAYS)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 6
+    plain, _ = merge_columns(tables, ["k"], skew=SkewPolicy(enabled=False))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    last, _ = merge_columns(tables[:2], ["k"], last_per_key=True, order_by=[["a.0"], ["a.1"]])
+    assert last.count() == last.select("k").distinct().count()
+
+
+def test_merged_report_follows_the_comparison(spark, tmp_path):
+    left = spark.createDataFrame([(1, "a", "z")], "id int, f string, name string")
+    right = spark.createDataFrame([(1, "old", 1), (1, "newest", 2), (2, "b", 3)], "id int, x_f string, pos int")
+    cmp = compare(left, right, "id", mode="offline", left_features=["f"], right_features=["x_f"], rename="left", prefix="x_", order_by=["pos"])
+    paths = write_reports(cmp, str(tmp_path / "r"), full=True)
+    merged = spark.read.parquet(paths["merged"])
+    assert {"x_f_left", "x_f_right"} <= set(merged.columns) and not {"pos_right", "f_right"} & set(merged.columns)
+    assert merged.where("id = 1").first()["x_f_right"] == "newest"
+    assert "left_only" not in paths and not os.path.exists(tmp_path / "r" / "left_only")
+
+
 def test_full_join_with_hot_keys(spark):
     a = spark.range(600).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
     a = a.withColumn("k", F.when(F.col("a") % 10 != 3, F.col("k"))).repartition(5)
