@@ -938,7 +938,7 @@ SELECT day, feature, count(*) AS total, count(*) FILTER (same) AS match, count(*
 FROM w WHERE day + INTERVAL 1 DAY <= (SELECT mark FROM closed) GROUP BY day, feature""")
 def stream_window_stats(spark, d):
     root = fresh_dir(spark, "stream")
-    stats = ST.stream_feature_stats(_stream_cells(spark, d, carry=["ts"]), time="ts", window="1 day")
+    stats = ST.stream_feature_stats(_stream_cells(spark, d, carry=["ts"]), time="ts", window="1 day", watermark="10 minutes")
     out = spark.read.parquet(_run(stats, root, "windows", "append"))
     return out.select(F.col("window.start").alias("day"), "feature", "total", "match", "mismatch")
 

@@ -75,14 +75,15 @@ def compare_stream(stream: DataFrame, left: DataFrame, keys, features, **options
 
 
 def stream_feature_stats(
-    cells: DataFrame, *, time: str | None = None, window: str | None = None, watermark: str = "10 minutes",
+    cells: DataFrame, *, time: str | None = None, window: str | None = None, watermark: str | None = None,
 ) -> DataFrame:
     """Running total, match and mismatch per feature (complete or update mode), or
-    per event-time window with a watermark (append mode)."""
+    per event-time window with a watermark (append mode). Rows that come later than the
+    watermark allows are left out of their window, so its length has no default."""
     groups: list[Column] = [F.col("feature")]
     if window is not None:
-        if time is None:
-            raise ValueError("a window needs the time column")
+        if time is None or watermark is None:
+            raise ValueError("a window needs the time column and a watermark")
         cells = cells.withWatermark(time, watermark)
         groups.insert(0, F.window(F.col(quote(time)), window).alias("window"))
     return cells.groupBy(*groups).agg(
