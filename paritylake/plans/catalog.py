@@ -550,14 +550,19 @@ def _docs(spark, d):
     return X.responses(spark, d).withColumn("doc", D.parse("body"))
 
 
-@query("json_field_catalog", """SELECT * FROM (VALUES ('_error', CAST(1 AS BIGINT)), ('k', 2), ('kind', 1), ('uid', 2)) t(field, paths)
-WHERE (SELECT count(*) FROM events) > 0""")
+# The leaf paths of the stored responses, from the kinds of response that occur.
+_PATHS_SQL = f"""WITH {X.RESPONSES_SQL}, paths AS (
+SELECT DISTINCT unnest(CASE state WHEN 'error' THEN ['_error'] WHEN 'full' THEN ['data.features.uid', 'data.features.k', 'data.kind']
+  WHEN 'direct' THEN ['data.uid', 'data.k', 'data.kind'] ELSE [] END) AS path FROM responses),
+named AS (SELECT path, split_part(path, '.', -1) AS leaf FROM paths)"""
+
+
+@query("json_field_catalog", f"{_PATHS_SQL} SELECT leaf AS field, count(*) AS paths FROM named GROUP BY leaf")
 def json_field_catalog(spark, d):
     return D.field_catalog(_docs(spark, d), "doc")
 
 
-@query("json_path_map", """SELECT * FROM (VALUES ('_error', '_error'), ('k', 'data.features.k'), ('data.k', 'data.k'),
-('kind', 'data.kind'), ('uid', 'data.features.uid'), ('data.uid', 'data.uid')) t(name, path) WHERE (SELECT count(*) FROM events) > 0""")
+@query("json_path_map", f"""{_PATHS_SQL} SELECT CASE WHEN row_number() OVER (PARTITION BY leaf ORDER BY path) = 1 THEN leaf ELSE path END AS name, path FROM named""")
 def json_path_map(spark, d):
     return D.path_map(_docs(spark, d), "doc")
 
