@@ -3,35 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stage import fresh_dir
+
 #: White space and word characters as the queries' contracts fix them.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: dict[str, str] = {}
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only a local session, whose one process is the whole cluster, may go without that
-    setting; anything else is an error.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="llm-shared-"))
-    base = base if "://" in base or base.startswith("file:") else f"file://{os.path.abspath(base)}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share, as a URI."""
+    path = fresh_dir(spark, name)
+    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd", by: Sequence[str] = ()) -> DataFrame:

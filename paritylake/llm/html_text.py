@@ -134,6 +134,9 @@ LABELLED = (
     # text of pages without an article element
     (55, 0.0, 47, 0.0, 38, 0.0, 0, 0, 0, 1), (90, 0.05, 6, 0.0, 70, 0.0, 0, 0, 0, 1), (28, 0.0, 30, 0.1, 33, 0.0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1),
     (8, 0.0, 3, 1.0, 75, 0.0, 0, 0, 1, 1), (6, 0.0, 50, 0.0, 44, 0.0, 0, 0, 1, 1), (15, 0.0, 22, 0.0, 18, 0.0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1),
+    # pages of one block or little else
+    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 1),
+    (35, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 1), (50, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 1), (42, 0.1, 0, 0.0, 6, 1.0, 0, 0, 0, 1),
     # menus, lists of links, headers, footers, sidebars, adverts, comments that say what they are
     (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (5, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0, 0), (12, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0), (30, 0.0, 2, 1.0, 20, 0.0, 1, 0, 0, 0),
     (60, 0.0, 30, 0.0, 45, 0.0, 1, 0, 0, 0), (9, 0.1, 50, 0.0, 3, 1.0, 1, 0, 0, 0), (22, 0.0, 90, 0.0, 31, 0.0, 1, 1, 0, 0), (41, 0.0, 25, 0.0, 7, 0.0, 1, 1, 0, 0),
