@@ -7,8 +7,8 @@ and at its first one there are enough shingles left in both; so only those prefi
 shuffled. Sets with the same prefix and size form one group and travel as one.
 
 Not all pairs of a group or shingle are made. First every group member is verified against
-the group's first member, and every group of a shingle against the first group of its size
-band. What these verified links do not already connect is then paired in full, verified,
+the group's first member, and every group of a shingle against the leader of its size band
+and of the bands beside it: the group that has the fewest shingles rarer than this one. What these verified links do not already connect is then paired in full, verified,
 and linked too: a pair left out lies within one component, so no component is lost.
 
 Null or blank texts have an empty set and no links. Texts of fewer than five words are one
@@ -165,10 +165,12 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (u, v) of nodes with `linked`: the exact test on both sets.
 
     The set of each u is sent to v's task; a v with many partners is copied to as many tasks
-    as it takes, so none gets more than about _PER_TASK sets.
+    as it takes for about _PER_TASK sets each, up to one for every shuffle partition. A task holds
+    one centre and reads the sets as a stream.
     """
-    spread = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / _PER_TASK).cast("int").alias("k"))
-    spread = written(spread, "centres")
+    most = F.lit(partitions(docs.sparkSession))
+    copies = F.least(F.ceil(F.count(F.lit(1)) / _PER_TASK), most).cast("int").alias("k")
+    spread = written(pairs.groupBy("v").agg(copies), "centres")
     goes = pairs.join(spread, "v").select(F.col("u").alias("node"), F.struct(F.col("v").alias("centre"), F.pmod(F.hash("u"), F.col("k")).alias("part"), F.lit(1).alias("role")).alias("go"))
     stays = spread.select(F.col("v").alias("node"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("v").alias("centre")).select(
         "node", F.struct("centre", "part", F.lit(0).alias("role")).alias("go"))
@@ -216,27 +218,29 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
     rows = _prefix_rows(docs, cells).withColumn("band", F.when(F.col("pos") >= 0, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))).otherwise(0).cast("int"))
     dealt = rows.repartition(partitions(docs.sparkSession), "token", "part")
     near = Window.partitionBy("token", "part").orderBy("band", "n", "gid", "node")
-    inside = Window.partitionBy("token", "part", "band").orderBy("n", "gid", "node")
+    # a shingle's leader: the group with the fewest rarer shingles is nearest to what all copies share
+    leader = F.min(F.struct("pos", "n", "gid"))
+    own_band, next_bands = Window.partitionBy("token", "part", "band"), Window.partitionBy("token", "part").orderBy("band").rangeBetween(-1, 1)
     # only shingles of several groups go on; part >= 0 may have its partner in another part
     marked = dealt.withColumns({
-        "lead": F.lead("gid").over(near), "lag": F.lag("gid").over(near),
-        "first": F.first(F.struct("gid", "n", "pos")).over(inside),
+        "lead": F.lead("gid").over(near), "lag": F.lag("gid").over(near), "first": leader.over(own_band), "first_near": leader.over(next_bands),
     })
     kept = written(marked.where("(pos < 0 AND lag IS NULL) OR (pos >= 0 AND (part >= 0 OR lead IS NOT NULL OR lag IS NOT NULL))").drop("lead", "lag"), "prefix-index")
 
     members = written(kept.where("pos < 0").select("gid", "n", "node").distinct(), "groups")
     heads = written(members.groupBy("gid", "n").agg(F.min("node").alias("head")), "heads")
-    tokens = kept.where("pos >= 0").select("token", "part", "band", "gid", "n", "pos", "first").distinct()
+    tokens = kept.where("pos >= 0").select("token", "part", "band", "gid", "n", "pos", "first", "first_near").distinct()
+    # shingles dealt over parts have one leader for all of them, too
+    parted = tokens.where("part >= 0")
+    best = parted.groupBy("token", "band").agg(leader.alias("first"))
+    around = best.select("token", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "first").groupBy("token", "band").agg(F.min("first").alias("first"))
+    over_parts = written(best.union(around).distinct(), "leaders")
+    led = tokens.select("gid", "n", "pos", F.explode(F.array("first", "first_near")).alias("first")).union(
+        parted.select("token", "band", "gid", "n", "pos").join(over_parts, ["token", "band"]).select("gid", "n", "pos", "first"))
 
     own = members.join(heads, ["gid", "n"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    star = tokens.where(_fits(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
-    # the first groups of one shingle's bands and parts, each against the one before it
-    firsts = tokens.select("token", "band", "part", F.col("first.gid").alias("gid"), F.col("first.n").alias("n"), F.col("first.pos").alias("pos")).distinct()
-    order = Window.partitionBy("token").orderBy("band", "n", "gid", "part")
-    chain = firsts.withColumn("first", F.lag(F.struct("gid", "n", "pos")).over(order)).where("first is not null")
-    chain = chain.where(_fits(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
-    grouped = star.select("gid", "n", F.col("first.gid").alias("gid2"), F.col("first.n").alias("n2")).union(
-        chain.select("gid", "n", F.col("first.gid").alias("gid2"), F.col("first.n").alias("n2"))).where("NOT (gid = gid2 AND n = n2)").distinct()
+    star = led.where(_fits(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
+    grouped = star.select("gid", "n", F.col("first.gid").alias("gid2"), F.col("first.n").alias("n2")).where("NOT (gid = gid2 AND n = n2)").distinct()
     a, b = heads.select("gid", "n", F.col("head").alias("u")), heads.select(F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("head").alias("v"))
     between = grouped.join(a, ["gid", "n"]).join(b, ["gid2", "n2"]).select("u", "v")
     first = written(own.union(between).where("u <> v").distinct(), "pairs")
