@@ -59,14 +59,15 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of concatenated documents: start and end of each stretch, its anchor's and its own hash.
+    """Of concatenated documents: start and end of each stretch, its anchor's and its own hash,
+    and where its anchor stands in it.
 
     `doc_end` has for each byte the end of its document.
     """
     n = len(data) - LENGTH + 1
     none = np.empty(0, dtype=np.int64)
     if n <= 0:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none
     p = prefixes(data)
     at = np.arange(len(data) - _T + 1)
     small = mix(span_hash(p, at, at + _T))
@@ -84,7 +85,7 @@ def stretches(data: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, ...]:
     a = anchor[begins]
     with np.errstate(over="ignore"):
         own = mix(span_hash(p, begins, ends) + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return begins, ends, mix(span_hash(p, a, a + K)), own
+    return begins, ends, mix(span_hash(p, a, a + K)), own, a - begins
 
 
 class Block:
@@ -94,7 +95,7 @@ class Block:
         self.table = table
         self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(text).to_pylist()]
         self.ids = np.array([_LAST if i is None else i for i in table.column(key).to_pylist()], dtype=np.int64)
-        rows, starts, sizes, anchors, owns = [], [], [], [], []
+        rows, starts, sizes, anchors, owns, mids = [], [], [], [], [], []
         lo = 0
         while lo < len(self.texts):
             hi, size = lo, 0
@@ -104,17 +105,18 @@ class Block:
             lengths = np.array([len(t) for t in self.texts[lo:hi]])
             ends = np.cumsum(lengths)
             data = np.frombuffer(b"".join(self.texts[lo:hi]), dtype=np.uint8)
-            b, e, anchor, own = stretches(data, np.repeat(ends, lengths))
+            b, e, anchor, own, mid = stretches(data, np.repeat(ends, lengths))
             row = np.searchsorted(ends, b, side="right")
             rows.append((row + lo).astype(np.int32))
             starts.append((b - (ends - lengths)[row]).astype(np.int64))
             sizes.append((e - b).astype(np.int16))
             anchors.append(anchor)
             owns.append(own)
+            mids.append(mid.astype(np.int16))
             lo = hi
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, dtype=kind)
         self.row, self.start, self.size = join(rows, np.int32), join(starts, np.int64), join(sizes, np.int16)
-        self.anchor, self.own = join(anchors, np.uint64), join(owns, np.uint64)
+        self.anchor, self.own, self.mid = join(anchors, np.uint64), join(owns, np.uint64), join(mids, np.int16)
 
     def entries(self, hot: np.ndarray, n_parts: int) -> tuple[np.ndarray, ...]:
         """Distinct stretches ordered by part, anchor, hash: part, anchor (high half), hash, least
@@ -337,7 +339,7 @@ def _settle(blocks: DataFrame, answers: DataFrame, hot, n_parts: int, schema, te
             part = block.table.slice(lo, hi - lo).combine_chunks()
             columns = [part.column(c).combine_chunks() for c in names]
             columns += [pa.array(c, k) for c, (_, k) in zip(zip(*digests), _DIGEST)]
-            columns += [pa.array(waits[lo:hi].astype(np.int32)), pa.array(row_key[lo:hi]), pa.array(spans, pa.binary()), *[pa.nulls(hi - lo, pa.int64())] * 3, pa.nulls(hi - lo, pa.binary())]
+            columns += [pa.array(waits[lo:hi].astype(np.int32)), pa.array(row_key[lo:hi]), pa.array(spans, pa.binary()), *[pa.nulls(hi - lo, pa.int64())] * 4, pa.nulls(hi - lo, pa.binary())]
             yield _batch(columns)
         which = np.flatnonzero(asks)
         for lo in range(0, len(which), 50_000):
@@ -345,15 +347,15 @@ def _settle(blocks: DataFrame, answers: DataFrame, hot, n_parts: int, schema, te
             bytes_ = [block.texts[r][a : a + z] for r, a, z in zip(block.row[w], block.start[w], block.size[w])]
             columns = [pa.nulls(len(w), part_type) for part_type in (block.table.schema.field(c).type for c in names)] + [pa.nulls(len(w), k) for _, k in _DIGEST]
             columns += [pa.array(np.full(len(w), 2, dtype=np.int32)), pa.array(row_key[block.row[w]]), pa.nulls(len(w), pa.binary()),
-                        pa.array(block.anchor[w].view(np.int64)), pa.array(block.ids[block.row[w]]), pa.array(block.start[w]), pa.array(bytes_, pa.binary())]
+                        pa.array(block.anchor[w].view(np.int64)), pa.array(block.ids[block.row[w]]), pa.array(block.start[w]), pa.array(block.mid[w].astype(np.int64)), pa.array(bytes_, pa.binary())]
             yield _batch(columns)
 
     def _batch(columns: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(columns, names=[*names, *(n for n, _ in _DIGEST), "kind", "row_key", "spans", "anchor", "doc_key", "start", "stretch"])
+        return pa.RecordBatch.from_arrays(columns, names=[*names, *(n for n, _ in _DIGEST), "kind", "row_key", "spans", "anchor", "doc_key", "start", "mid", "stretch"])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema if f.name != text)
     out = joined.mapInArrow(run, f"{head}n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kind int, row_key bigint, "
-                                 "spans binary, anchor bigint, doc_key bigint, start bigint, stretch binary")
+                                 "spans binary, anchor bigint, doc_key bigint, start bigint, mid bigint, stretch binary")
     return written(out, "settled")
 
 
@@ -378,14 +380,14 @@ def _before(data: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np
     return (ext < LENGTH) & (data[i + step] < data[j + step])
 
 
-def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray) -> np.ndarray:
+def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
     """Order of suffixes (positions with LENGTH bytes after them) by group, then by their bytes.
 
     Groups stand together in the input. A bottom-up mergesort: at each width, all pairs of
     runs of all groups are merged at once, each element finding its rank in the other run by
     binary search.
     """
-    p = prefixes(data)
+    p = prefixes(data) if p is None else p
     order = np.arange(len(suffix))
     if not len(suffix):
         return order
@@ -421,45 +423,65 @@ def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray) -> np
     return order
 
 
-def repeated(stretch: list[bytes], key: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+def repeated(stretch: list[bytes], key: np.ndarray, doc: np.ndarray, mid: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(number of the stretch, start, end) of the spans that a smaller id holds too.
 
-    Keys stand together; only stretches of one key are compared.
+    Only strings of one key whose anchors stand at one place in them (`mid` of the stretch, less
+    their start) can be equal, and only those whose hash another one has go into the sort.
     """
     size = np.array([len(s) for s in stretch], dtype=np.int64)
     at = np.cumsum(size) - size
     data = np.frombuffer(b"".join(stretch), dtype=np.uint8)
     many = size - LENGTH + 1
     which = np.repeat(np.arange(len(stretch)), many)
-    suffix = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + at[which]
-    group = np.repeat(np.cumsum(np.append(0, key[1:] != key[:-1])), many)
-    order = sort_suffixes(data, suffix, group)
-    s, g = suffix[order], group[order]
-    rows = data[s[:, None] + np.arange(LENGTH)]
-    equal = np.append(False, (g[1:] == g[:-1]) & (rows[1:] == rows[:-1]).all(axis=1))
+    local = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    suffix = local + at[which]
+    place = mid[which] - local if mid is not None else np.zeros(len(which), dtype=np.int64)
     p = prefixes(data)
-    said = np.append(False, (g[1:] == g[:-1]) & (span_hash(p, s[1:], s[1:] + LENGTH) == span_hash(p, s[:-1], s[:-1] + LENGTH)))
+    hashed = span_hash(p, suffix, suffix + LENGTH)
+    order = np.lexsort((hashed, place, key[which]))
+    together = lambda a, b: (key[which[a]] == key[which[b]]) & (place[a] == place[b])
+    same = together(order[1:], order[:-1]) & (hashed[order[1:]] == hashed[order[:-1]])
+    live = order[np.append(same, False) | np.append(False, same)]
+    if not len(live):
+        return []
+    # in the order of the input within a group, so that the sort below has its work to do
+    live = live[np.lexsort((live, place[live], key[which[live]]))]
+    group = np.cumsum(np.append(False, ~together(live[1:], live[:-1])))
+    order = sort_suffixes(data, suffix[live], group, p)
+    rows = lambda o: data[suffix[live[o]][:, None] + np.arange(LENGTH)]
+    bytes_ = rows(order)
+    beside = np.append(False, group[order[1:]] == group[order[:-1]])
+    equal = beside & np.append(False, (bytes_[1:] == bytes_[:-1]).all(axis=1))
+    said = beside & np.append(False, hashed[live[order[1:]]] == hashed[live[order[:-1]]])
     if (equal != said).any():  # a collision: hashes are no order here
-        plain = sorted(range(len(suffix)), key=lambda i: (group[i], data[suffix[i] : suffix[i] + LENGTH].tobytes(), i))
-        order = np.array(plain)
-        s, g = suffix[order], group[order]
-        rows = data[s[:, None] + np.arange(LENGTH)]
-        equal = np.append(False, (g[1:] == g[:-1]) & (rows[1:] == rows[:-1]).all(axis=1))
+        order = np.array(sorted(range(len(live)), key=lambda i: (group[i], data[suffix[live[i]] : suffix[live[i]] + LENGTH].tobytes(), i)))
+        bytes_ = rows(order)
+        equal = np.append(False, group[order[1:]] == group[order[:-1]]) & np.append(False, (bytes_[1:] == bytes_[:-1]).all(axis=1))
     heads = np.flatnonzero(~equal)
-    owner = doc[which[order]]
-    least = np.minimum.reduceat(owner, heads)[np.cumsum(~equal) - 1] if len(heads) else owner
-    hit = order[owner > least]
-    local = suffix[hit] - at[which[hit]]
-    return list(zip(which[hit].tolist(), local.tolist(), (local + LENGTH).tolist()))
+    owner = doc[which[live[order]]]
+    hit = live[order[owner > np.minimum.reduceat(owner, heads)[np.cumsum(~equal) - 1]]]
+    return list(zip(which[hit].tolist(), local[hit].tolist(), (local[hit] + LENGTH).tolist()))
+
+
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of one stretch that touch as one."""
+    out: list[tuple[int, int, int]] = []
+    for i, a, b in sorted(spans):
+        if out and out[-1][0] == i and a <= out[-1][2]:
+            out[-1] = (i, out[-1][1], b)
+        else:
+            out.append((i, a, b))
+    return out
 
 
 def _suffix_spans(settled: DataFrame, split_above: int, portion: int = 300_000) -> DataFrame:
     """(row_key, spans) found by the suffix sort, one row for each stretch with any."""
-    rows = settled.where("kind = 2").select("anchor", "doc_key", "row_key", "start", "stretch")
+    rows = settled.where("kind = 2").select("anchor", "doc_key", "row_key", "start", "mid", "stretch")
     counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     big = written(counts.where(F.col("n") > split_above).select("anchor", F.lit(True).alias("big")), "big-anchors")
     marked = rows.join(big, "anchor", "left")
-    whole = marked.where("big is null").select(F.col("anchor").alias("key"), "doc_key", "row_key", "start", "stretch")
+    whole = marked.where("big is null").select(F.col("anchor").alias("key"), "doc_key", "row_key", "start", "mid", "stretch")
     places = F.explode(F.sequence(F.lit(0), F.octet_length("stretch") - LENGTH)).alias("at")
     single = marked.where("big").select("doc_key", "row_key", "start", "stretch", places)
     single = single.select(F.substring("stretch", F.col("at") + 1, F.lit(LENGTH)).alias("string"), "doc_key", "row_key", (F.col("start") + F.col("at")).alias("start"))
@@ -472,18 +494,18 @@ def _suffix_spans(settled: DataFrame, split_above: int, portion: int = 300_000)
 
         def found(rows: list[tuple]) -> pa.RecordBatch:
             key, doc = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
-            spans = repeated([r[4] for r in rows], key, doc)
-            out = [(rows[i][2], rows[i][3] + a, rows[i][3] + b) for i, a, b in spans]
+            spans = repeated([r[5] for r in rows], key, doc, np.array([r[4] for r in rows], dtype=np.int64))
+            out = [(rows[i][2], rows[i][3] + a, rows[i][3] + b) for i, a, b in joined(spans)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)], names=["row_key", "start", "end"])
 
         size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_key", "row_key", "start", "stretch"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_key", "row_key", "start", "mid", "stretch"))):
                 if size > portion and held[-1][0] != row[0]:
                     yield found(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) - LENGTH + 1
+                size += len(row[5]) - LENGTH + 1
         if held:
             yield found(held)
 
@@ -494,7 +516,7 @@ def _suffix_spans(settled: DataFrame, split_above: int, portion: int = 300_000)
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_kept: bool = False, split_above: int = 5000) -> DataFrame:
     """Every row's columns but the text, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
     spark = docs.sparkSession
-    own = {n for n, _ in _DIGEST} | {"kind", "row_key", "spans", "anchor", "doc_key", "start", "stretch"}
+    own = {n for n, _ in _DIGEST} | {"kind", "row_key", "spans", "anchor", "doc_key", "start", "mid", "stretch"}
     names = [c for c in docs.columns if c not in own]
     src = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in names])
     blocks, cells = _blocks(src, text, key)
