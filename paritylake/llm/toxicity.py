@@ -5,9 +5,8 @@ letters to one Latin class, and is applied to lexicon and text alike. A match co
 word boundaries and outside every match of an exception phrase that covers it. The sum of
 the matched weights and that sum per word of the text go into a logistic curve.
 
-Training reads labelled rows only: word counts by label are made by Spark over all of
-them and give the terms, at most `max_terms`; exception phrases and the curve come from at
-most `max_fit` documents in hash order.
+Training reads at most `max_labels` labelled rows, taken in hash order; word counts by label
+give the terms, at most `max_terms`, and the same rows the exception phrases and the curve.
 
 Null or empty texts have no match and get the curve's value at zero. Rows without an id
 are never used for training and not held out. Repeated rows are scored one by one; of
@@ -120,17 +119,21 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows outside the held-out fold, one per distinct text: copies add nothing."""
+def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Labelled rows outside the held-out fold, one per distinct text: copies add nothing.
+
+    At most `most` labels are taken, in the order of a hash of the id. Their size is
+    bounded by that, so they are broadcast and the corpus is not shuffled."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    taken = y.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = rows.where(~held_out(F.col("doc_id"))).join(y, "doc_id")
+    rows = rows.join(F.broadcast(taken), "doc_id")
     return rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("text").alias("text")).select("h", "toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, min_odds: float = 4.0, max_terms: int = 500,
-          max_fit: int = 20_000, exceptions: tuple[str, ...] = ()) -> Model:
-    rows = written(_training_rows(docs, labels), "toxic-train")
+          max_labels: int = 20_000, exceptions: tuple[str, ...] = ()) -> Model:
+    rows = written(_training_rows(docs, labels, max_labels), "toxic-train")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,22 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, min_odds: fl
     listed = (
         counted.groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("p") > 0).alias("contexts"))
         .where((F.col("p") >= min_docs) & spread).withColumn("odds", odds)
-        .where(F.col("odds") > F.when(F.endswith("word", F.lit(STEM)), 1.5 * min_odds).otherwise(min_odds))
+        .where(F.col("odds") > F.when(F.endswith("word", F.lit(STEM)), 1.5 * min_odds).when(F.col("p") > pos / 20, min_odds / 2).otherwise(min_odds))
         .orderBy(F.desc(F.col("p") * F.col("odds")), "word").limit(max_terms).collect()
     )
     weights = {r["word"]: float(r["odds"]) for r in listed}
     # a word and a stem of the same letters would share an entry; words that a listed stem covers go
     weights = {w: v for w, v in weights.items() if w.endswith(STEM) or (w[:_STEM] + STEM) not in weights}
-    some = rows.orderBy("h").limit(max_fit)
     model = Model(weights, tuple(fold(e) for e in exceptions))
-    model = Model(weights, tuple(sorted({*model.exceptions, *_contexts(some, model)})))
+    model = Model(weights, tuple(sorted({*model.exceptions, *_contexts(rows, model)})))
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [(*model.features(t), int(y > 0)) for t, y in zip(b["text"], b["toxic"])]
             yield pd.DataFrame(got, columns=["x", "d", "y"]).groupby(["x", "d", "y"]).size().reset_index(name="n")
 
-    pts = some.mapInPandas(points, "x double, d double, y int, n bigint").groupBy("x", "d", "y").agg(F.sum("n").alias("n")).toPandas()
+    pts = rows.mapInPandas(points, "x double, d double, y int, n bigint").groupBy("x", "d", "y").agg(F.sum("n").alias("n")).toPandas()
     return Model(model.weights, model.exceptions, _logistic(pts))
 
 
