@@ -133,7 +133,7 @@ def test_a_hash_collision_is_seen(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "span_hash", lambda p, i, j: np.zeros(len(i), dtype=np.uint64))
     a, b = b"a" * 30 + b"b" * 25, b"c" * 10 + b"a" * 30 + b"b" * 25
     got = suffix_dedup.repeated([a, b, b"z" * 60], np.array([1, 1, 1]), np.array([5, 7, 9]))
-    assert sorted(got) == [(1, 10 + i, 60 + i) for i in range(6)]
+    assert got == [(1, 10, 65)]
 
 
 def test_spans_merge():
