@@ -9,7 +9,7 @@ cost. Low scores are like the target.
 The target model counts documents labelled of high quality, the background model all
 documents. Counts are gathered over the whole corpus: blocks of documents send each distinct
 word and bigram once, with its counts, to the task of the word's hash; that task adds up all
-blocks' counts and sends each block its probabilities back. No model is collected or
+blocks' counts and sends each block its corpus counts back. No model is collected or
 broadcast, so its size may grow with the corpus; a frequent word costs one entry a block.
 
 Null or blank texts have no tokens and a null score. Rows may repeat: each counts and is
@@ -165,33 +165,20 @@ def _words_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return word, both[0], both[1], at
 
 
-def _totals(sent: DataFrame, min_count: int) -> tuple[int, int, int, int, int]:
-    """Vocabulary size, tokens of background and target, and of both how many are unknown."""
+_ANSWER = pa.schema([("block_id", pa.int64()), ("part", pa.int32()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("words", pa.binary()),
+                     ("pairs", pa.binary()), *((c, pa.int64()) for c in "vatxy")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_part(batches):
-            _, all_, target, _ = _words_of(rows)
-            known = all_ >= min_count
-            values = [int(known.sum()), int(all_.sum()), int(target.sum()), int(all_[~known].sum()), int(target[~known].sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], names=list("vatxy"))
-
-    got = sent.mapInArrow(run, "v bigint, a bigint, t bigint, x bigint, y bigint").agg(*[F.sum(c) for c in "vatxy"]).first()
-    return tuple(int(x or 0) for x in got)
 
-
-def _answer(sent: DataFrame, totals: tuple[int, ...], min_count: int) -> DataFrame:
-    """For each blob: of every word p(word) and of every bigram p(second | first), for both models."""
-    vocabulary, n_all, n_target, x_all, x_target = totals
-
-    def share(count: np.ndarray, unknown: int, known: np.ndarray, total: int) -> np.ndarray:
-        """One added to every count, the unknown word being one word more."""
-        return (np.where(known, count, unknown) + 1) / (total + vocabulary + 1)
+def _answer(sent: DataFrame, min_count: int) -> DataFrame:
+    """For each blob the corpus counts in both models: of every word, and of every bigram and its
+    first word. One row for each part, without a block, holds the part's share of the totals:
+    vocabulary, tokens of background and target, and how many of both are unknown words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches):
             word, all_, target, at = _words_of(rows)
             known = all_ >= min_count
-            single = (share(all_, x_all, known, n_all).astype(np.float32)[at], share(target, x_target, known, n_target).astype(np.float32)[at])
+            totals = [int(known.sum()), int(all_.sum()), int(target.sum()), int(all_[~known].sum()), int(target[~known].sum())]
             got = [_open(r["pairs"], r["n_pairs"], np.uint64, np.uint64, np.uint32, np.uint32) for r in rows]
             first, second = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
             _, f_at = np.unique(first, return_inverse=True)
@@ -203,18 +190,15 @@ def _answer(sent: DataFrame, totals: tuple[int, ...], min_count: int) -> DataFra
             pair = []
             for i in (2, 3):
                 n = np.concatenate([g[i] for g in got]).astype(float)
-                per_pair, per_first = np.bincount(pair_at, weights=n), np.bincount(f_at, weights=n)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    pair.append(np.nan_to_num(per_pair[pair_at] / per_first[f_at]).astype(np.float32))
+                pair += [np.bincount(pair_at, weights=n)[pair_at].astype(np.uint64), np.bincount(f_at, weights=n)[f_at].astype(np.uint64)]
+            single = [c[at].astype(np.uint64) for c in (all_, target)]
             cw, cp = np.cumsum([0, *(r["n_words"] for r in rows)]), np.cumsum([0, *(r["n_pairs"] for r in rows)])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r["block_id"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int32()),
-                pa.array([r["n_words"] for r in rows], pa.int32()), pa.array([r["n_pairs"] for r in rows], pa.int32()),
-                pa.array([_pack(single[0][a:b], single[1][a:b]) for a, b in zip(cw, cw[1:])], pa.binary()),
-                pa.array([_pack(pair[0][a:b], pair[1][a:b]) for a, b in zip(cp, cp[1:])], pa.binary()),
-            ], names=["block_id", "part", "n_words", "n_pairs", "words", "pairs"])
+            columns = [[r[c] for r in rows] + [None] for c in ("block_id", "part", "n_words", "n_pairs")]
+            columns += [[_pack(*(c[a:b] for c in counts)) for a, b in zip(cuts, cuts[1:])] + [None] for counts, cuts in ((single, cw), (pair, cp))]
+            columns += [[None] * len(rows) + [t] for t in totals]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANSWER)], schema=_ANSWER)
 
-    return sent.mapInArrow(run, "block_id bigint, part int, n_words int, n_pairs int, words binary, pairs binary")
+    return sent.mapInArrow(run, "block_id bigint, part int, n_words int, n_pairs int, words binary, pairs binary, v bigint, a bigint, t bigint, x bigint, y bigint")
 
 
 def score(docs: DataFrame, labels: DataFrame, min_count: int = 2, mix_in: float = 0.5) -> DataFrame:
@@ -226,9 +210,15 @@ def score(docs: DataFrame, labels: DataFrame, min_count: int = 2, mix_in: float
     blocks = _blocks(marked)
     n_parts = 2 * partitions(spark)
     dealt = _send(blocks, n_parts).repartition(partitions(spark), "part").sortWithinPartitions("part")
-    sent = written(dealt, "lm-counts")
-    totals = _totals(sent, min_count)
-    answers = _answer(sent, totals, min_count).groupBy("block_id").agg(F.collect_list(F.struct("part", "n_words", "n_pairs", "words", "pairs")).alias("got"))
+    counted = written(_answer(dealt, min_count), "lm-counts")
+    sums = counted.where("block_id IS NULL").agg(*[F.sum(c) for c in "vatxy"]).first()
+    vocabulary, n_all, n_target, x_all, x_target = (int(x or 0) for x in sums)
+    answers = counted.where("block_id IS NOT NULL").groupBy("block_id").agg(F.collect_list(F.struct("part", "n_words", "n_pairs", "words", "pairs")).alias("got"))
+
+    def share(count: np.ndarray, unknown: int, known: np.ndarray, total: int) -> np.ndarray:
+        """One added to every count, the unknown word being one word more."""
+        return (np.where(known, count, unknown) + 1) / (total + vocabulary + 1)
+
     joined = blocks.join(answers, "block_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +228,15 @@ def score(docs: DataFrame, labels: DataFrame, min_count: int = 2, mix_in: float
                 pw, pp = block.parts(n_parts)
                 ow, op = np.argsort(pw, kind="stable"), np.argsort(pp, kind="stable")
                 cw, cp = np.searchsorted(pw[ow], np.arange(n_parts + 1)), np.searchsorted(pp[op], np.arange(n_parts + 1))
-                single, pair = np.zeros((2, len(block.words))), np.zeros((2, len(block.pair_first)))
+                word, pair = np.zeros((2, len(block.words))), np.zeros((4, len(block.pair_first)))
                 for r in got.as_py() or []:
                     p = r["part"]
-                    single[:, ow[cw[p] : cw[p + 1]]] = _open(r["words"], r["n_words"], np.float32, np.float32)
-                    pair[:, op[cp[p] : cp[p + 1]]] = _open(r["pairs"], r["n_pairs"], np.float32, np.float32)
-                probability = mix_in * pair + (1 - mix_in) * single[:, block.pair_word]
+                    word[:, ow[cw[p] : cw[p + 1]]] = _open(r["words"], r["n_words"], *[np.uint64] * 2)
+                    pair[:, op[cp[p] : cp[p + 1]]] = _open(r["pairs"], r["n_pairs"], *[np.uint64] * 4)
+                known = word[0] >= min_count
+                single = np.stack([share(word[0], x_all, known, n_all), share(word[1], x_target, known, n_target)])
+                after = pair[[0, 2]] / np.maximum(pair[[1, 3]], 1)
+                probability = mix_in * after + (1 - mix_in) * single[:, block.pair_word]
                 cost = -np.log(np.maximum(probability, 1e-300))[:, block.pair_at]
                 doc = np.repeat(np.arange(len(block.size)), block.size)
                 back, target = (np.bincount(doc, weights=cost[i], minlength=len(block.size)) / np.maximum(block.size, 1) for i in (0, 1))
