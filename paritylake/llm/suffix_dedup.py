@@ -424,27 +424,34 @@ def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, p: np
 
 
 def repeated(stretch: list[bytes], key: np.ndarray, doc: np.ndarray, mid: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(number of the stretch, start, end) of the spans that a smaller id holds too.
+    """(number of the stretch, start, end) of the spans that a smaller id holds too, joined where they touch."""
+    size = np.array([len(s) for s in stretch], dtype=np.int64)
+    found = _repeated(np.frombuffer(b"".join(stretch), dtype=np.uint8), size, key, doc, mid)
+    return list(zip(*(f.tolist() for f in found)))
+
+
+def _repeated(data: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, mid: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """The same of stretches that stand one after the other in `data`.
 
     Only strings of one key whose anchors stand at one place in them (`mid` of the stretch, less
     their start) can be equal, and only those whose hash another one has go into the sort.
     """
-    size = np.array([len(s) for s in stretch], dtype=np.int64)
     at = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(stretch), dtype=np.uint8)
     many = size - LENGTH + 1
-    which = np.repeat(np.arange(len(stretch)), many)
+    which = np.repeat(np.arange(len(size)), many)
     local = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     suffix = local + at[which]
     place = mid[which] - local if mid is not None else np.zeros(len(which), dtype=np.int64)
     p = prefixes(data)
     hashed = span_hash(p, suffix, suffix + LENGTH)
-    order = np.lexsort((hashed, place, key[which]))
-    together = lambda a, b: (key[which[a]] == key[which[b]]) & (place[a] == place[b])
-    same = together(order[1:], order[:-1]) & (hashed[order[1:]] == hashed[order[:-1]])
+    with np.errstate(over="ignore"):
+        mark = mix(hashed + mix(key.astype(np.int64).view(np.uint64))[which] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(mark)
+    same = mark[order[1:]] == mark[order[:-1]]
     live = order[np.append(same, False) | np.append(False, same)]
     if not len(live):
-        return []
+        return (np.empty(0, dtype=np.int64),) * 3
+    together = lambda a, b: (key[which[a]] == key[which[b]]) & (place[a] == place[b])
     # in the order of the input within a group, so that the sort below has its work to do
     live = live[np.lexsort((live, place[live], key[which[live]]))]
     group = np.cumsum(np.append(False, ~together(live[1:], live[:-1])))
@@ -461,21 +468,13 @@ def repeated(stretch: list[bytes], key: np.ndarray, doc: np.ndarray, mid: np.nda
     heads = np.flatnonzero(~equal)
     owner = doc[which[live[order]]]
     hit = live[order[owner > np.minimum.reduceat(owner, heads)[np.cumsum(~equal) - 1]]]
-    return list(zip(which[hit].tolist(), local[hit].tolist(), (local[hit] + LENGTH).tolist()))
+    hit = np.sort(hit)  # by stretch and start
+    w, a = which[hit], local[hit]
+    new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (a[1:] > a[:-1] + LENGTH))) if len(hit) else np.empty(0, dtype=np.int64)
+    return w[new], a[new], a[np.append(new[1:], len(hit)) - 1] + LENGTH if len(hit) else a
 
 
-def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The spans of one stretch that touch as one."""
-    out: list[tuple[int, int, int]] = []
-    for i, a, b in sorted(spans):
-        if out and out[-1][0] == i and a <= out[-1][2]:
-            out[-1] = (i, out[-1][1], b)
-        else:
-            out.append((i, a, b))
-    return out
-
-
-def _suffix_spans(settled: DataFrame, split_above: int, portion: int = 300_000) -> DataFrame:
+def _suffix_spans(settled: DataFrame, split_above: int, portion: int = 30_000) -> DataFrame:
     """(row_key, spans) found by the suffix sort, one row for each stretch with any."""
     rows = settled.where("kind = 2").select("anchor", "doc_key", "row_key", "start", "mid", "stretch")
     counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
@@ -489,25 +488,32 @@ def _suffix_spans(settled: DataFrame, split_above: int, portion: int = 300_000)
     least = written(single.groupBy("string").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where("least < most"), "split-strings")
     from_split = single.join(least, "string").where("doc_key > least").select("row_key", "start", (F.col("start") + LENGTH).alias("end"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def found(rows: list[tuple]) -> pa.RecordBatch:
-            key, doc = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
-            spans = repeated([r[5] for r in rows], key, doc, np.array([r[4] for r in rows], dtype=np.int64))
-            out = [(rows[i][2], rows[i][3] + a, rows[i][3] + b) for i, a, b in joined(spans)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)], names=["row_key", "start", "end"])
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        key, doc, row_key, start, mid = (rows.column(c).to_numpy() for c in ("key", "doc_key", "row_key", "start", "mid"))
+        body = rows.column("stretch").combine_chunks()
+        body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
+        ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+        data = np.frombuffer(body.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        w, a, e = _repeated(data, np.diff(ends), key, doc, mid)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (row_key[w], start[w] + a, start[w] + e)], names=["row_key", "start", "end"])
 
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_key", "row_key", "start", "mid", "stretch"))):
-                if size > portion and held[-1][0] != row[0]:
-                    yield found(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5]) - LENGTH + 1
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows > portion:
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+                if cut:
+                    yield found(table.slice(0, cut))
+                    held, rows = table.slice(cut).combine_chunks().to_batches(), len(key) - cut
         if held:
-            yield found(held)
+            yield found(pa.Table.from_batches(held))
 
     dealt = whole.repartition(partitions(settled.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "row_key bigint, start bigint, end bigint").unionByName(from_split)
