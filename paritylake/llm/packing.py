@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_000_000
+#: Signs that end a token after a letter; the apostrophe is not one of them.
+_SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -41,26 +43,36 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _split_signs(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the signs behind its last letter. The tokenizer cuts there, too."""
+    core = word.rstrip(_SIGNS)
+    if core and core != word and core.decode()[-1].isalpha() and b"<|" not in word:
+        return core, word[len(core) :]
+    return word, b""
+
+
 def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
     """Ids of each text. The tokenizer drops white space and never looks across it, so words
-    are encoded once and remembered (up to a fixed number of words for each worker)."""
+    are encoded once and remembered, up to a fixed number of words for each worker."""
     tok, known = _tokenizer(path)
-    out = []
+    end = end_id.to_bytes(4, "little")
+    split = []
     for t in texts:
-        words = (t or "").encode("utf-8", "replace").split()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > _CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            got = tok.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, e.ids) for w, e in zip(new, got))
-        ids: list[int] = []
-        for w in words:
-            ids += known[w]
-        ids.append(end_id)
-        out.append(np.array(ids, dtype="<u4"))
-    return out
+        raw = (t or "").encode("utf-8", "replace")
+        # the tokenizer lower-cases; its special tokens are matched as they are written
+        split.append(raw.split() if b"<|" in raw else raw.lower().split())
+    new = set().union(*split) - known.keys()
+    if len(known) + len(new) > _CACHE_WORDS:
+        known.clear()
+        new = set().union(*split)
+    parts = {w: _split_signs(w) for w in new}
+    cores = list({c for p in parts.values() for c in p if c} - known.keys())
+    for core, e in zip(cores, tok.encode_batch_fast([c.decode() for c in cores], add_special_tokens=False)):
+        known[core] = np.array(e.ids, dtype="<u4").tobytes()
+    known[b""] = b""
+    for w, (core, signs) in parts.items():
+        known[w] = known[core] + known[signs]
+    return [np.frombuffer(b"".join([known[w] for w in words]) + end, dtype="<u4") for words in split]
 
 
 def cut(n: int, window: int = WINDOW) -> list[tuple[int, int]]:
