@@ -35,6 +35,7 @@ from .hashing import mix, prefixes, span_hash
 N, SIMILAR = 5, (80, 100)
 _CELL_BITS, _SLICES = 20, 64
 _PER_TASK = 500  # sets compared with one copy of a centre
+_FEW = 5000  # ids that may be broadcast
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
@@ -177,7 +178,10 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     sent = goes.union(stays).groupBy("node").agg(F.collect_list("go").alias("goes"))
     owners = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("__id"))
     plan = written(sent.join(owners, "node").select("__id", F.struct("node", "goes").alias("job")).groupBy("__id").agg(F.collect_list("job").alias("jobs")), "verify-plan")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "jobs")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if plan.count() <= _FEW:  # so few ids that a broadcast spares the shuffle of all texts
+        texts = texts.join(F.broadcast(plan.select(F.col("__id").alias("__few"))), F.col("doc_id").eqNullSafe(F.col("__few")), "left_semi")
+    texts = texts.join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "jobs")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,12 +228,13 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
     # only shingles of several groups go on; part >= 0 may have its partner in another part
     marked = dealt.withColumns({
         "lead": F.lead("gid").over(near), "lag": F.lag("gid").over(near), "first": leader.over(own_band), "first_near": leader.over(next_bands),
+        "groups": F.count(F.lit(1)).over(Window.partitionBy("token", "part")),
     })
     kept = written(marked.where("(pos < 0 AND lag IS NULL) OR (pos >= 0 AND (part >= 0 OR lead IS NOT NULL OR lag IS NOT NULL))").drop("lead", "lag"), "prefix-index")
 
     members = written(kept.where("pos < 0").select("gid", "n", "node").distinct(), "groups")
     heads = written(members.groupBy("gid", "n").agg(F.min("node").alias("head")), "heads")
-    tokens = kept.where("pos >= 0").select("token", "part", "band", "gid", "n", "pos", "first", "first_near").distinct()
+    tokens = kept.where("pos >= 0").select("token", "part", "band", "gid", "n", "pos", "first", "first_near", "groups").distinct()
     # shingles dealt over parts have one leader for all of them, too
     parted = tokens.where("part >= 0")
     best = parted.groupBy("token", "band").agg(leader.alias("first"))
@@ -255,7 +260,9 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
     inner = same.alias("a").join(same.alias("b"), ["gid", "n"]).where("a.root < b.root").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
     where = placed.select("gid", "n", "root").distinct()
-    seen = written(tokens.select("token", "gid", "n", "pos").distinct().join(where, ["gid", "n"]), "token-roots")
+    # of two groups one is the leader, so their pair has been tested
+    more = tokens.where("part >= 0 OR groups > 2")
+    seen = written(more.select("token", "gid", "n", "pos").distinct().join(where, ["gid", "n"]), "token-roots")
     several = written(seen.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "mixed-tokens")
     left = seen.join(several, "token")
     crossed = left.alias("a").join(left.alias("b"), "token").where("a.root < b.root").where(_fits(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
