@@ -260,8 +260,12 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
     inner = same.alias("a").join(same.alias("b"), ["gid", "n"]).where("a.root < b.root").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
     where = placed.select("gid", "n", "root").distinct()
-    # of two groups one is the leader, so their pair has been tested
-    more = tokens.where("part >= 0 OR groups > 2")
+    # of two groups one is the leader, so the pair of their heads has been tested: there is no other if both are single sets
+    index = kept.where("pos >= 0").select("token", "part", "gid", "n", "pos", "groups")
+    two = index.where("part < 0 AND groups <= 2")
+    many = written(members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("gid", "n"), "groups-of-many")
+    untested = written(two.join(many, ["gid", "n"]).select("token").distinct(), "untested-tokens")
+    more = index.where("part >= 0 OR groups > 2").union(two.join(untested, "token", "left_semi").select(*index.columns))
     seen = written(more.select("token", "gid", "n", "pos").distinct().join(where, ["gid", "n"]), "token-roots")
     several = written(seen.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "mixed-tokens")
     left = seen.join(several, "token")

@@ -57,6 +57,24 @@ def test_jaccard_links_what_stars_miss(spark, vocabulary):
     assert rows_of(jaccard.join(df), "doc_id", "n_shingles", "component_id") == brute_components(df.collect())
 
 
+@pytest.mark.parametrize("near_head", [False, True])
+def test_jaccard_links_members_of_two_groups(spark, near_head):
+    """Groups of a shingle that only two groups have, where a member links and the head does not; the head may be either."""
+    texts = []
+    for case in range(4):
+        word = lambda name, n: [f"{name}{case}x{i}" for i in range(n)]  # noqa: E731, B023
+        x, y, b, c = word("x", 20), word("y", 4), word("b", 60), word("c", 60)
+        tails = [b, c]
+        if near_head:  # the members link to each other, and one of them to the other group
+            c = b[:54] + word("c", 6)
+            tails = [b, c, b[:40] + word("d", 2) + b[42:], c[:40] + word("e", 2) + c[42:]]
+        other = tails[-2 + case // 2]
+        texts += [x + y + b, x + y + c, x[1:] + y + other]
+        texts += [word(f"own{i}v{j}w", 80) + y + t for i, t in enumerate(tails) for j in range(4)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    assert rows_of(jaccard.join(df), "doc_id", "n_shingles", "component_id") == brute_components(df.collect())
+
+
 def test_jaccard_of_an_empty_table(no_docs):
     assert jaccard.join(no_docs).count() == 0
 
