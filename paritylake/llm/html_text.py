@@ -131,9 +131,22 @@ LABELLED = (
     (2, 0.0, 2, 0.0, 10, 1.0, 0, 1, 0, 1), (65, 0.2, 70, 0.0, 12, 0.0, 0, 1, 0, 1), (12, 0.33, 44, 0.0, 51, 0.1, 0, 1, 0, 1), (700, 0.0, 8, 0.0, 9, 0.0, 0, 1, 0, 1),
     (3, 0.0, 5, 1.0, 4, 0.0, 0, 1, 1, 1), (6, 0.0, 1, 1.0, 7, 0.0, 0, 1, 1, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 1), (5, 0.0, 2, 0.0, 1, 0.0, 0, 1, 0, 1),
     (4, 0.0, 7, 0.0, 3, 0.0, 0, 1, 1, 1), (1, 0.0, 4, 0.0, 6, 0.0, 0, 1, 1, 1), (7, 0.0, 6, 1.0, 5, 0.0, 0, 1, 0, 1), (8, 0.0, 3, 0.0, 4, 0.2, 0, 1, 0, 1),
+    # the article beside links: last paragraphs before a footer, headings after a menu, short and linked paragraphs, linked headings
+    (22, 0.0, 40, 0.0, 1, 1.0, 0, 1, 0, 1), (12, 0.0, 40, 0.0, 1, 1.0, 0, 1, 0, 1), (3, 0.0, 50, 0.0, 7, 1.0, 0, 1, 0, 1), (15, 0.0, 30, 0.0, 3, 0.5, 0, 1, 0, 1),
+    (5, 0.0, 4, 1.0, 60, 0.0, 0, 1, 1, 1), (5, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0, 1), (5, 0.0, 6, 1.0, 2, 0.0, 0, 1, 0, 1), (5, 0.0, 3, 1.0, 5, 1.0, 0, 1, 1, 1),
+    (4, 0.0, 9, 0.0, 4, 1.0, 0, 1, 1, 1), (2, 0.0, 1, 1.0, 3, 1.0, 0, 1, 0, 1), (8, 0.5, 4, 0.0, 3, 1.0, 0, 1, 0, 1), (20, 0.6, 40, 0.0, 30, 0.0, 0, 1, 0, 1),
+    (14, 0.8, 9, 0.9, 11, 0.9, 0, 1, 0, 1), (25, 0.7, 6, 0.8, 14, 0.9, 0, 1, 0, 1), (10, 0.9, 50, 0.0, 0, 0.0, 0, 1, 0, 1), (30, 0.95, 20, 0.0, 40, 0.0, 0, 1, 0, 1),
+    (16, 0.9, 90, 0.0, 5, 1.0, 0, 1, 0, 1), (30, 0.95, 100, 0.0, 4, 1.0, 0, 1, 0, 1), (12, 0.5, 2, 1.0, 3, 1.0, 0, 1, 0, 1), (7, 0.45, 12, 1.0, 9, 1.0, 0, 1, 0, 1),
+    (6, 1.0, 1, 1.0, 50, 0.0, 0, 1, 1, 1), (4, 1.0, 30, 0.0, 5, 1.0, 0, 1, 1, 1), (9, 1.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1), (3, 1.0, 70, 0.0, 20, 0.0, 0, 1, 1, 1),
     # text of pages without an article element
     (55, 0.0, 47, 0.0, 38, 0.0, 0, 0, 0, 1), (90, 0.05, 6, 0.0, 70, 0.0, 0, 0, 0, 1), (28, 0.0, 30, 0.1, 33, 0.0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1),
     (8, 0.0, 3, 1.0, 75, 0.0, 0, 0, 1, 1), (6, 0.0, 50, 0.0, 44, 0.0, 0, 0, 1, 1), (15, 0.0, 22, 0.0, 18, 0.0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1),
+    (23, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 1), (25, 0.0, 30, 0.0, 6, 1.0, 0, 0, 0, 1), (33, 0.0, 8, 1.0, 5, 0.9, 0, 0, 0, 1), (10, 0.0, 30, 0.0, 20, 1.0, 0, 0, 0, 1),
+    (4, 0.0, 3, 1.0, 75, 0.0, 0, 0, 0, 1), (1, 0.0, 6, 1.0, 9, 0.0, 0, 0, 1, 1), (3, 0.0, 6, 1.0, 2, 0.0, 0, 0, 0, 1), (4, 0.0, 6, 1.0, 8, 1.0, 0, 0, 0, 1),
+    (3, 0.0, 30, 0.0, 5, 0.0, 0, 0, 0, 1), (2, 0.0, 8, 0.0, 3, 0.0, 0, 0, 0, 1), (4, 0.0, 12, 0.0, 6, 0.3, 0, 0, 0, 1), (1, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 40, 0.0, 6, 0.0, 0, 0, 0, 1), (5, 0.0, 9, 0.5, 3, 0.3, 0, 0, 0, 1), (5, 0.0, 7, 0.0, 8, 1.0, 0, 0, 0, 1), (2, 0.0, 1, 0.0, 8, 0.5, 0, 0, 0, 1),
+    (6, 0.41, 0, 0.0, 1, 0.3, 0, 0, 1, 1), (5, 0.41, 0, 0.5, 2, 0.3, 0, 0, 1, 1),
+    (28, 0.41, 30, 0.0, 33, 0.0, 0, 0, 0, 1), (24, 0.41, 30, 1.0, 6, 1.0, 0, 0, 0, 1),
     # pages of one block or little else
     (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 1),
     (35, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 1), (50, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 1), (42, 0.1, 0, 0.0, 6, 1.0, 0, 0, 0, 1),
@@ -144,11 +157,14 @@ LABELLED = (
     # the same without a telling element: links, stray short blocks
     (6, 1.0, 5, 1.0, 7, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 80, 0.0, 0, 0, 0, 0), (14, 0.8, 9, 0.9, 11, 0.9, 0, 0, 0, 0), (25, 0.7, 6, 0.8, 14, 0.9, 0, 0, 0, 0),
     (3, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 0.0, 3, 0.5, 0, 0, 0, 0), (5, 0.0, 6, 1.0, 2, 0.0, 0, 0, 0, 0), (8, 0.5, 4, 0.0, 3, 1.0, 0, 0, 0, 0),
+    (14, 0.8, 30, 0.0, 40, 0.0, 0, 0, 0, 0), (40, 0.6, 20, 0.0, 30, 0.0, 0, 0, 0, 0), (6, 0.42, 50, 0.0, 60, 0.0, 0, 0, 0, 0), (25, 0.42, 9, 1.0, 50, 0.0, 0, 0, 0, 0),
     (6, 1.0, 70, 0.0, 5, 1.0, 0, 1, 0, 0), (9, 1.0, 8, 1.0, 7, 1.0, 0, 1, 0, 0), (4, 1.0, 90, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (3, 1.0, 2, 1.0, 4, 1.0, 0, 1, 0, 0), (1, 1.0, 50, 0.0, 1, 1.0, 0, 1, 0, 0), (12, 1.0, 11, 1.0, 10, 1.0, 0, 1, 0, 0), (25, 1.0, 6, 0.0, 14, 1.0, 0, 1, 0, 0),
+    (5, 1.0, 20, 0.0, 30, 0.0, 0, 1, 0, 0), (8, 1.0, 3, 1.0, 40, 0.0, 0, 1, 0, 0), (20, 1.0, 10, 0.0, 12, 0.0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 60, 0.0, 0, 1, 0, 0),
 )
 
 
-def grow(rows: tuple[tuple[float, ...], ...], depth: int = 6):
+def grow(rows: tuple[tuple[float, ...], ...], depth: int = 9):
     """A tree as nested (feature, threshold, left, right); a leaf is 0 or 1."""
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):

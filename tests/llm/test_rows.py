@@ -119,6 +119,25 @@ def test_main_text(page, want):
     assert html_text.main_text(page, html_text.grow(html_text.LABELLED)) == want
 
 
+def test_article_keeps_its_blocks_beside_links():
+    tree = html_text.grow(html_text.LABELLED)
+    long = "word " * 30
+    for page, want in [
+        (f"<article><p>{long}</p><p>The last words.</p></article><footer><a>Home</a></footer>", long + "The last words."),
+        (f"<article><p>{long}</p><h2>See also</h2><ul><li><a>One</a><li><a>Two</a></ul></article>", long + "See also"),
+        (f"<nav><a>One Two</a></nav><article><h1>Five words are the title</h1><p>{long}</p></article>", "Five words are the title " + long.strip()),
+        (f"<article><p>{long}</p><p>Read <a>this longer linked text</a> now.</p></article>", long + "Read this longer linked text now."),
+    ]:
+        assert html_text.main_text(page, tree) == want
+    for words in (1, 2, 5, 7, 22, 23, 300):
+        for before in (0, 1, 7, 60):
+            for after in (0, 1, 7, 60):
+                for p, n in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)):
+                    for density, heading in ((0.0, 0), (0.42, 0), (0.9, 0), (0.0, 1), (1.0, 1)):
+                        assert html_text.decide(tree, (words, density, before, p, after, n, 0, 1, heading))
+                    assert not html_text.decide(tree, (words, 1.0, before, p, after, n, 0, 1, 0))
+
+
 def test_tree_agrees_with_its_table():
     tree = html_text.grow(html_text.LABELLED)
     assert all(html_text.decide(tree, r[:-1]) == bool(r[-1]) for r in html_text.LABELLED)
