@@ -27,17 +27,22 @@ _MAIN = {"article", "main"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
            "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|breadcrumbs?|comments?|consent|cookies?|disqus|foot(?:er)?|head(?:er)?|menu\w*|nav\w*|navigation|"
-    r"newsletter|notice|pag(?:er|ination)|popup|promo\w*|related|reply|replies|share|sharing|side(?:bar)?|skip|social|sponsor\w*|subscribe|toolbar|widget)"
-    r"(?=$|[\s_-])", re.I)
+_NOUN = (r"(?:ads?|advert\w*|banner\w*|breadcrumbs?|comments?|consent|cookies?|disqus|foot(?:er)?|head(?:er)?|menu\w*|nav|navbar|navigation|newsletter|"
+         r"notice|pag(?:er|ination)|popup|promo\w*|related|reply|replies|share|sharing|side(?:bar)?|skip|social|sponsor\w*|subscribe|toolbar|widget)")
+# One whole name: such a noun, what place it has on the page, and what kind of box it is; not "has-sidebar" or "social-science".
+_OUTSIDE_NAME = re.compile(
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sub|mobile|user)[_-]+)*" + _NOUN + r"(?:[_-]+(?:" + _NOUN + r"|area|bar|block|box|buttons?|"
+    r"container|content|form|icons?|inner|items?|left|right|top|bottom|links?|list|outer|panel|posts?|articles?|primary|section|to|wrap|wrapper|\d+))*", re.I)
+# Names that inside an article may be its own title, lead or note.
+_OWN_NAME = re.compile(r"(?:[a-z]+[_-]+)*(?:banner|head|header|foot|footer|notice|side|promo|skip|widget)\w*(?:[_-].*)?", re.I)
 _OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(?P<raw>" + "|".join(_RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|</(?P<close>[a-z][a-z0-9:-]*)[^>]*>|<(?P<open>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
     re.I | re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# one attribute after the other, so that no value is taken for a name
+_ATTR = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?|\"[^\"]*\"|'[^']*'")
 _P_ENDS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
            "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
@@ -89,7 +94,7 @@ def blocks(page: str | None) -> list[Block]:
             up = stack[-1] if stack else ("", False, False)
             main = up[2] or name in _MAIN
             # a header inside the article holds its title; one outside is the page's
-            outside = up[1] or (name in _OUTSIDE and not (name == "header" and up[2])) or (bool(m["attrs"]) and name not in ("html", "body") and _is_outside(m["attrs"], name))
+            outside = up[1] or (name in _OUTSIDE and not (name == "header" and up[2])) or (bool(m["attrs"]) and name not in ("html", "body") and _is_outside(m["attrs"], name, main))
             if not m["attrs"].rstrip().endswith("/"):
                 stack.append((name, outside, main))
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -112,12 +117,14 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def _is_outside(attrs: str, name: str) -> bool:
+def _is_outside(attrs: str, name: str, main: bool) -> bool:
+    """What an element says of itself. Names of an article itself, and of its headings and paragraphs, say nothing."""
+    named = not (main and (name in _MAIN or name in ("p", "h1", "h2", "h3", "h4", "h5", "h6")))
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        if key in ("class", "id") and _OUTSIDE_NAMES.search(value) or key == "role" and value.lower() in _OUTSIDE_ROLES:
+        key, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "")
+        if key in ("class", "id") and named and any(_OUTSIDE_NAME.fullmatch(v) and not (main and _OWN_NAME.fullmatch(v)) for v in value.split()):
             return True
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if key == "role" and value.lower() in _OUTSIDE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
     return False
 

@@ -138,6 +138,18 @@ def test_article_keeps_its_blocks_beside_links():
                     assert not html_text.decide(tree, (words, 1.0, before, p, after, n, 0, 1, 0))
 
 
+@pytest.mark.parametrize("attrs", [
+    'style="overflow:hidden"', 'title="the hidden cost"', 'data-id="nav"', 'data-x="a class=menu b"', 'class="post has-sidebar"', 'class="content no-comments"', 'class="social-science"', "class=entry-header",
+])
+def test_attributes_are_read_by_whole_names(attrs):
+    tree, long = html_text.grow(html_text.LABELLED), " ".join(["word"] * 40)
+    for page in (f"<article {attrs}><p>{long}</p></article>", f"<main><div {attrs}><p>{long}</p></div></main>", f"<div {attrs}><p>{long}</p></div>"):
+        assert html_text.main_text(page, tree) == long
+    for outside in ("hidden", "class='x site-header'", "id=nav", "class=sidebar-left", "role=navigation"):
+        assert html_text.main_text(f"<div {outside}><p>{long}</p></div><div>{long}</div>", tree) == long
+    assert html_text.main_text(f"<article class=sidebar><div class=header><h1>Title</h1></div><p class=notice>{long}</p></article>", tree) == "Title " + long
+
+
 def test_tree_agrees_with_its_table():
     tree = html_text.grow(html_text.LABELLED)
     assert all(html_text.decide(tree, r[:-1]) == bool(r[-1]) for r in html_text.LABELLED)
