@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements and name parts by role (fixed values of HTML and of common page templates).
-_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "select", "title")
+_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "textarea", "select", "title")
 _OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "noscript", "header"}
 _MAIN = {"article", "main"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
-           "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+           "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+           "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "mpadded", "msub", "msup", "msubsup", "munder",
+           "mover", "munderover", "semantics"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _NOUN = (r"(?:ads?|advert\w*|banner\w*|breadcrumbs?|comments?|consent|cookies?|disqus|foot(?:er)?|head(?:er)?|menu\w*|nav|navbar|navigation|newsletter|"
          r"notice|pag(?:er|ination)|popup|promo\w*|related|reply|replies|share|sharing|side(?:bar)?|skip|social|sponsor\w*|subscribe|toolbar|widget)")
@@ -38,7 +40,9 @@ _OWN_NAME = re.compile(r"(?:[a-z]+[_-]+)*(?:banner|head|header|foot|footer|notic
 _OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>" + "|".join(_RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # a script or style left open ends with the page; any other one left open, or a self-closed svg, holds nothing
+    r"|<(?P<raw>script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<closed>" + "|".join(n for n in _RAW if n not in ("script", "style", "svg")) + r"|svg(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>))(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</(?P=closed)\s*>"
     r"|</(?P<close>[a-z][a-z0-9:-]*)[^>]*>|<(?P<open>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
     re.I | re.S)
 # one attribute after the other, so that no value is taken for a name
@@ -78,6 +82,9 @@ def blocks(page: str | None) -> list[Block]:
                 links += len(t.split())
         elif name := m["open"]:
             name = name.lower()
+            if name in _RAW:
+                buf.append(" ")
+                continue
             if name in _VOID:
                 if name not in _INLINE or name == "br":
                     buf.append(" ")
@@ -111,7 +118,7 @@ def blocks(page: str | None) -> list[Block]:
                 del stack[at:]
                 anchor = 0 if name in _P_ENDS else anchor
         else:
-            if m["raw"]:
+            if m["raw"] or m["closed"]:
                 buf.append(" ")
     flush()
     return out

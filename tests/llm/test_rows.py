@@ -150,6 +150,15 @@ def test_attributes_are_read_by_whole_names(attrs):
     assert html_text.main_text(f"<article class=sidebar><div class=header><h1>Title</h1></div><p class=notice>{long}</p></article>", tree) == "Title " + long
 
 
+@pytest.mark.parametrize("inner, want", [
+    ('<svg-icon name="x"></svg-icon>', ""), ("<select-box></select-box>", ""), ("<title-card>t</title-card>", "t"), ("<svg viewBox='0 0 1 1' />", ""), ("<svg/>", ""),
+    ("<svg><text>drawn</text></svg>", ""), ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"), ("<math/>", ""), ("<iframe src=x>", ""), ("<style>p{}</style>", ""),
+])
+def test_raw_elements_end_where_they_end(inner, want):
+    got = html_text.main_text(f"<article><p>a {inner} b</p><p>c</p></article>", html_text.grow(html_text.LABELLED))
+    assert got.split() == ["a", *want.split(), "b", "c"]
+
+
 def test_tree_agrees_with_its_table():
     tree = html_text.grow(html_text.LABELLED)
     assert all(html_text.decide(tree, r[:-1]) == bool(r[-1]) for r in html_text.LABELLED)
