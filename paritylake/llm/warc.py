@@ -254,8 +254,8 @@ def members(manifest: DataFrame, folder: str) -> DataFrame:
                     found = directory(f, size)
                     for name, (method, at, stored) in found.items():
                         if name.startswith("indexes/") and method == 0:
-                            lines = read_range(f, at, stored).decode("utf-8", "surrogatepass").splitlines()
-                            entries = [json.loads(x.partition(" ")[2]) for x in lines]
+                            lines = read_range(f, at, stored).split(b"\n")  # no other character ends a line
+                            entries = [json.loads(x.decode("utf-8", "surrogatepass").partition(" ")[2]) for x in lines if x]
                             warc = found[name.replace("indexes/", "archive/").removesuffix(".cdxj") + ".warc.gz"]
                             if warc[0] != 0:
                                 raise ValueError(f"{name}: its archive member is not stored")

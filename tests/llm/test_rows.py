@@ -280,6 +280,12 @@ def test_archives_with_comments_and_foreign_writers():
         warc.directory(io.BytesIO(b"nothing here"), 12)
 
 
+def test_urls_with_line_separators_go_through_archives(spark):
+    rows = [(1, "http://a/\u2028b", "one"), (2, "http://a/\x85b\u2029", "two"), (3, "http://a/\x0b\x1c", "three")]
+    got = warc.archived(spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, digest string"))
+    assert rows_of(got, "page_id", "payload_bytes") == [(1, 3), (2, 3), (3, 5)]
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_pages_go_through_archives(spark, zip64):
     from paritylake.llm.common import shared_path
