@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, min_odds: fl
 
 
 def _contexts(rows: DataFrame, model: Model) -> list[str]:
-    """Two-word phrases around a term that nearly only clean texts use."""
+    """Two-word phrases around a term that nearly only clean texts use; their number is bounded by the labels of `train`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -195,7 +195,7 @@ def _contexts(rows: DataFrame, model: Model) -> list[str]:
         return []
     got = rows.mapInPandas(run, "phrase string, y int, n bigint").groupBy("phrase").agg(
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum("n").alias("n"))
-    return [r["phrase"] for r in got.where("clean >= 5 AND clean >= 0.9 * n").orderBy(F.desc("clean"), "phrase").limit(500).collect()]
+    return [r["phrase"] for r in got.where("clean >= 5 AND clean >= 0.9 * n").orderBy(F.desc("clean"), "phrase").collect()]
 
 
 def _logistic(pts: pd.DataFrame) -> tuple[float, float, float]:

@@ -76,6 +76,13 @@ def test_toxicity_learns_terms_and_exceptions(toxic_tables):
     assert all(r["held_out"] == (d is not None and zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
 
 
+def test_toxicity_keeps_every_exception(spark):
+    text = " ".join(f"grobian w{i}x" for i in range(600))
+    rows = spark.createDataFrame([(text, 0)] * 5 + [("ein grobian", 1)] * 5, "text string, toxic int")
+    found = toxicity._contexts(rows, toxicity.Model({toxicity.fold("grobian"): 3.0}))
+    assert {toxicity.fold(f"grobian w{i}x") for i in range(600)} <= set(found)
+
+
 def test_toxicity_without_rows_or_labels(docs, no_docs, toxic_tables):
     model = toxicity.train(docs, toxic_tables[1].where("false"))
     assert model.weights == {} and toxicity.score(no_docs, model).count() == 0
