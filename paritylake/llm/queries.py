@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, lm_score, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from . import collocations, decontaminate, html_text, jaccard, lm_score, packing, quality, simhash, spelling, suffix_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -65,6 +65,18 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pieces(table(spark, d, "documents"), tokenizer_path())
 
 
+def op11_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(table(spark, d, "documents"))
+
+
+def op13_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.mine(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard": op9_jaccard,
     "op10_packing": op10_packing,
+    "op11_simhash": op11_simhash,
+    "op12_spelling": op12_spelling,
+    "op13_collocations": op13_collocations,
 }
 
 _WARC_SQL = """
@@ -153,4 +168,27 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_warc": _WARC_SQL, "op3_decontamination": _DECONTAMINATION_SQL, "op6_quality": _QUALITY_SQL, "op8_url_filter": _URL_SQL}
+_COLLOCATION_SQL = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k
+), f AS (SELECT lang, k AS size, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS n FROM i GROUP BY ALL
+), c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10
+), u AS (SELECT *, unnest(range(1, size)) AS k FROM c
+), s AS (
+    SELECT u.lang, u.phrase, a, k, l.n AS l, r.n AS r, (1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS score
+    FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1:k], ' ')
+    JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[k + 1 : u.size], ' ')
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), x AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE size = 3
+), y AS (SELECT lang, phrase, max(a) AS most FROM x GROUP BY ALL
+), z AS (
+    SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM b LEFT JOIN y USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a
+), t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": _WARC_SQL, "op3_decontamination": _DECONTAMINATION_SQL, "op6_quality": _QUALITY_SQL, "op8_url_filter": _URL_SQL,
+                           "op13_collocations": _COLLOCATION_SQL}
