@@ -92,7 +92,7 @@ def compare(
     ignore_zero_nan: bool = False,
     ignore_default_fill: bool = False,
     tolerance: float | None = None,
-    exact_integers: bool = False,
+    exact_integers: bool = True,
     rename: str | None = None,
     prefix: str = "",
     suffix: str = "",
@@ -559,8 +559,9 @@ class Comparison:
             .agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("near"))
         )
         rows = self._keyed[self._drv].where(K.has_key(self._k)).select(*self._k)
-        rows = lookup_join(rows, self._keys_once(self._lkp), self._k, "left_anti", self._hot_driver)
+        # probed before the unmatched rows are known: what is no large part of all rows is none of theirs that matters
         hot = find_hot_keys(rows.select(first), [first], self.skew)
+        rows = lookup_join(rows, self._keys_once(self._lkp), self._k, "left_anti", self._hot_driver)
         rows = lookup_join(rows, near, [first], "left", hot)
         shown = F.transform(
             F.coalesce("near", F.array().cast(near.schema["near"].dataType)),

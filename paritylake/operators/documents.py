@@ -516,16 +516,12 @@ def feature_paths(catalog: Catalog, envelope: Sequence[str] = ENVELOPE) -> list[
 
 def field_catalog(
     docs: DataFrame, doc: str, *, envelope: Sequence[str] = ENVELOPE, arrays: bool = False,
-    catalog: Catalog | None = None,
 ) -> DataFrame:
     """Sorted distinct leaf names (field, paths) over all documents. `arrays` looks
-    into lists of objects as well."""
-    catalog = catalog or discover(docs, doc, arrays=arrays)
-    counts: dict[str, int] = {}
-    for p in feature_paths(catalog, envelope):
-        counts[names_of(p)[-1]] = counts.get(names_of(p)[-1], 0) + 1
-    rows = sorted(counts.items())
-    return docs.sparkSession.createDataFrame(rows, "field string, paths bigint").orderBy("field")
+    into lists of objects as well. See `catalogue` for catalogues that are kept and merged."""
+    from .catalogue import catalogue, field_table
+
+    return field_table(catalogue(docs, doc, arrays=arrays), envelope).orderBy("field")
 
 
 def path_names(catalog: Catalog, envelope: Sequence[str] = ENVELOPE) -> dict[str, Path]:
@@ -538,12 +534,11 @@ def path_names(catalog: Catalog, envelope: Sequence[str] = ENVELOPE) -> dict[str
     return out
 
 
-def path_map(docs: DataFrame, doc: str, *, envelope: Sequence[str] = ENVELOPE,
-             catalog: Catalog | None = None) -> DataFrame:
+def path_map(docs: DataFrame, doc: str, *, envelope: Sequence[str] = ENVELOPE) -> DataFrame:
     """J6 as a table: name, path."""
-    catalog = catalog or discover(docs, doc)
-    rows = sorted((n, dotted_name(p)) for n, p in path_names(catalog, envelope).items())
-    return docs.sparkSession.createDataFrame(rows, "name string, path string")
+    from .catalogue import catalogue, path_table
+
+    return path_table(catalogue(docs, doc), envelope)
 
 
 # -- J7: lookup by name -------------------------------------------------------------

@@ -142,10 +142,16 @@ def align_features(
 
 
 def schema_diff(left: DataFrame, right: DataFrame, features_left, features_right) -> DataFrame:
-    """K6 as a table: feature, in_left, in_right. As many rows as there are columns."""
-    lset, rset = set(features_left), set(features_right)
-    rows = [(n, n in lset, n in rset) for n in sorted(lset | rset)]
-    return left.sparkSession.createDataFrame(rows, "feature string, in_left boolean, in_right boolean")
+    """K6 as a table: feature, in_left, in_right and how many rows of each side have a value.
+    Each side is read once; it has as many rows as there are columns."""
+
+    def side(df: DataFrame, features, name: str) -> DataFrame:
+        counts = [F.struct(F.lit(c).alias("feature"), F.count(F.col(quote(c))).alias(f"{name}_values")) for c in features]
+        return df.agg(F.array(*counts).alias("cells")).select(F.inline("cells"))
+
+    both = side(left, features_left, "left").join(side(right, features_right, "right"), "feature", "full")
+    return both.select("feature", F.col("left_values").isNotNull().alias("in_left"), F.col("right_values").isNotNull().alias("in_right"),
+                       "left_values", "right_values")
 
 
 def key_columns(

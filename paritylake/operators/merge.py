@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import prod
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from ..functions.text import quote
 from . import keys as K
 from .compare import Comparison, _positions, _Side
 from .stage import shared_dir
-from .skew import SkewPolicy, find_hot_keys, full_join, lookup_join
+from .skew import HotKeys, SkewPolicy, find_hot_keys, hot_rows, key_hash, lookup_join, salt_count
 
 
 def merge_rows(dfs: Sequence[DataFrame], by_name: bool = False) -> DataFrame:
@@ -37,7 +40,8 @@ def merge_columns(
     null_safe: bool = False, order_by: Sequence[Sequence[str]] | None = None, last_per_key: bool = False,
     skew: SkewPolicy = SkewPolicy(),
 ) -> tuple[DataFrame, list[str]]:
-    """M2: columns of several tables side by side, matched by key (chained full outer).
+    """M2: columns of several tables side by side, matched by key (full outer), in one shuffle
+    however many tables there are.
 
     Repeated non-key columns are dropped and the first copy kept, even where it is NULL
     unless `coalesce_duplicates`; the second result lists them. NULL keys match nothing
@@ -53,41 +57,97 @@ def merge_columns(
     if last_per_key:
         orders = order_by or [()] * len(dfs)
         dfs = [K.dedupe_last(df, keys, list(order)) for df, order in zip(dfs, orders)]
-    out = dfs[0]
-    for n, df in enumerate(dfs[1:], 1):
-        have = set(out.columns)
-        double = [c for c in df.columns if c in have and c not in keys]
+    seen = set(dfs[0].columns)
+    places: list[list[str]] = [[c for c in dfs[0].columns if c not in keys]]
+    again: list[list[str]] = [[]]
+    for df in dfs[1:]:
+        double = [c for c in df.columns if c in seen and c not in keys]
         removed += double
-        if coalesce_duplicates:
-            df = df.withColumnsRenamed({c: f"__again{n}_{c}" for c in double})
-        else:
-            df = df.drop(*double)
-        if null_safe:
-            out = _null_safe_join(out, df, keys, skew)
-        else:
-            out = full_join(out, df, keys, skew)
-        if coalesce_duplicates:
-            for c in double:
-                out = out.withColumn(c, F.coalesce(quote(c), quote(f"__again{n}_{c}"))).drop(f"__again{n}_{c}")
-    return out, removed
+        again.append(double if coalesce_duplicates else [])
+        places.append([c for c in df.columns if c not in seen and c not in keys])
+        seen |= set(df.columns)
+    return _merge_by_key(dfs, keys, places, again, null_safe, skew), removed
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], policy: SkewPolicy) -> DataFrame:
-    """NULL keys as equal: each key is split into a NULL flag and a filled value."""
-    flags = [f"__null_{k}" for k in keys]
+def _merge_by_key(dfs, keys, places, again, null_safe, policy) -> DataFrame:
+    """Rows of all tables, tagged with their table, meet in one shuffle by key; a table's rows of
+    the key are then set beside those of the others. Every table is read once in the plan.
 
-    def marked(df: DataFrame) -> DataFrame:
-        named = [F.col(quote(k)).isNull().alias(f) for k, f in zip(keys, flags)]
-        filled = [F.coalesce(F.col(quote(k)).cast("string"), F.lit("")).alias(f"__key_{k}") for k in keys]
-        return df.select("*", *named, *filled)
+    The inputs' keys are probed once, together. A hot key's rows are dealt over a grid with one axis for each
+    table, as long as the table's rows of the key ask for: a row has one place on its own table's
+    axis and is copied along the others, so every combination meets in one cell, and no cell
+    gathers more than a fair share of a table. Rows whose key has a NULL meet no other.
+    """
+    types = dfs[0].select(*map(quote, keys))
+    for df in dfs[1:]:
+        types = types.union(df.select(*map(quote, keys)))
+    fields = types.schema.fields
+    k, t = [f"__k{i}" for i in range(len(keys))], [f"__t{n}" for n in range(len(dfs))]
+    flags = [f"__f{i}" for i in range(len(keys))] if null_safe else []
+    on = [*k, *flags]
+    sides = []
+    for df, place, twice, own in zip(dfs, places, again, t):
+        cast = [F.col(quote(f.name)).cast(f.dataType) for f in fields]
+        if null_safe:  # NULL as a value: a flag, and a key that is filled
+            named = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(cast, k)] + [c.isNull().alias(f) for c, f in zip(cast, flags)]
+        else:
+            named = [c.alias(n) for c, n in zip(cast, k)]
+        row = [F.col(quote(c)) for c in (*place, *twice)] or [F.lit(True).alias("__row")]
+        sides.append(df.select(*named, F.struct(*row).alias(own)))
+    rows = None
+    for n, (own, side) in enumerate(zip(t, sides)):
+        laid = [F.col(c) if c == own else F.lit(None).cast(o.schema[c].dataType).alias(c) for c, o in zip(t, sides)]
+        laid = side.select(*on, *laid, F.lit(n).alias("__n"), F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()).alias("__row"))
+        rows = laid if rows is None else rows.union(laid)
+    cell = F.when(~K.has_key(on), F.array("__row")).otherwise(F.array(F.lit(0).cast("bigint")))
+    grids = _hot_grids(sides, on, policy)
+    lists = [F.collect_list(c).alias(c) for c in t]
+    if grids is None:
+        met = rows.withColumn("__cell", F.explode(cell)).groupBy(*on, "__cell").agg(*lists)
+    else:
+        dealt = rows.join(F.broadcast(grids), key_hash(on) == F.col("__h"), "left")
+        size, step = F.col("__sizes")[F.col("__n")], F.col("__steps")[F.col("__n")]
+        at = F.pmod(F.col("__row"), size) * step
+        outer = F.sequence(F.lit(0).cast("bigint"), F.col("__cells") - 1, size * step)
+        copies = F.flatten(F.transform(outer, lambda hi: F.transform(F.sequence(F.lit(0).cast("bigint"), step - 1), lambda lo: hi + at + lo)))
+        dealt = dealt.withColumn("__cell", F.explode(F.when(K.has_key(on) & F.col("__h").isNotNull(), copies).otherwise(cell)))
+        met = dealt.groupBy(*on, "__cell").agg(*lists, F.first("__has").alias("__has"))
+        # a cell that lacks a table whose rows are in other cells of the key
+        lacks = [F.col("__has")[n] & (F.size(c) == 0) for n, c in enumerate(t)]
+        met = met.where(~F.coalesce(reduce(or_, lacks), F.lit(False)))
+    for c in t:
+        met = met.withColumn(c, F.explode_outer(c))
+    columns = []
+    for n, place in enumerate(places):
+        for c in place:
+            copies = [F.col(f"{t[m]}.{quote(c)}") for m in range(n, len(dfs)) if m == n or c in again[m]]
+            columns.append((F.coalesce(*copies) if len(copies) > 1 else copies[0]).alias(c))
+    restored = [F.when(~F.col(f), F.col(c).cast(x.dataType)).alias(n) for c, f, x, n in zip(k, flags, fields, keys)]
+    return met.select(*(restored or [F.col(c).alias(n) for c, n in zip(k, keys)]), *columns)
 
-    types = {f.name: f.dataType for f in left.schema.fields}
-    on = [*flags, *[f"__key_{k}" for k in keys]]
-    out = full_join(marked(left).drop(*keys), marked(right).drop(*keys), on, policy)
-    restored = [
-        F.when(~F.col(f), F.col(f"__key_{k}").cast(types[k])).alias(k) for k, f in zip(keys, flags)
-    ]
-    return out.select(*restored, *[quote(c) for c in out.columns if c not in on])
+
+def _hot_grids(sides: list[DataFrame], on: list[str], policy: SkewPolicy) -> DataFrame | None:
+    """One row for each hot key: the length and stride of every table's axis, the number of cells and
+    which tables have the key. A hot key is one above a fair share of all rows, so there are
+    at most as many as shuffle partitions; axes are sized by the tables' rows of the key."""
+    probe = None
+    for n, s in enumerate(sides):
+        one = s.select(*on, F.lit(n).alias("__n"))
+        probe = one if probe is None else probe.union(one)
+    hot = find_hot_keys(probe, on, policy)
+    if not hot.hashes:
+        return None
+    salts = salt_count(probe)
+    many: dict[int, list[int]] = {}
+    for r in probe.where(hot_rows(on, hot)).groupBy(key_hash(on).alias("h"), "__n").count().collect():
+        many.setdefault(r["h"], [0] * len(sides))[r["__n"]] = r["count"]
+    rows = []
+    for h, counts in many.items():
+        most = max(counts)
+        sizes = [max(1, -(-salts * c // most) if c == most else min(salts, -(-salts * c // most))) for c in counts]
+        steps = [prod(sizes[:n]) for n in range(len(sizes))]
+        rows.append((h, sizes, steps, prod(sizes), [c > 0 for c in counts]))
+    return probe.sparkSession.createDataFrame(rows, "__h bigint, __sizes array<bigint>, __steps array<bigint>, __cells bigint, __has array<boolean>")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -210,20 +270,17 @@ def tagged_view(cmp: Comparison, sources: tuple[str, str] = ("left", "right")) -
     the compared features as text."""
     k = cmp._k
     verdicts = cmp.diff_keys().toDF(*k).withColumn("__differs", F.lit(True))
-    out = None
+    both = None
     for side, label in (("right", sources[1]), ("left", sources[0])):
         s = cmp._side(side)
         at = 1 if side == "left" else 2
-        rows = cmp._keyed[side].where(K.has_key(k))
-        hot = cmp._hot_driver if side == cmp._drv else cmp._hot_lookup
-        rows = lookup_join(rows, verdicts, k, "left", hot)
         features = [
             (s.column(f[at]).cast("string") if f[at] is not None else F.lit(None).cast("string")).alias(f[0])
             for f in cmp.feature_positions
         ]
-        rows = rows.select(
-            *cmp._key_output(), F.lit(label).alias("source"),
-            F.coalesce("__differs", F.lit(False)).alias("differs"), *features,
-        )
-        out = rows if out is None else out.union(rows)
-    return out
+        rows = cmp._keyed[side].where(K.has_key(k)).select(*k, F.lit(label).alias("source"), *features)
+        both = rows if both is None else both.union(rows)
+    hot = HotKeys(tuple({*cmp._hot_driver.hashes, *cmp._hot_lookup.hashes}))
+    found = lookup_join(both, verdicts, k, "left", hot)
+    names = [f[0] for f in cmp.feature_positions]
+    return found.select(*cmp._key_output(), "source", F.coalesce("__differs", F.lit(False)).alias("differs"), *map(quote, names))

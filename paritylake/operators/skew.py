@@ -49,7 +49,7 @@ def find_hot_keys(df: DataFrame, keys: list[str], policy: SkewPolicy) -> HotKeys
     listed = int(1 / share) + 1
     tracked = max(listed, min(max(20 * listed, _TRACKED[0]), _TRACKED[1]))
     row = (
-        df.select(F.when(_has_key(keys), _key_hash(keys)).alias("h"))
+        df.select(F.when(_has_key(keys), key_hash(keys)).alias("h"))
         .agg(
             F.expr(f"approx_top_k(h, {listed}, {tracked})").alias("top"),
             F.count("h").alias("keyed"),
@@ -62,7 +62,7 @@ def find_hot_keys(df: DataFrame, keys: list[str], policy: SkewPolicy) -> HotKeys
     return HotKeys(hashes, row["n"] - row["keyed"] >= floor)
 
 
-def _key_hash(keys: list[str]) -> Column:
+def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(quote(k)) for k in keys])
 
 
@@ -76,7 +76,12 @@ def _has_key(keys: list[str]) -> Column:
 def _is_hot(keys: list[str], hot: HotKeys) -> Column:
     if not hot.hashes:
         return F.lit(False)
-    return F.coalesce(_key_hash(keys).isin(*hot.hashes), F.lit(False))
+    return F.coalesce(key_hash(keys).isin(*hot.hashes), F.lit(False))
+
+
+def hot_rows(keys: list[str], hot: HotKeys) -> Column:
+    """Whether a row's key is hot."""
+    return _is_hot(keys, hot)
 
 
 def salt_count(df: DataFrame) -> int:
@@ -114,29 +119,6 @@ def salted(df: DataFrame, keys: list[str], own: HotKeys, copied: HotKeys, salts:
     return df.withColumn(SALT, F.explode(places))
 
 
-def full_join(left: DataFrame, right: DataFrame, keys: list[str], policy: SkewPolicy) -> DataFrame:
-    """Full outer join by key in one join, hot and missing keys of both sides spread.
-
-    A hot key is dealt out on one side and copied on the other. A copy that meets no row
-    in its part is dropped: the key is hot, so it meets some in another part. Each input
-    occurs once in the plan. A key repeated on both sides gives all its pairs.
-    """
-    both = left.select(*map(quote, keys)).union(right.select(*map(quote, keys))).schema
-    cast = lambda df: df.withColumns({f.name: F.col(quote(f.name)).cast(f.dataType) for f in both.fields})
-    if [left.schema[k].dataType for k in keys] != [right.schema[k].dataType for k in keys]:
-        left, right = cast(left), cast(right)
-    lhot, rhot = find_hot_keys(left, keys, policy), find_hot_keys(right, keys, policy)
-    if not lhot and not rhot:
-        return left.join(right, keys, "full")
-    rhot = HotKeys(tuple(h for h in rhot.hashes if h not in lhot.hashes), rhot.spread_nulls)
-    salts = salt_count(left)
-    l = salted(left, keys, lhot, rhot, salts).withColumn("__left", F.lit(True))
-    r = salted(right, keys, rhot, lhot, salts).withColumn("__right", F.lit(True))
-    lone = (F.col("__left").isNull() & _is_hot(keys, lhot)) | (F.col("__right").isNull() & _is_hot(keys, rhot))
-    names = [*keys, *[c for df in (left, right) for c in df.columns if c not in keys]]
-    return l.join(r, [*keys, SALT], "full").where(~lone).select(*map(quote, names))
-
-
 def lookup_join(
     driver: DataFrame, lookup: DataFrame, keys: list[str], how: str, hot: HotKeys
 ) -> DataFrame:

@@ -46,3 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path below it."""
     return f"{shared_dir(spark)}/{name}-{os.urandom(6).hex()}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: what it took is done once, and is
+    not done again when an executor is lost."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,9 +13,11 @@ from ..functions.cells import cells_equal
 from ..functions.numbers import difference, format_number_plain, to_double, to_number
 from ..functions.text import first_nonempty, text_guard
 from ..functions.times import normalize_ts, plus_one_second, request_time, to_standard_time
+from ..operators import catalogue
 from ..operators import documents as D
 from ..operators import keys as K
 from ..operators import stats as S
+from ..operators.blocks import compare_by_blocks
 from ..operators.compare import Comparison, compare, compare_nested, split_errors
 from ..operators.detail import diff_detail, error_report, only_report
 from ..operators.enrich import batch_enrich, enrich
@@ -112,6 +114,22 @@ def compare_feature_stats(spark, d):
     return _orders(spark, d).stats()
 
 
+@query("compare_blocks_stats", """WITH a AS (SELECT o_orderkey AS k, o_orderpriority AS prio, o_orderstatus AS status, o_custkey AS cust FROM orders WHERE o_orderkey % 211 <> 3),
+b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 97 = 5 THEN 'none yet' ELSE o_orderpriority END AS prio,
+  CASE WHEN o_orderkey % 89 = 7 THEN ' ' || o_orderstatus WHEN o_orderkey % 83 = 1 THEN NULL ELSE o_orderstatus END AS status, o_custkey AS cust FROM orders WHERE o_orderkey % 223 <> 4),
+m AS (SELECT count(*) AS total, count(*) FILTER (a.prio <> b.prio) AS prio, count(*) FILTER (coalesce(trim(a.status), '') <> coalesce(trim(b.status), '')) AS status FROM a JOIN b USING (k))
+SELECT 'prio' AS feature, total, total - prio AS match, prio AS mismatch FROM m UNION ALL SELECT 'status', total, total - status, status FROM m
+UNION ALL SELECT 'cust', total, total, 0 FROM m""")
+def compare_blocks_stats(spark, d):
+    """Two versions of a table that are equal in most rows: only unlike blocks are joined."""
+    rows, k, status = X.table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_orderstatus")
+    left = rows.where(k % 211 != 3).select(k.alias("k"), F.col("o_orderpriority").alias("prio"), status.alias("status"), F.col("o_custkey").alias("cust"))
+    right = rows.where(k % 223 != 4).select(
+        k.alias("k"), F.when(k % 97 == 5, "none yet").otherwise(F.col("o_orderpriority")).alias("prio"),
+        F.when(k % 89 == 7, F.concat(F.lit(" "), status)).when(k % 83 != 1, status).alias("status"), F.col("o_custkey").alias("cust"))
+    return compare_by_blocks(left, right, "k", unique_lookup=True, unique_driver=True).stats()
+
+
 @query("compare_diff_detail", f"""{cells_sql()}
 SELECT k, feature, {shown_sql('r')} AS right_value, {shown_sql('l')} AS left_value,
        coalesce(nullif(trim(bp), ''), trim(ap)) AS time, coalesce(nullif(trim(ac), ''), trim(bc)) AS customer
@@ -744,16 +762,28 @@ def stacked(spark, d):
     return tagged_view(_orders(spark, d))
 
 
-@query("schema_diff", """SELECT * FROM (VALUES ('balance', false, true), ('nation', true, true), ('segment', true, false)) t(feature, in_left, in_right)
-WHERE (SELECT count(*) FROM customer) > 0""")
+@query("schema_diff", """SELECT 'balance' AS feature, false AS in_left, true AS in_right, CAST(NULL AS BIGINT) AS left_values, (SELECT count(s_acctbal) FROM supplier) AS right_values
+UNION ALL SELECT 'nation', true, true, (SELECT count(c_nationkey) FROM customer WHERE c_custkey % 7 <> 0), (SELECT count(s_nationkey) FROM supplier)
+UNION ALL SELECT 'segment', true, false, (SELECT count(c_mktsegment) FROM customer), NULL""")
 def schema_difference(spark, d):
-    c = X.table(spark, d, "customer").selectExpr("c_custkey as id", "c_nationkey as nation", "c_mktsegment as segment")
+    nation = F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey"))
+    c = X.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), nation.alias("nation"), F.col("c_mktsegment").alias("segment"))
     s = X.table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_nationkey as nation", "s_acctbal as balance")
-    cmp = compare(c, s, "id", mode="offline")
-    pairs = K.schema_diff(c, s, c.columns[1:], s.columns[1:])
-    # joined with the comparison so that the names are those really compared
-    compared = cmp.stats().select("feature").withColumn("compared", F.lit(True))
-    return pairs.join(compared, "feature", "left").select("feature", "in_left", "in_right")
+    return K.schema_diff(c, s, c.columns[1:], s.columns[1:])
+
+
+@query("json_catalogue_merge", f"""WITH {X.RESPONSES_SQL}, paths AS (
+SELECT k, unnest(CASE state WHEN 'error' THEN ['_error'] WHEN 'full' THEN ['data.features.uid', 'data.features.k', 'data.kind']
+  WHEN 'direct' THEN ['data.uid', 'data.k', 'data.kind'] ELSE [] END) AS path FROM responses)
+SELECT path, count(*) AS n FROM paths GROUP BY path""")
+def json_catalogue_merge(spark, d):
+    """Catalogues of three lots of documents, each stored, and their merge; then how often each path occurs."""
+    docs = _docs(spark, d)
+    lots = [catalogue.catalogue(docs.where(F.pmod(F.hash("k"), F.lit(3)) == i), "doc") for i in range(3)]
+    found = catalogue.merge_catalogues(*lots)
+    named = catalogue.path_table(found).select("path")
+    dotted = F.array_join(F.transform("path", lambda s: F.substr(s, F.lit(2))), ".")
+    return found.select(dotted.alias("path"), F.col("values").alias("n")).join(named, "path")
 
 
 # -- profile, history -----------------------------------------------------------------
@@ -821,6 +851,40 @@ def responses_in_files(spark, d):
     return files.read_responses(spark, path).select(D.get_path(doc, "k").cast("bigint").alias("k"), D.get_path(doc, "v").alias("v"))
 
 
+@query("csv_multiline_split", """SELECT o_orderkey AS k, concat(o_orderpriority, chr(10), '"', o_orderstatus, '", ', CASE WHEN o_orderkey % 3 = 0 THEN chr(13) || chr(10) ELSE '""' END) AS note,
+CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'a"b' END AS mark FROM orders""")
+def csv_multiline_split(spark, d):
+    """Cells with line breaks, separators and quotes, read range by range."""
+    k = F.col("o_orderkey")
+    note = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", '), F.when(k % 3 == 0, "\r\n").otherwise('""'))
+    rows = X.table(spark, d, "orders").select(k.alias("k"), note.alias("note"), F.when(k % 7 != 0, 'a"b').alias("mark"))
+    path = f"{fresh_dir(spark, 'csv')}/notes"
+    files.write_table(rows, path, fmt="csv")
+    return files.read_table(spark, path, multi_line="split").select(F.col("k").cast("bigint").alias("k"), "note", "mark")
+
+
+@query("responses_split", """SELECT CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN o_orderkey % 5 = 0 THEN '}],[{' ELSE CAST(o_custkey AS VARCHAR) END AS v FROM orders
+WHERE o_orderkey // 1000 % 9 <> 4 AND o_orderkey % 11 <> 0
+UNION ALL SELECT NULL, 'not_object' FROM orders WHERE o_orderkey // 1000 % 9 <> 4 AND o_orderkey % 11 = 0
+UNION ALL SELECT DISTINCT CAST(o_orderkey // 1000 AS VARCHAR), 'invalid' FROM orders WHERE o_orderkey // 1000 % 9 = 4""")
+def responses_split(spark, d):
+    """Arrays cut into items range by range, with what is rejected: every ninth file is cut off, and
+    some items are no objects."""
+    k, part = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 1000)
+    v = F.when(k % 5 == 0, "}],[{").otherwise(F.col("o_custkey").cast("string"))
+    one = F.concat(F.lit('{"k":'), k.cast("string"), F.lit(',"v":"'), v, F.lit('"}'))
+    one = F.when(k % 11 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one)
+    arrays = X.table(spark, d, "orders").groupBy(part.alias("part")).agg(F.concat_ws(", ", F.collect_list(one)).alias("items"))
+    text = F.concat(F.lit("["), "items", F.when(F.col("part") % 9 == 4, "").otherwise("]"))
+    path = f"{fresh_dir(spark, 'responses')}/files"
+    arrays.select("part", text.alias("value")).write.partitionBy("part").text(path)
+    items, rejects = files.split_responses(spark, path)
+    doc = D.parse("body")
+    read = items.where("body LIKE '{%'").select(D.get_path(doc, "k").alias("k"), D.get_path(doc, "v").alias("v"))
+    part = F.when(F.col("position").isNull(), F.regexp_extract("file", "part=([0-9]+)", 1))
+    return read.union(rejects.select(part.alias("k"), F.col("reason").alias("v")))
+
+
 @query("merge_columns_hot_both", """WITH l AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE l_orderkey * 10 + l_linenumber END AS k, l_partkey AS a FROM lineitem),
 r AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 31 WHEN o_orderkey = 1 THEN 1 ELSE o_orderkey * 10 + 1 END AS k, o_custkey AS c FROM orders)
 SELECT k, a, c FROM l FULL JOIN r USING (k)""")

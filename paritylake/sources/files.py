@@ -8,10 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import quote
 from ..operators import documents as D
 from ..operators.keys import ORDER_COLUMN
+from ..operators.stage import compute, stored
+from .split import csv_records, json_segments
 
 _CORRUPT = "_bad_row"
 
@@ -23,10 +26,10 @@ def _csv_reader(spark: SparkSession, encoding: str, multi_line: bool, sep: str):
     )
 
 
-def read_header(spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = False,
+def read_header(spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool | str = False,
                 sep: str = ",") -> list[str]:
     """The header cells of a CSV table; ValueError when empty or repeated."""
-    first = _csv_reader(spark, encoding, multi_line, sep).csv(path).first()
+    first = _csv_reader(spark, encoding, bool(multi_line), sep).csv(path).first()
     if first is None:
         raise ValueError(f"CSV file is empty: {path}")
     return _checked(["" if c is None else c for c in first], path)
@@ -57,14 +60,15 @@ def _cells(line: str, sep: str) -> list[str]:
 
 
 def read_table(
-    spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool = False, sep: str = ",",
+    spark: SparkSession, path, *, encoding: str = "utf-8", multi_line: bool | str = False, sep: str = ",",
     row_order: bool = False, by_name: bool = False,
 ) -> DataFrame:
     """A CSV table with header, every column text.
 
     Short rows are padded with NULL, extra cells dropped. Names may differ in case
-    only. Large files are split; `multi_line` understands quoted line breaks instead and
-    reads each file in one task. A file with another header than the first is an error;
+    only. Large files are split. `multi_line` understands quoted line breaks: True reads each file in
+    one task, "split" reads large files in many, twice each, and gives the same rows where lines
+    end at \\n or \\r\\n (see `sources.split`). A file with another header than the first is an error;
     `by_name` matches the columns of such files by name, NULL where a file lacks one, for one
     more pass over the lines. `row_order` adds the row's place in its file as `_row_order`,
     which orders rows the way the file does. GBK text needs `spark.sql.legacy.javaCharsets`.
@@ -83,6 +87,8 @@ def read_table(
 
 
 def _read_named(spark, path, names, encoding, multi_line, sep, row_order, check) -> DataFrame:
+    if multi_line == "split":
+        return _read_split(spark, path, names, encoding, sep, row_order, check)
     # Spark compares each file's header with the schema, but cannot hold names that differ in case only
     check = check and len({n.lower() for n in names}) == len(names) and "" not in names
     safe = names if check else [f"c{i}" for i in range(len(names))]
@@ -94,6 +100,30 @@ def _read_named(spark, path, names, encoding, multi_line, sep, row_order, check)
     return df.select(*map(quote, safe), file_order().alias(ORDER_COLUMN)).toDF(*names, ORDER_COLUMN)
 
 
+def _read_split(spark, path, names, encoding, sep, row_order, check) -> DataFrame:
+    utf8 = encoding.lower().replace("-", "") == "utf8"
+    text = F.col("value").cast("string") if utf8 else F.decode("value", encoding)
+    rows = csv_records(spark, path, sep=sep).select("file", "block", "no", text.alias("value"))
+    rows = rows.withColumn("value", F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")))
+    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))  # one more shows a longer header
+    options = {"sep": sep, "escape": '"', "maxColumns": "100000", "multiLine": "true"}
+    head = (F.col("block") == 0) & (F.col("no") == 0)
+    text = F.when(head, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    rows = rows.where("value <> ''").select("file", "block", "no", F.from_csv(text, schema, options).alias("cells"))
+    if check:
+        cells = [F.lower(F.coalesce(F.col(f"cells.c{i}"), F.lit(""))) for i in range(len(names))]
+        same = F.col(f"cells.c{len(names)}").isNull() & (F.array(*cells) == F.array(*[F.lit(n.lower()) for n in names]))
+        other = F.raise_error(F.concat(F.lit("another header than the table's in "), "file")).cast("boolean")
+        rows = rows.where(F.when(head, F.when(same, False).otherwise(other)).otherwise(True))
+    else:
+        rows = rows.where(~head)
+    columns = [F.col(f"cells.c{i}") for i in range(len(names))]
+    if not row_order:
+        return rows.select(*columns).toDF(*names)
+    order = F.struct("file", "block", F.col("no").alias("row"))
+    return rows.select(*columns, order).toDF(*names, ORDER_COLUMN)
+
+
 def file_order() -> Column:
     """File, split and row number within the split: repeats exactly when a task is run
     again. Use directly on a scan."""
@@ -168,11 +198,53 @@ def _whole_files(spark: SparkSession, path) -> DataFrame:
     return text.select("file", "value", F.when(many, D.parse("value", "array<variant>")).when(one.isNotNull(), F.array(one)).alias("items"))
 
 
+def _segments(spark: SparkSession, path) -> DataFrame:
+    """(file, position, body, reason, whole): the items of each file, and what is wrong with them or, if
+    `whole`, with the file. Written once."""
+    cut = json_segments(spark, path)
+    text = F.col("value").cast("string")
+    text = F.when(F.col("begin") == "^", F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    cut = compute(cut, ["file", "block", "no", "begin", "end"], text=text)
+    parsed = compute(cut, doc=D.parse("text"))
+    parsed = stored(parsed.select(
+        "file", "block", "no", "begin", "end", F.col("text").rlike(r"^\s*$").alias("blank"), F.to_json("doc").alias("body"),
+        F.coalesce(D.is_object(F.col("doc")), F.lit(False)).alias("object")), "responses")
+    begin, end, blank, bad = F.col("begin"), F.col("end"), F.col("blank"), F.col("body").isNull()
+    lone = (begin == "^") & end.isNull()
+    between = begin.isin("[", ",") & end.isNotNull()
+    around = (begin.isNull()) | ((begin == "^") & (end == "[")) | ((begin == "]") & end.isNull())
+    empty = (begin == "[") & (end == "]") & blank
+    wrong = F.when(lone | between, bad & ~F.coalesce(empty, F.lit(False))).when(around, ~blank).otherwise(True)
+    item = (lone | between) & ~F.coalesce(empty, F.lit(False))
+    # the items of a range follow those of the ranges before it; the segment before the first bracket is none
+    ranges = parsed.where("begin IS NOT NULL").groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("passed"))
+    placed = parsed.join(ranges, ["file", "block"], "left")
+    position = F.when(lone, F.lit(0)).otherwise(F.col("passed") + F.col("no") - 1).cast("bigint")
+    broken = F.when(lone & blank, "empty").otherwise("invalid")
+    reason = F.when(wrong, broken).when(item & ~F.col("object"), "not_object")
+    return placed.where(item | wrong).select("file", position.alias("position"), "body", reason.alias("reason"), wrong.alias("whole"))
+
+
+def split_responses(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """The tables of `read_responses` and `rejected_responses`, from files of which each is an
+    array of documents of any size or one document: large files are read by many tasks. Items are
+    parsed once and written to the shared folder."""
+    found = stored(_segments(spark, path), "response-items")
+    broken = found.where("whole").groupBy("file").agg(F.max("reason").alias("reason"))
+    items = found.where("NOT whole").join(broken.select("file"), "file", "left_anti")
+    rejects = broken.select("file", F.lit(None).cast("bigint").alias("position"), "reason").unionByName(
+        items.where("reason IS NOT NULL").select("file", "position", "reason"))
+    return items.select("file", "position", "body"), rejects
+
+
 def read_responses(spark: SparkSession, path, *, lines: bool = False) -> DataFrame:
     """Stored responses as (file, position, body): each file one JSON object or an
     array of them, or with `lines` one document per line, which Spark splits at any size.
 
-    A file that is no JSON gives no row here; `rejected_responses` lists it.
+    A file that is no JSON gives no row here; `rejected_responses` lists it. Each file is read by
+    one task; `split_responses` reads large arrays in many.
     """
     if lines:
         return spark.read.text(path).select(
