@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import float_text, to_double, to_number
 from ..functions.text import clean, col, is_null_token, non_empty, quote
 from . import keys as K
-from .stage import compute
+from .stage import compute, stored
 
 Path = tuple[str, ...]
 
@@ -488,6 +488,8 @@ def body_to_wide(
         K.resolve(df.columns, name)
     shaped = clean(body).startswith("{")
     rows = compute(df, keep=list(base), __doc=F.when(shaped, parse(body)))
+    if catalog is None:  # each body is parsed once, for its names and its values
+        rows = stored(rows, "parsed-bodies")
     columns = _dotted_columns(rows, "__doc", ".", None, catalog)
     out = [
         F.coalesce(columns[b], F.col(quote(b)).cast("string")).alias(b) if b in columns

@@ -13,7 +13,7 @@ from ..functions.text import clean, quote
 from . import documents as D
 from . import keys as K
 from .skew import SkewPolicy, find_hot_keys, lookup_join
-from .stage import compute
+from .stage import compute, stored
 
 
 def render(v: Column, convert: bool = False, kinds: frozenset[str] = D.ANY_KIND) -> Column:
@@ -30,7 +30,8 @@ def render(v: Column, convert: bool = False, kinds: frozenset[str] = D.ANY_KIND)
 
 def _attach(df: DataFrame, responses: DataFrame, keys, response_keys, body: str, order_by,
             skew: SkewPolicy) -> DataFrame:
-    """Left join of the last response per key: adds `__doc`, `__body` and `__error`."""
+    """Left join of the last response per key: adds `__doc`, `__error` and, unless the responses are parsed
+    already (`_parsed`), `__body`."""
     names = df.columns
     lk = K.resolve_all(names, keys)
     rk = K.resolve_all(responses.columns, response_keys if response_keys is not None else [names[i] for i in lk])
@@ -40,10 +41,11 @@ def _attach(df: DataFrame, responses: DataFrame, keys, response_keys, body: str,
         [fields[i] for i in lk], [responses.schema.fields[i] for i in rk], "all"
     )
     rows = df.select("*", *[c.alias(n) for c, n in zip(lcols, k)])
-    have_error = "error" in responses.columns
+    have_error, parsed = "error" in responses.columns, "__doc" in responses.columns
     order = list(order_by)
+    shown = [F.col("__doc"), F.col("__shaped")] if parsed else [F.col(quote(body)).cast("string").alias("__body")]
     looked = responses.select(
-        *[c.alias(n) for c, n in zip(rcols, k)], F.col(quote(body)).cast("string").alias("__body"),
+        *[c.alias(n) for c, n in zip(rcols, k)], *shown,
         (F.col("error") if have_error else F.lit(None)).cast("string").alias("__failed"),
         *[F.col(quote(o)).alias(f"__o{i}") for i, o in enumerate(order)],
     ).where(K.has_key(k))
@@ -52,21 +54,32 @@ def _attach(df: DataFrame, responses: DataFrame, keys, response_keys, body: str,
     )
     hot = find_hot_keys(rows.select(*k), k, skew)
     looked = looked.withColumn("__seen", F.lit(True))
-    joined = compute(lookup_join(rows, looked, k, "left", hot), __doc=D.parse("__body"))
-    doc = F.col("__doc")
+    joined = lookup_join(rows, looked, k, "left", hot)
+    if not parsed:
+        joined = compute(joined, __doc=D.parse("__body"))
+    doc, shaped = F.col("__doc"), F.coalesce(F.col("__shaped") if parsed else clean("__body").startswith("{"), F.lit(False))
     error = (
         F.when(F.col("__seen").isNull(), "no response")
         .when(F.col("__failed").isNotNull(), F.col("__failed"))
-        .when(doc.isNull() | ~clean("__body").startswith("{"), "response is no JSON object")
+        .when(doc.isNull() | ~shaped, "response is no JSON object")
         .when(D.at(doc, ["_error"]).isNotNull(), D.text_of(D.at(doc, ["_error"])))
     )
     return compute(joined, __error=error)
 
 
+def _parsed(responses: DataFrame, body: str) -> DataFrame:
+    """Responses with `__doc` and `__shaped` for their body, written: names and values are read from
+    one parse of each body."""
+    rest = [c for c in responses.columns if c != body]
+    return stored(compute(responses, rest, __doc=D.parse(body), __shaped=clean(body).startswith("{")), "parsed-responses")
+
+
 def _documents(responses: DataFrame, body: str) -> DataFrame:
     docs = responses
     if "error" in responses.columns:
         docs = docs.where(F.col("error").isNull())
+    if "__doc" in responses.columns:
+        return docs.where(F.col("__shaped") & F.col("__doc").isNotNull() & D.at(F.col("__doc"), ["_error"]).isNull())
     shaped = clean(body).startswith("{")
     docs = compute(docs, keep=[], __doc=F.when(shaped, D.parse(body)))
     return docs.where(F.col("__doc").isNotNull() & D.at(F.col("__doc"), ["_error"]).isNull())
@@ -119,6 +132,9 @@ def batch_enrich(
     features, learned from the responses unless given.
     """
     if features is None:
+        if response_keys is not None:  # by name, as the body column goes
+            response_keys = [responses.columns[i] for i in K.resolve_all(responses.columns, response_keys)]
+        responses = _parsed(responses, body)
         inner = _documents(responses, body).select(D.unwrap("__doc").alias("node"))
         members = F.try_variant_get("node", "$", "map<string,variant>")
         features = D.distinct_names(inner.select(F.explode(F.map_keys(members))))

@@ -16,6 +16,7 @@ from ..functions.times import normalize_ts, plus_one_second, request_time, to_st
 from ..operators import catalogue
 from ..operators import documents as D
 from ..operators import keys as K
+from ..operators import runs as R
 from ..operators import stats as S
 from ..operators.blocks import compare_by_blocks
 from ..operators.compare import Comparison, compare, compare_nested, split_errors
@@ -23,8 +24,9 @@ from ..operators.detail import diff_detail, error_report, only_report
 from ..operators.enrich import batch_enrich, enrich
 from ..operators.merge import merge_columns, merge_rows, merged_view, tagged_view
 from ..operators.reconcile import decimal_reconcile
-from ..operators.stage import fresh_dir
-from ..sources import files
+from ..operators.skew import SkewPolicy
+from ..operators.stage import fresh_dir, stored
+from ..sources import files, preview, write_reports
 from . import fixtures as X
 from .scenarios import outcome_counts, run_scenarios
 
@@ -114,6 +116,16 @@ def compare_feature_stats(spark, d):
     return _orders(spark, d).stats()
 
 
+@query("compare_stored_tables", stats_sql())
+def compare_stored_tables(spark, d):
+    """Both sides are stored by key first; the comparison then shuffles neither."""
+    sides = []
+    for rows in (X.orders_a(spark, d), X.orders_b(spark, d)):
+        path = fresh_dir(spark, "keyed")
+        sides.append(files.write_keyed(rows, "keyed_" + path.rsplit("-", 1)[1], ["k"], buckets=8, path=path))
+    return compare(*sides, "k", skew=SkewPolicy(enabled=False), unique_lookup=True, unique_driver=True).stats()
+
+
 @query("compare_blocks_stats", """WITH a AS (SELECT o_orderkey AS k, o_orderpriority AS prio, o_orderstatus AS status, o_custkey AS cust FROM orders WHERE o_orderkey % 211 <> 3),
 b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 97 = 5 THEN 'none yet' ELSE o_orderpriority END AS prio,
   CASE WHEN o_orderkey % 89 = 7 THEN ' ' || o_orderstatus WHEN o_orderkey % 83 = 1 THEN NULL ELSE o_orderstatus END AS status, o_custkey AS cust FROM orders WHERE o_orderkey % 223 <> 4),
@@ -939,6 +951,118 @@ def scenario_runs(spark, d):
     return tables["tolerant"].crossJoin(F.broadcast(outcome_counts(outcomes)))
 
 
+# -- sketches of runs ----------------------------------------------------------------------
+
+_RUNS = ((7, 9), (5, 9), (11, 6))  # a run's price differs in every so many orders, and its status
+
+
+@query("run_sketches", " UNION ALL ".join(f"""SELECT '{f}' AS feature, CAST(3 AS BIGINT) AS runs,
+count(*) FILTER ({' OR '.join(f'o_orderkey % {r[i]} = 0' for r in _RUNS)}) AS keys,
+count(*) FILTER (o_orderkey % {_RUNS[1][i]} = 0 AND o_orderkey % {_RUNS[0][i]} <> 0) AS appeared,
+count(*) FILTER (o_orderkey % {_RUNS[0][i]} = 0 AND o_orderkey % {_RUNS[1][i]} <> 0) AS gone,
+count(*) FILTER (o_orderkey % {_RUNS[0][i]} = 0 AND o_orderkey % {_RUNS[1][i]} = 0) AS stayed FROM orders""" for i, f in enumerate(("price", "status"))))
+def run_sketches(spark, d):
+    """Three runs, each stored as its sketches: keys that differ in any, and what the second changed."""
+    o, k = X.table(spark, d, "orders"), F.col("o_orderkey")
+    left = o.select(k.alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    history = None
+    for n, (p, q) in enumerate(_RUNS):
+        right = left.withColumns({"price": F.col("price") + F.when(F.col("k") % p == 0, 1.0).otherwise(0.0), "status": F.when(F.col("k") % q == 0, "?").otherwise(F.col("status"))})
+        run = stored(R.run_sketch(compare(left, right, "k", unique_lookup=True, unique_driver=True), f"run{n}"), "run")
+        history = run if history is None else history.union(run)
+    return R.differing_keys(history).join(R.run_changes(history, "run0", "run1"), "feature")
+
+
+# -- roles, key policies, excluded columns, context ------------------------------------------
+
+@query("detect_roles", """SELECT o_custkey AS customer, count(o_orderdate) AS times, 2 * count(*) AS cells FROM orders GROUP BY o_custkey""")
+def detect_roles(spark, d):
+    """Rows, times and feature cells of each customer, with the columns found by their names."""
+    rows = X.table(spark, d, "orders").selectExpr("o_orderkey AS row", "o_custkey AS `CustNo`", "o_orderdate AS use_create_time", "o_orderstatus AS f1", "o_orderpriority AS f2")
+    found, names = K.detect_roles(rows.columns), rows.columns
+    cells = F.array(*[F.col(c) for c in names[found["feature_start"]:]])
+    return rows.groupBy(F.col(names[found["customer"]]).alias("customer")).agg(
+        F.count(names[found["time"]]).alias("times"), F.sum(F.size(cells)).alias("cells"))
+
+
+_ANY_KEYS_SQL = """WITH l AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS id,
+CASE WHEN o_orderkey % 5 = 0 THEN 'd' || o_orderkey WHEN o_orderkey % 3 = 0 THEN '' ELSE 'x' END AS day, CAST(o_custkey AS VARCHAR) AS custno,
+'c' || o_orderkey AS create_time, o_orderstatus AS f, o_orderkey AS k FROM orders),
+r AS (SELECT id, day, CASE WHEN k % 7 = 0 THEN 'changed' ELSE f END AS f, k FROM l WHERE k % 11 <> 0)"""
+
+
+@query("compare_any_keys", f"""{_ANY_KEYS_SQL} SELECT l.id, l.day, custno AS customer, create_time AS left_time, CASE WHEN k % 13 = 0 THEN 'c' || k ELSE 'raw' || k END AS right_time,
+'f' AS feature, l.f AS left_value, r.f AS right_value, 'now' || k AS time_now FROM l JOIN r USING (k) WHERE l.f <> r.f""")
+def compare_any_keys(spark, d):
+    """Keys of which any part may be missing; times of the table before it was parsed; time_now is never compared."""
+    o, k = X.table(spark, d, "orders"), F.col("o_orderkey")
+    id_ = F.when(k % 5 != 0, k.cast("string"))
+    day = F.when(k % 5 == 0, F.concat(F.lit("d"), k)).when(k % 3 != 0, "x")
+    head = [id_.alias("id"), day.alias("day"), F.col("o_custkey").cast("string").alias("custno"), F.concat(F.lit("c"), k).alias("create_time")]
+    f = F.col("o_orderstatus")
+    left = o.select(*head, F.lit("then").alias("time_now"), f.alias("f"))
+    right = o.where(k % 11 != 0).select(*head, F.concat(F.lit("now"), k).alias("time_now"), F.when(k % 7 == 0, "changed").otherwise(f).alias("f"))
+    original = o.where(k % 13 != 0).select(id_.alias("id"), day.alias("day"), F.concat(F.lit("raw"), k).alias("create_time"))
+    return diff_detail(compare(left, right, ["id", "day"], mode="offline", context_from=original))
+
+
+@query("compare_excluded_columns", """SELECT 'f' AS feature, count(*) AS total, count(*) FILTER (o_orderkey % 7 <> 0) AS match, count(*) FILTER (o_orderkey % 7 = 0) AS mismatch FROM orders""")
+def compare_excluded_columns(spark, d):
+    """`pt` and `time_now` differ in every row and are not compared."""
+    o, k = X.table(spark, d, "orders"), F.col("o_orderkey")
+    left = o.select(k.alias("id"), F.lit("p1").alias("PT"), F.lit("t1").alias("time_now"), F.lit("v").alias("f"))
+    right = o.select(k.alias("id"), F.lit("p2").alias("PT"), F.lit("t2").alias("time_now"), F.when(k % 7 == 0, "w").otherwise("v").alias("f"))
+    return compare(left, right, "id", mode="response").stats()
+
+
+@query("scientific_zero", """SELECT o_orderkey % 5 AS kind, count(*) AS n, count(*) FILTER (o_orderkey % 5 < 3) AS same FROM orders GROUP BY 1""")
+def scientific_zero(spark, d):
+    k = F.col("o_orderkey")
+    cell = F.when(k % 5 == 0, "0E-8").when(k % 5 == 1, "-0e-20").when(k % 5 == 2, "1E-16").when(k % 5 == 3, "5E-3").otherwise("1E-9")
+    rows = X.table(spark, d, "orders").select((k % 5).alias("kind"), cells_equal(cell, F.lit("0")).alias("same"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("same"))
+
+
+@query("features_node", """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey + CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END AS VARCHAR) AS a,
+CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 2 THEN 'z' ELSE '' END AS b, CASE WHEN o_orderkey % 4 = 1 THEN 'y' ELSE '' END AS c FROM orders WHERE o_orderkey % 4 <> 3""")
+def features_node(spark, d):
+    """Features in an object, in a list of objects of which later ones win, and in the document itself."""
+    k = F.col("o_orderkey")
+    body = (F.when(k % 4 == 0, F.format_string('{"features":{"a":%d,"b":"x"},"other":1}', k))
+            .when(k % 4 == 1, F.format_string('{"features":[{"a":%d},7,{"a":%d,"c":"y"}]}', k, k + 1))
+            .when(k % 4 == 2, F.format_string('{"a":%d,"b":"z"}', k)).otherwise("no json"))
+    return D.json_to_wide(X.table(spark, d, "orders").select(k.alias("id"), body.alias("body")), "body", "id")
+
+
+_DETAIL_SQL = f"""{cells_sql()} SELECT k, feature, {shown_sql('r')} AS right_value, {shown_sql('l')} AS left_value FROM cells WHERE NOT same"""
+
+
+def _sorted_detail(spark, d, sort):
+    return preview(diff_detail(_orders(spark, d), sort=sort), 500).select("k", "feature", "right_value", "left_value")
+
+
+@query("preview_by_key", f"{_DETAIL_SQL} ORDER BY k, feature LIMIT 500")
+def preview_by_key(spark, d):
+    return _sorted_detail(spark, d, "key")
+
+
+@query("preview_by_feature", f"{_DETAIL_SQL} ORDER BY feature, k LIMIT 500")
+def preview_by_feature(spark, d):
+    return _sorted_detail(spark, d, "feature")
+
+
+@query("report_bundle", stats_sql("""SELECT 'statistics' AS name, feature, mismatch AS n FROM stats
+UNION ALL SELECT 'detail', feature, mismatch FROM stats WHERE mismatch > 0 UNION ALL SELECT 'summary', feature, mismatch FROM stats WHERE mismatch > 0"""))
+def report_bundle(spark, d):
+    """The tables of a run as they are read back; the one-sided ones of this run are not empty."""
+    paths = write_reports(_orders(spark, d), f"{fresh_dir(spark, 'reports')}/run")
+    read = {n: spark.read.parquet(p) for n, p in paths.items()}
+    n = F.count(F.lit(1)).alias("n")
+    return (read["statistics"].select(F.lit("statistics").alias("name"), "feature", F.col("mismatch").alias("n"))
+            .union(read["detail"].groupBy("feature").agg(n).select(F.lit("detail"), "feature", "n"))
+            .union(read["summary"].select(F.lit("summary"), "feature", F.col("diff_count"))))
+
+
 # -- streaming: the file source, run until its input is used up ---------------------------
 
 def _response_stream(spark, d):
@@ -982,6 +1106,25 @@ c AS (SELECT id AS k, ts, 'uid' AS feature, uid AS l, CASE WHEN state <> 'empty'
 cells AS (SELECT *, {eq_sql('l', 'r')} AS same FROM c)"""
 
 
+@query("stream_late_rows", """WITH e AS (SELECT event_id % 4 AS b, event_type AS feature, ts, event_id % 3 = 0 AS ok FROM events),
+m AS (SELECT b, max(ts) AS latest FROM e GROUP BY b), w AS (SELECT m.b, max(x.latest) - INTERVAL 9 DAY AS mark FROM m LEFT JOIN m x ON x.b < m.b GROUP BY m.b),
+r AS (SELECT feature, ok, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM e JOIN w USING (b))
+SELECT feature, count(*) FILTER (NOT late) AS total, count(*) FILTER (NOT late AND ok) AS match, count(*) FILTER (late) AS late FROM r GROUP BY feature""")
+def stream_late_rows(spark, d):
+    """Four batches, one after the other: windows that are counted on time, and the late rows beside them."""
+    root = fresh_dir(spark, "late-rows")
+    events = X.table(spark, d, "events").select(
+        F.col("event_type").alias("feature"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3 == 0).alias("is_match"), (F.col("event_id") % 4).alias("b"))
+    for b in range(4):  # what has come since the last run is a batch
+        events.where(F.col("b") == b).drop("b").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.drop("b").schema).parquet(f"{root}/in")
+        run = stream.writeStream.foreachBatch(ST.split_batches(f"{root}/out", "at", "1 day", "9 days"))
+        run.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    counted = ST.read_windows(spark, f"{root}/out").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("match").alias("match"))
+    late = ST.read_late(spark, f"{root}/out").groupBy("feature").agg(F.count(F.lit(1)).alias("late"))
+    return counted.join(late, "feature", "left").select("feature", "total", "match", F.coalesce("late", F.lit(0)).alias("late"))
+
+
 @query("stream_compare", f"{_STREAM_SQL} SELECT k, feature, l AS left_value, r AS right_value FROM cells WHERE NOT same")
 def stream_compare(spark, d):
     cells = _stream_cells(spark, d)

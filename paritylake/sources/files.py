@@ -186,6 +186,20 @@ def write_table(
     writer.save(path)
 
 
+def write_keyed(df: DataFrame, table: str, keys: Sequence[str], *, buckets: int, path: str | None = None) -> DataFrame:
+    """S3: write a table bucketed and sorted by its keys, one file a bucket, and return it.
+
+    Two sides that are stored so by whole-number keys, in as many buckets each, are compared without a
+    shuffle of either, run after run; one such static side is not shuffled for a
+    batch of a stream. (Text keys are trimmed before they are joined, so their sides are shuffled.)
+    `path` places the files; by default they go to the session's warehouse.
+    """
+    dealt = df.repartition(buckets, *[F.col(quote(k)) for k in keys])
+    writer = dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def _whole_files(spark: SparkSession, path) -> DataFrame:
     """(file, value, items): the text of each file and its documents, NULL where it is no JSON.
 

@@ -11,6 +11,7 @@ from ..functions.cells import cells_equal
 from ..functions.text import quote
 from ..operators import documents as D
 from ..operators import keys as K
+from ..operators.skew import HotKeys, lookup_join
 from ..operators.stage import compute
 
 STATUS_ERROR = "error"
@@ -30,24 +31,30 @@ def parse_stream(stream: DataFrame, body: str = "body", error: str | None = None
     return out.withColumn(STATUS_ERROR, why)
 
 
+def stream_keys(stream: DataFrame, left: DataFrame, names: Sequence[str]) -> tuple[list[str], list[Column], list[Column]]:
+    """Names of the key parts, and their columns on both sides."""
+    sfields = {f.name: f for f in stream.schema.fields}
+    lfields = {f.name: f for f in left.schema.fields}
+    scols, lcols, _ = K.key_columns([sfields[n] for n in names], [lfields[n] for n in names], "all")
+    return [f"__k{i}" for i in range(len(names))], scols, lcols
+
+
 def stream_cells(
     stream: DataFrame, left: DataFrame, keys: Sequence[str], features: Sequence[str], *,
     catalog: D.Catalog, body: str = "body", carry: Sequence[str] = (), ignore_default_fill: bool = False,
-    error: str | None = None,
+    error: str | None = None, hot: HotKeys = HotKeys(),
 ) -> DataFrame:
     """One row per compared cell of every successful response: keys, `carry` columns,
     feature, left_value, right_value, is_match.
 
     The static side should be bucketed on the keys when it is large: it takes part in
     every micro-batch. `catalog` holds the response paths (`documents.discover` on
-    stored responses); fields are looked up as J7 does.
+    stored responses); fields are looked up as J7 does. Responses of `hot` keys are dealt out, and the static rows
+    of those keys copied; see `balanced_batches`.
     """
     names = list(keys)
     parsed = parse_stream(stream, body, error).where(F.col(STATUS_ERROR).isNull())
-    k = [f"__k{i}" for i in range(len(names))]
-    sfields = {f.name: f for f in stream.schema.fields}
-    lfields = {f.name: f for f in left.schema.fields}
-    scols, lcols, _ = K.key_columns([sfields[n] for n in names], [lfields[n] for n in names], "all")
+    k, scols, lcols = stream_keys(stream, left, names)
     doc, text = F.col("doc"), F.col(quote(body))
     values = [D.lookup(doc, f, catalog, text).alias(f"r{i}") for i, f in enumerate(features)]
     right = parsed.select(*[c.alias(n) for c, n in zip(scols, k)], *[quote(c) for c in carry], *values)
@@ -55,7 +62,7 @@ def stream_cells(
         *[c.alias(n) for c, n in zip(lcols, k)],
         *[F.col(quote(f)).cast("string").alias(f"l{i}") for i, f in enumerate(features)],
     )
-    joined = right.where(K.has_key(k)).join(mine.where(K.has_key(k)), k, "inner")
+    joined = lookup_join(right.where(K.has_key(k)), mine.where(K.has_key(k)), k, "inner", hot)
     cells = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"l{i}").alias("l"), F.col(f"r{i}").alias("r"))
         for i, f in enumerate(features)

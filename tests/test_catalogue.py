@@ -99,6 +99,41 @@ def test_large_integers_are_compared_exactly(spark):
     assert compare(a, b, "k").stats().first()["mismatch"] == 1
 
 
+def test_stored_sides_are_not_shuffled(spark, tmp_path):
+    from paritylake.sources import write_keyed
+
+    left = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 9).alias("v"))
+    right = left.withColumn("v", F.when(F.col("k") % 10 == 0, -1).otherwise(F.col("v")))
+    sides = [write_keyed(df, f"side{i}", ["k"], buckets=4, path=str(tmp_path / f"s{i}")) for i, df in enumerate((left, right))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cmp = compare(*sides, "k", skew=SkewPolicy(enabled=False), unique_lookup=True, unique_driver=True)
+        plan = cmp.joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert [tuple(r) for r in cmp.stats().collect()] == [("v", 3000, 2700, 300)]
+        repeated = compare(*sides, "k", skew=SkewPolicy(enabled=False))  # the last row per key needs none either
+        assert "Exchange" not in repeated.joined._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in repeated.stats().collect()] == [("v", 3000, 2700, 300)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE side0")
+        spark.sql("DROP TABLE side1")
+
+
+def test_sketches_of_runs(spark):
+    from paritylake.operators import runs as R
+
+    left = spark.range(6000).select(F.col("id").alias("k"), F.lit(1).alias("a"), F.lit("x").alias("b"))
+    changed = lambda lo, hi: left.withColumn("a", F.when(F.col("k").between(lo, hi - 1), 2).otherwise(F.col("a")))
+    runs = [R.run_sketch(compare(left, changed(lo, hi), "k"), name, log_size=size)
+            for size in (12, 9) for name, lo, hi in (("one", 0, 2000), ("two", 1500, 2500), ("three", 0, 0))]
+    exact, rough = runs[0].union(runs[1]).union(runs[2]), runs[3].union(runs[4])
+    assert [tuple(r) for r in R.differing_keys(exact, log_size=12).collect()] == [("a", 2, 2500)]
+    assert [tuple(r) for r in R.run_changes(exact, "one", "two").collect()] == [("a", 500, 1500, 500)]
+    assert [tuple(r) for r in R.run_changes(exact, "one", "three").collect()] == [("a", 0, 2000, 0)]
+    assert abs(R.differing_keys(rough, log_size=9).first()["keys"] - 2500) < 2500 * 4 / 512 ** 0.5
+
+
 # -- M2 -------------------------------------------------------------------------------------
 
 def plain_merge(tables, null_safe):
