@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +44,30 @@ def ascii_lower(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def distinct_words(data: np.ndarray, inside: np.ndarray, first: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of some text bytes, and which of them each word is. `inside` marks the bytes of
+    words, `first` the first byte of each; a word's bytes follow each other."""
+    offsets = np.append(np.flatnonzero(first[inside]), np.count_nonzero(inside)).astype(np.int64)
+    every = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    found = every.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64)
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function whose worker gives its free memory back when the task ends; workers outlive
+    tasks, and what one stage had at its peak is missed by the next."""
+
+    @functools.wraps(run)
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return fn

@@ -11,7 +11,8 @@ Step groups: sequences are dealt to steps so that each step holds the same numbe
 tokens, as every group takes as many windows of a tier as fill one long window.
 
 Null texts are empty: a document of just the end mark. Rows may repeat; each is packed
-for itself. Columns other than id and text are ignored.
+for itself. A very long text is a portion of its own, held whole with its ids. Columns other
+than id and text are ignored, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,53 +27,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import distinct_words, freed
+
 WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
-_CACHE_WORDS = 400_000
-#: Signs that end a token after a letter; the apostrophe is not one of them.
-_SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-
-_tokenizers: dict[str, tuple] = {}
+_CHUNK = 500  # distinct words that are encoded as one text
+#: Kinds of bytes: white space, letters, digits, signs, and those that a cut must not touch.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[list(b" \t\n\x0b\x0c\r")] = _SPACE
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = _LETTER
+_KIND[list(b"0123456789")] = _DIGIT
+_KIND[list(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')] = _SIGN
+#: Whether a word starts at a byte, by the kinds of the byte before it and of itself.
+_STARTS = np.zeros((5, 5), dtype=bool)
+_STARTS[_SPACE, 1:] = True
+_STARTS[_LETTER, [_DIGIT, _SIGN]] = _STARTS[_DIGIT, [_LETTER, _SIGN, _DIGIT]] = _STARTS[_SIGN, [_LETTER, _DIGIT]] = True
+
+_tokenizers: dict[str, object] = {}
 
 
 def _tokenizer(path: str):
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
 
-def _split_signs(word: bytes) -> tuple[bytes, bytes]:
-    """A word and the signs behind its last letter. The tokenizer cuts there, too."""
-    core = word.rstrip(_SIGNS)
-    if core and core != word and core.decode()[-1].isalpha() and b"<|" not in word:
-        return core, word[len(core) :]
-    return word, b""
+def _word_ids(tok, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths) of words, one after the other. Words are encoded many at once with a digit
+    between them, which is a token of its own."""
+    zero = tok.encode("0", add_special_tokens=False).ids
+    texts = [w.decode("utf-8", "replace") for w in words]
+    lone = [i for i, t in enumerate(texts) if "0" in t]
+    ids: list = [None] * len(words)
+    for i, e in zip(lone, tok.encode_batch_fast([texts[i] for i in lone], add_special_tokens=False)):
+        ids[i] = np.array(e.ids, dtype=np.uint32)
+    plain = [i for i, t in enumerate(texts) if "0" not in t]
+    chunks = [plain[lo : lo + _CHUNK] for lo in range(0, len(plain), _CHUNK)]
+    for chunk, e in zip(chunks, tok.encode_batch_fast([" 0 ".join([texts[i] for i in c]) for c in chunks], add_special_tokens=False)):
+        found = np.array(e.ids, dtype=np.uint32)
+        at = np.flatnonzero(found == zero[0])
+        if len(zero) != 1 or len(at) != len(chunk) - 1:
+            raise ValueError("the tokenizer joins a digit with other text")
+        lo = 0
+        for i, hi in zip(chunk, [*at.tolist(), len(found)]):
+            ids[i] = found[lo:hi]
+            lo = hi + 1
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.concatenate([np.empty(0, np.uint32), *ids]), lengths
 
 
 def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of each text. The tokenizer drops white space and never looks across it, so words
-    are encoded once and remembered, up to a fixed number of words for each worker."""
-    tok, known = _tokenizer(path)
-    end = end_id.to_bytes(4, "little")
-    split = []
-    for t in texts:
-        raw = (t or "").encode("utf-8", "replace")
-        # the tokenizer lower-cases; its special tokens are matched as they are written
-        split.append(raw.split() if b"<|" in raw else raw.lower().split())
-    new = set().union(*split) - known.keys()
-    if len(known) + len(new) > _CACHE_WORDS:
-        known.clear()
-        new = set().union(*split)
-    parts = {w: _split_signs(w) for w in new}
-    cores = list({c for p in parts.values() for c in p if c} - known.keys())
-    for core, e in zip(cores, tok.encode_batch_fast([c.decode() for c in cores], add_special_tokens=False)):
-        known[core] = np.array(e.ids, dtype="<u4").tobytes()
-    known[b""] = b""
-    for w, (core, signs) in parts.items():
-        known[w] = known[core] + known[signs]
-    return [np.frombuffer(b"".join([known[w] for w in words]) + end, dtype="<u4") for words in split]
+    """Ids of each text. The tokenizer drops white space and looks neither across it nor from an ASCII letter to a
+    sign or a digit, so the distinct words of all the texts are encoded once. It lower-cases, but
+    matches its special tokens as they are written: texts with their mark are encoded whole."""
+    tok = _tokenizer(path)
+    raw = [b"" if t is None or "<|" in t else t.encode("utf-8", "replace").lower() for t in texts]
+    data = np.frombuffer(b"\n".join([b"", *raw]), dtype=np.uint8)
+    kind = _KIND[data]
+    first = np.zeros(len(data), dtype=bool)
+    first[1:] = _STARTS[kind[:-1], kind[1:]]
+    distinct, word = distinct_words(data, kind != _SPACE, first)
+    ids, length = _word_ids(tok, distinct.to_pylist())
+    size = length[word]
+    total = np.concatenate([[0], np.cumsum(size)])
+    # the place in `ids` of every token: where its word starts there, and its place in the word
+    flat = ids[np.arange(total[-1]) + np.repeat((np.cumsum(length) - length)[word] - total[:-1], size)]
+    start = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    at = total[np.searchsorted(np.flatnonzero(first), start)]
+    end = np.array([end_id], dtype="<u4")
+    out = [np.concatenate([flat[a:z], end]).astype("<u4") for a, z in zip(at[:-1], at[1:])]
+    for i, t in enumerate(texts):
+        if t is not None and "<|" in t:
+            out[i] = np.array([*tok.encode(t.encode("utf-8", "replace").decode(), add_special_tokens=False).ids, end_id], dtype="<u4")
+    return out
 
 
 def cut(n: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -179,10 +209,10 @@ def balance(sizes: list[int], window: int = WINDOW) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, tiers: tuple[int, ...] = TIERS,
-           portion: int = 4_000_000) -> DataFrame:
+           portion: int = 12_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, step_id.
 
-    Every task packs the rows of its own partition, in portions of about `portion` tokens,
+    Every task packs the rows of its own partition, in portions of about `portion` characters,
     so there is no shuffle and no key that could be hot. A sequence's id holds the
     partition it was made in.
     """
@@ -194,21 +224,26 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made, held, tokens = TaskContext.get().partitionId(), 0, [], 0
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            ids, texts = zip(*held)
+            held.clear()
+            return _pack_portion(list(zip(ids, encode(list(texts), tokenizer, end_id))), tiers, part, made, kind_of)
+
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
-                for d, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist(), tokenizer, end_id)):
-                    held.append((d, ids))
-                    tokens += len(ids)
-                    if tokens >= portion:
-                        out, made = _pack_portion(held, tiers, part, made, b.schema.field("doc_id").type)
-                        held, tokens = [], 0
-                        yield out
+            kind_of = b.schema.field("doc_id").type
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                held.append((doc_id, text.as_py()))
+                size += len(held[-1][1] or "") + 1
+                if size >= portion:
+                    rows, made = out()
+                    size = 0
+                    yield rows
         if held:
-            yield _pack_portion(held, tiers, part, made, b.schema.field("doc_id").type)[0]
+            yield out()[0]
 
-    return src.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
+    return src.mapInArrow(freed(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
                                 "sequence_id bigint, offset bigint, step_id bigint")
 
 
