@@ -1,12 +1,13 @@
 """Main text of HTML pages: flat text blocks classified by a decision tree.
 
 A page is read as a flat run of text blocks, with the words and link density of each block
-and of its neighbours and what the enclosing elements say of themselves. A decision tree,
+and of its neighbours, what the enclosing elements say of themselves, and whether the block lies in the
+article that the page marks, beside it, or on a page that marks none. A decision tree,
 grown on the small labelled table below by Gini impurity, keeps or drops each block.
 
 Null or empty pages give an empty text. Broken markup never fails: an element left open
 ends with the page, and a lone "<" is text. Repeated rows are read one by one; columns
-other than id, url and html are ignored. Nothing is cut, whatever the length.
+other than id, url and html are ignored. Nothing is cut, whatever the length; a page is held whole.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ _NOUN = (r"(?:ads?|advert\w*|banner\w*|breadcrumbs?|comments?|consent|cookies?|d
          r"notice|pag(?:er|ination)|popup|promo\w*|related|reply|replies|share|sharing|side(?:bar)?|skip|social|sponsor\w*|subscribe|toolbar|widget)")
 # One whole name: such a noun, what place it has on the page, and what kind of box it is; not "has-sidebar" or "social-science".
 _OUTSIDE_NAME = re.compile(
-    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sub|mobile|user)[_-]+)*" + _NOUN + r"(?:[_-]+(?:" + _NOUN + r"|area|bar|block|box|buttons?|"
-    r"container|content|form|icons?|inner|items?|left|right|top|bottom|links?|list|outer|panel|posts?|articles?|primary|section|to|wrap|wrapper|\d+))*", re.I)
-# Names that inside an article may be its own title, lead or note.
-_OWN_NAME = re.compile(r"(?:[a-z]+[_-]+)*(?:banner|head|header|foot|footer|notice|side|promo|skip|widget)\w*(?:[_-].*)?", re.I)
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sub|mobile|user|reader|visitor)[_-]+)*"
+    r"(?:" + _NOUN + r"|(?:article|blog|entry|post|story)[_-]+(?:ads?|advert\w*|comments?|menu|nav|navigation|newsletter|related|repl(?:y|ies)|share|sharing|side(?:bar)?|sponsor\w*))"
+    r"(?:[_-]+(?:" + _NOUN + r"|area|bar|block|box|buttons?|container|content|feed|form|icons?|inner|items?|left|right|top|bottom|links?|list|message|note|outer|panel|posts?|articles?|"
+    r"primary|section|slot|space|stream|text|thread|to|unit|wrap|wrapper|zone|\d+))*", re.I)
+# Names that inside an article are those of its own head.
+_OWN_NAME = re.compile(r"(?:[a-z]+[_-]+)*(?:head|header)(?:[_-].*)?", re.I)
 _OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -125,8 +128,8 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def _is_outside(attrs: str, name: str, main: bool) -> bool:
-    """What an element says of itself. Names of an article itself, and of its headings and paragraphs, say nothing."""
-    named = not (main and (name in _MAIN or name in ("p", "h1", "h2", "h3", "h4", "h5", "h6")))
+    """What an element says of itself. Names of an article itself, and of its headings, say nothing."""
+    named = not (main and (name in _MAIN or name in ("h1", "h2", "h3", "h4", "h5", "h6")))
     for m in _ATTR.finditer(attrs):
         key, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "")
         if key in ("class", "id") and named and any(_OUTSIDE_NAME.fullmatch(v) and not (main and _OWN_NAME.fullmatch(v)) for v in value.split()):
@@ -136,7 +139,8 @@ def _is_outside(attrs: str, name: str, main: bool) -> bool:
     return False
 
 
-FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "next_links", "outside", "main", "heading")
+#: place: 0 on a page that marks no article, 1 within the article, 2 beside it.
+FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "next_links", "outside", "place", "heading")
 # The labelled table (fixed values): FEATURES of a block, then 1 for main text.
 LABELLED = (
     # paragraphs of articles, long and short, first and last, with a link or two
@@ -159,8 +163,7 @@ LABELLED = (
     (4, 0.0, 3, 1.0, 75, 0.0, 0, 0, 0, 1), (1, 0.0, 6, 1.0, 9, 0.0, 0, 0, 1, 1), (3, 0.0, 6, 1.0, 2, 0.0, 0, 0, 0, 1), (4, 0.0, 6, 1.0, 8, 1.0, 0, 0, 0, 1),
     (3, 0.0, 30, 0.0, 5, 0.0, 0, 0, 0, 1), (2, 0.0, 8, 0.0, 3, 0.0, 0, 0, 0, 1), (4, 0.0, 12, 0.0, 6, 0.3, 0, 0, 0, 1), (1, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 1),
     (5, 0.0, 40, 0.0, 6, 0.0, 0, 0, 0, 1), (5, 0.0, 9, 0.5, 3, 0.3, 0, 0, 0, 1), (5, 0.0, 7, 0.0, 8, 1.0, 0, 0, 0, 1), (2, 0.0, 1, 0.0, 8, 0.5, 0, 0, 0, 1),
-    (6, 0.41, 0, 0.0, 1, 0.3, 0, 0, 1, 1), (5, 0.41, 0, 0.5, 2, 0.3, 0, 0, 1, 1),
-    (28, 0.41, 30, 0.0, 33, 0.0, 0, 0, 0, 1), (24, 0.41, 30, 1.0, 6, 1.0, 0, 0, 0, 1),
+    (6, 0.33, 0, 0.0, 1, 0.3, 0, 0, 1, 1), (28, 0.4, 30, 0.0, 33, 0.0, 0, 0, 0, 1), (26, 0.25, 30, 1.0, 6, 1.0, 0, 0, 0, 1),
     # pages of one block or little else
     (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 1),
     (35, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 1), (50, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 1), (42, 0.1, 0, 0.0, 6, 1.0, 0, 0, 0, 1),
@@ -171,10 +174,13 @@ LABELLED = (
     # the same without a telling element: links, stray short blocks
     (6, 1.0, 5, 1.0, 7, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 80, 0.0, 0, 0, 0, 0), (14, 0.8, 9, 0.9, 11, 0.9, 0, 0, 0, 0), (25, 0.7, 6, 0.8, 14, 0.9, 0, 0, 0, 0),
     (3, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 0.0, 3, 0.5, 0, 0, 0, 0), (5, 0.0, 6, 1.0, 2, 0.0, 0, 0, 0, 0), (8, 0.5, 4, 0.0, 3, 1.0, 0, 0, 0, 0),
-    (14, 0.8, 30, 0.0, 40, 0.0, 0, 0, 0, 0), (40, 0.6, 20, 0.0, 30, 0.0, 0, 0, 0, 0), (6, 0.42, 50, 0.0, 60, 0.0, 0, 0, 0, 0), (25, 0.42, 9, 1.0, 50, 0.0, 0, 0, 0, 0),
-    (6, 1.0, 70, 0.0, 5, 1.0, 0, 1, 0, 0), (9, 1.0, 8, 1.0, 7, 1.0, 0, 1, 0, 0), (4, 1.0, 90, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (3, 1.0, 2, 1.0, 4, 1.0, 0, 1, 0, 0), (1, 1.0, 50, 0.0, 1, 1.0, 0, 1, 0, 0), (12, 1.0, 11, 1.0, 10, 1.0, 0, 1, 0, 0), (25, 1.0, 6, 0.0, 14, 1.0, 0, 1, 0, 0),
-    (5, 1.0, 20, 0.0, 30, 0.0, 0, 1, 0, 0), (8, 1.0, 3, 1.0, 40, 0.0, 0, 1, 0, 0), (20, 1.0, 10, 0.0, 12, 0.0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 60, 0.0, 0, 1, 0, 0),
+    (14, 0.8, 30, 0.0, 40, 0.0, 0, 0, 0, 0), (40, 0.6, 20, 0.0, 30, 0.0, 0, 0, 0, 0),
+    # links and lists of links of the article itself
+    (6, 1.0, 70, 0.0, 5, 1.0, 0, 1, 0, 1), (9, 1.0, 8, 1.0, 7, 1.0, 0, 1, 0, 1), (4, 1.0, 90, 0.0, 0, 0.0, 0, 1, 0, 1), (3, 1.0, 2, 1.0, 4, 1.0, 0, 1, 0, 1),
+    (1, 1.0, 50, 0.0, 1, 1.0, 0, 1, 0, 1), (12, 1.0, 11, 1.0, 10, 1.0, 0, 1, 0, 1), (25, 1.0, 6, 0.0, 14, 1.0, 0, 1, 0, 1), (5, 1.0, 20, 0.0, 30, 0.0, 0, 1, 0, 1),
+    # beside the article, whatever it is
+    (60, 0.0, 30, 0.0, 45, 0.0, 0, 2, 0, 0), (5, 1.0, 4, 1.0, 3, 1.0, 0, 2, 0, 0), (12, 0.0, 2, 1.0, 30, 0.0, 0, 2, 0, 0), (3, 0.0, 1, 1.0, 66, 0.0, 0, 2, 1, 0),
+    (150, 0.0, 10, 0.0, 3, 0.0, 0, 2, 0, 0), (30, 0.2, 90, 0.0, 0, 0.0, 0, 2, 0, 0), (2, 0.0, 0, 0.0, 50, 0.0, 0, 2, 1, 0), (8, 0.0, 2, 0.0, 9, 0.0, 1, 2, 0, 0),
 )
 
 
@@ -211,19 +217,16 @@ def decide(tree, features: tuple[float, ...]) -> bool:
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     density = [min(1.0, b.linked / b.words) for b in found]
+    marked = any(b.main and not b.outside for b in found)  # the page marks its article, and it has text
     rows = []
     for i, b in enumerate(found):
         p, n = (found[i - 1].words, density[i - 1]) if i else (0, 0.0), (found[i + 1].words, density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        rows.append((b.words, density[i], *p, *n, int(b.outside), int(b.main), int(b.heading)))
+        rows.append((b.words, density[i], *p, *n, int(b.outside), (1 if b.main else 2) if marked else 0, int(b.heading)))
     return rows
 
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page)
-    if any(b.main and not b.outside for b in found):
-        # where the page marks its article, blocks beside it are none of its text
-        for b in found:
-            b.outside = b.outside or not b.main
     return " ".join(b.text for b, f in zip(found, features(found)) if decide(tree, f))
 
 
