@@ -6,20 +6,24 @@ word boundaries and outside every match of an exception phrase that covers it. T
 the matched weights and that sum per word of the text go into a logistic curve.
 
 Training reads at most `max_labels` labelled rows, taken in hash order; word counts by label
-give the terms, at most `max_terms`, and the same rows the exception phrases and the curve.
+give the terms, and the same rows the exception phrases and the curve. The rows bound them all.
 
 Null or empty texts have no match and get the curve's value at zero. Rows without an id
 are never used for training and not held out. Repeated rows are scored one by one; of
-repeated labels of one id the larger counts. Columns other than id and text are ignored.
+repeated labels of one id the larger counts. A text is matched whole, in time linear in its length but
+for the logarithm of its exceptions. Columns other than id and text are ignored, whatever their
+names. Without labels every score is the curve's value at zero; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -94,8 +98,10 @@ class Model:
             if end + 1 < n and folded[end + 1].isalnum() and not (term and term.endswith(STEM)):
                 continue
             (spared if term is None else found).append((start, end, term))
-        if spared:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in spared)]
+        if spared:  # a term within an exception goes: of those that start before it one ends behind it
+            starts, ends = zip(*sorted((a, b) for a, b, _ in spared))
+            furthest = list(accumulate(ends, max))
+            found = [f for f in found if (i := bisect_right(starts, f[0])) == 0 or furthest[i - 1] < f[1]]
         return [t for _, _, t in found]
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -103,7 +109,7 @@ class Model:
         total = sum(self.weights[t] for t in self.matches(folded))
         if not total:
             return 0.0, 0.0
-        words = max(1, folded.count(" ") + 1)
+        words = max(1, len(folded.split()))
         return math.log1p(total), min(1.0, total / words)
 
     def score(self, text: str | None) -> float:
@@ -131,7 +137,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("text").alias("text")).select("h", "toxic", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, min_odds: float = 4.0, max_terms: int = 500,
+def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, min_odds: float = 4.0,
           max_labels: int = 20_000, exceptions: tuple[str, ...] = ()) -> Model:
     rows = written(_training_rows(docs, labels, max_labels), "toxic-train")
 
@@ -162,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5, min_odds: fl
         counted.groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("p") > 0).alias("contexts"))
         .where((F.col("p") >= min_docs) & spread).withColumn("odds", odds)
         .where(F.col("odds") > F.when(F.endswith("word", F.lit(STEM)), 1.5 * min_odds).when(F.col("p") > pos / 20, min_odds / 2).otherwise(min_odds))
-        .orderBy(F.desc(F.col("p") * F.col("odds")), "word").limit(max_terms).collect()
+        .collect()  # as each word is in `min_docs` texts, their number is bounded by the labels
     )
     weights = {r["word"]: float(r["odds"]) for r in listed}
     # a word and a stem of the same letters would share an entry; words that a listed stem covers go

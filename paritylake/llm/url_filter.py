@@ -38,7 +38,7 @@ def rule_rows(site_rules=SITE_RULES, host_words=HOST_WORDS, path_words=PATH_WORD
     for w in host_words:
         rows.append((w, "host", "block", rf"^(?:[^/]*[^0-9a-z/])?{re.escape(w)}(?:[^0-9a-z]|$)", re.findall("[0-9a-z]+", w), len(w)))
     for w in path_words:
-        rows.append((w, "path", "block", rf"^[^/]*/(?:.*[^0-9A-Za-z])?{re.escape(w)}(?:[^0-9A-Za-z]|$)", re.findall("[0-9a-z]+", w), len(w)))
+        rows.append((w, "path", "block", rf"(?s)^[^/]*/(?:.*[^0-9A-Za-z])?{re.escape(w)}(?:[^0-9A-Za-z]|$)", re.findall("[0-9a-z]+", w), len(w)))
     return rows
 
 

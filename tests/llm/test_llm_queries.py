@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver data not p
 
 def test_one_query_for_each_operator_and_the_pipeline():
     numbers = sorted(int(m[1]) for n in queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in queries()
 
 
 @pytest.mark.parametrize("name", sorted(n for n in oracle_sql() if n.startswith("op")))

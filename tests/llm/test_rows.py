@@ -83,6 +83,35 @@ def test_toxicity_keeps_every_exception(spark):
     assert {toxicity.fold(f"grobian w{i}x") for i in range(600)} <= set(found)
 
 
+def plain_matches(model, folded):
+    """Terms at word boundaries (stems at their start only) outside every exception that covers them."""
+    def at(word, whole):
+        return [(i, i + len(word)) for i in range(len(folded) - len(word) + 1) if folded.startswith(word, i)
+                and not (i and folded[i - 1].isalnum()) and not (whole and i + len(word) < len(folded) and folded[i + len(word)].isalnum())]
+
+    spared = [s for p in model.exceptions for s in at(p, True)]
+    found = [(s, w) for w in model.weights for s in at(w.rstrip(toxicity.STEM), not w.endswith(toxicity.STEM))]
+    return sorted(w for s, w in found if not any(a <= s[0] and s[1] <= b for a, b in spared))
+
+
+def test_matches_equal_plain_search():
+    import random
+
+    rng = random.Random(8)
+    terms = {"ab": 1.0, "abb": 2.0, "ba": 0.5, "aab" + toxicity.STEM: 1.5, "b a": 1.0}
+    model = toxicity.Model(terms, ("ab a", "a ab", "ba ab ba", "aabb"))
+    for _ in range(800):
+        text = "".join(rng.choice("aab b \n.") for _ in range(rng.randrange(40)))
+        assert sorted(model.matches(text)) == plain_matches(model, text), text
+    long = "ab a " * 20_000
+    assert model.matches(long) == []
+
+
+def test_words_are_parted_by_any_white_space():
+    model = toxicity.Model({"lump": 3.0})
+    assert len({model.features(sep.join(["lump", *"abcdefghi"])) for sep in (" ", "\n", "\t ", "  ")}) == 1
+
+
 def test_toxicity_without_rows_or_labels(docs, no_docs, toxic_tables):
     model = toxicity.train(docs, toxic_tables[1].where("false"))
     assert model.weights == {} and toxicity.score(no_docs, model).count() == 0
@@ -96,7 +125,7 @@ URLS = [
     (3, "http://a.org/", "a.org", "/", "org/", "allow"), (4, "http://a.org", "a.org", "", None, "allow"), (5, "http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"),
     (6, "x://b.com/fr/?a", "b.com", "/fr/", "com/fr/", "allow"), (7, "x://b.com/de/", "b.com", "/de/", "com/de/", "block"), (8, None, "", "", None, "allow"), (9, "no scheme", "", "", None, "allow"),
     (10, "http://adult-x.example.net/", "adult-x.example.net", "/", None, "block"), (11, "http://adulthood.net/", "adulthood.net", "/", None, "allow"),
-    (12, "http://a.net/b/casino/c", "a.net", "/b/casino/c", None, "block"), (13, "://a.net?x://y.org/", "a.net", "", None, "allow"), (None, "http://adult.example.org/fr/", "adult.example.org", "/fr/", "org/", "allow"),
+    (12, "http://a.net/b/casino/c", "a.net", "/b/casino/c", None, "block"), (14, "x://a.net/x\ny/casino", "a.net", "/x\ny/casino", None, "block"), (13, "://a.net?x://y.org/", "a.net", "", None, "allow"), (None, "http://adult.example.org/fr/", "adult.example.org", "/fr/", "org/", "allow"),
 ]
 
 
@@ -131,7 +160,8 @@ def test_article_keeps_its_blocks_beside_links():
     long = "word " * 30
     for page, want in [
         (f"<article><p>{long}</p><p>The last words.</p></article><footer><a>Home</a></footer>", long + "The last words."),
-        (f"<article><p>{long}</p><h2>See also</h2><ul><li><a>One</a><li><a>Two</a></ul></article>", long + "See also"),
+        (f"<article><p>{long}</p><h2>See also</h2><ul><li><a>One</a><li><a>Two</a></ul></article>", long + "See also One Two"),
+        ("<article><p>Some body text here.</p><p><a>See the full report of the council</a></p><p><a>Read</a></p></article><div>By the way</div>", "Some body text here. See the full report of the council Read"),
         (f"<nav><a>One Two</a></nav><article><h1>Five words are the title</h1><p>{long}</p></article>", "Five words are the title " + long.strip()),
         (f"<article><p>{long}</p><p>Read <a>this longer linked text</a> now.</p></article>", long + "Read this longer linked text now."),
     ]:
@@ -142,7 +172,10 @@ def test_article_keeps_its_blocks_beside_links():
                 for p, n in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)):
                     for density, heading in ((0.0, 0), (0.42, 0), (0.9, 0), (0.0, 1), (1.0, 1)):
                         assert html_text.decide(tree, (words, density, before, p, after, n, 0, 1, heading))
-                    assert not html_text.decide(tree, (words, 1.0, before, p, after, n, 0, 1, 0))
+                    assert html_text.decide(tree, (words, 1.0, before, p, after, n, 0, 1, 0))
+                    for density, heading in ((0.0, 0), (0.9, 0), (0.0, 1)):  # what says that it is no text, or is beside the article
+                        assert not html_text.decide(tree, (words, density, before, p, after, n, 1, 1, heading))
+                        assert not html_text.decide(tree, (words, density, before, p, after, n, 0, 2, heading))
 
 
 @pytest.mark.parametrize("attrs", [
@@ -154,7 +187,10 @@ def test_attributes_are_read_by_whole_names(attrs):
         assert html_text.main_text(page, tree) == long
     for outside in ("hidden", "class='x site-header'", "id=nav", "class=sidebar-left", "role=navigation"):
         assert html_text.main_text(f"<div {outside}><p>{long}</p></div><div>{long}</div>", tree) == long
-    assert html_text.main_text(f"<article class=sidebar><div class=header><h1>Title</h1></div><p class=notice>{long}</p></article>", tree) == "Title " + long
+    assert html_text.main_text(f"<article class=sidebar><div class=header><h1>Title</h1></div><p>{long}</p></article>", tree) == "Title " + long
+    for own in ("class=notice", "class='cookie-notice'", "class=sidebar", "class=ad-slot", "id=reader-comments", "class=comment-thread", "class=post-comments", "class='promo box'", "id=newsletter-form"):
+        for element in ("div", "section", "p", "ul"):
+            assert html_text.main_text(f"<article><p>{long}</p><{element} {own}>Some other words of ten or more that are no text</{element}></article>", tree) == long
 
 
 @pytest.mark.parametrize("inner, want", [
@@ -233,24 +269,39 @@ def test_packing_wastes_little():
 
 # -- language models --------------------------------------------------------------------------
 
-def test_losses_equal_plain_counting(docs, no_docs, spark):
+@pytest.mark.parametrize("block_bytes", [lm_score.BLOCK_BYTES, 300])
+def test_losses_equal_plain_counting(docs, no_docs, spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block_bytes)
     labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(0, 60)] + [(None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    got = lm_score.score(docs, labels).collect()
+    got = lm_score.score(docs.withColumnRenamed("kind", "target"), labels).collect()
     texts = [(r["doc_id"], (r["text"] or "").lower().encode().split()) for r in docs.collect()]
-    word, pair, first = ([Counter(), Counter()] for _ in range(3))
-    for d, w in texts:
-        for m in (0, 1) if d is not None and d < 60 and d % 3 == 0 else (0,):
-            word[m].update(w)
-            pair[m].update(zip([None, *w], w))
-            first[m].update([None, *w][: len(w)])
-    known = {w for w, n in word[0].items() if n >= 2}
-    unknown = [sum(n for w, n in word[m].items() if w not in known) for m in (0, 1)]
-
-    def loss(w, m):
-        share = lambda x: ((word[m][x] if x in known else unknown[m]) + 1) / (sum(word[m].values()) + len(known) + 1)
-        return -sum(math.log(0.5 * (pair[m][u, x] / first[m][u] if first[m][u] else 0) + 0.5 * share(x)) for u, x in zip([None, *w], w)) / len(w)
-
-    want = Counter((d, len(w), round(loss(w, 1), 4) if w else None, round(loss(w, 0), 4) if w else None) for d, w in texts)
+    often = Counter(x for _, w in texts for x in w)
+    texts = [(d, [x if often[x] >= 2 else "unknown" for x in w]) for d, w in texts]
+    vocabulary = sum(n >= 2 for n in often.values())
+
+    def model(chosen):
+        """Words, words with a next one, bigrams, tokens."""
+        word, first, pair = Counter(), Counter(), Counter()
+        for w in chosen:
+            if w:
+                word.update(w)
+                first.update(["start", *w])
+                pair.update(zip(["start", *w], [*w, "end"]))
+        return word, first, pair, sum(word.values())
+
+    is_target = lambda d: d is not None and d < 60 and d % 3 == 0
+    whole = [model([w for _, w in texts]), model([w for d, w in texts if is_target(d)])]
+
+    def loss(d, w, m):
+        own = model([w]) if m == 0 or is_target(d) else model([])
+        word, first, pair = (Counter(a) - Counter(b) for a, b in zip(whole[m][:3], own[:3]))
+        n, cost = whole[m][3] - own[3], 0.0
+        for u, x in zip(["start", *w], w):
+            share = (word[x] + 1) / (n + vocabulary + 1)
+            cost -= math.log(0.5 * pair[u, x] / first[u] + 0.5 * share if first[u] else share)
+        return cost / len(w)
+
+    want = Counter((d, len(w), round(loss(d, w, 1), 4) if w else None, round(loss(d, w, 0), 4) if w else None) for d, w in texts)
     near = Counter((r["doc_id"], r["n_tokens"], None if r["score"] is None else round(r["target_loss"], 4), None if r["score"] is None else round(r["background_loss"], 4)) for r in got)
     assert near == want
     assert lm_score.score(no_docs, labels).count() == 0
@@ -331,6 +382,27 @@ def test_pipeline_stages(spark, docs, items_dir):
     assert [n for n, _ in cp.STAGES] == ["quality rules", "n-gram Jaccard join", "suffix-array dedup", "benchmark decontamination", "packing"]
 
 
+def test_pipeline_stages_with_null_ids_repeated_rows_and_nothing(spark, docs, no_docs, items_dir, tmp_path):
+    import corpus_pipeline as cp
+
+    columns = list(cp.DOC_COLUMNS)
+    for n, rows in enumerate((docs.select(*columns), no_docs.select(*columns))):
+        given = {r["doc_id"] for r in rows.collect()}
+        for name, stage in cp.STAGES:
+            made = stage(spark, rows, items_dir)
+            if name != "packing":
+                assert made.columns == columns
+                path = f"{tmp_path}/{n}-{name.replace(' ', '-')}"
+                made.write.parquet(path)
+                rows = spark.read.parquet(path)
+                assert {r["doc_id"] for r in rows.collect()} <= given
+        pieces = made.collect()
+        kept = [r["text"] for r in rows.collect()]
+        assert sum(r["length"] for r in pieces) == sum(map(len, packing.encode(kept, tokenizer_path(), 1))) and (n == 1) == (not kept)
+        if not n:  # the row without an id is a text of its own here, or a copy of one that stays
+            assert rows.where("doc_id IS NULL").count() <= 1
+
+
 @pytest.fixture()
 def items_dir(spark, texts, tmp_path):
     w = texts[20].split()
