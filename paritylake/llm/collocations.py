@@ -38,18 +38,18 @@ from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from ..operators.skew import SkewPolicy, find_hot_keys, lookup_join
-from .common import partitions, written
+from .common import distinct_words, freed, partitions, written
 from .hashing import mix
 
 LEAST, LONGEST, TOP, PART_OF = 10, 3, 2000, (50, 100)
-SHARDS = 4
+SHARDS = 2
 _NEVER = 255
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(b" \t")] = True
 _ANY_BREAK = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
-_BLOCK = 8 << 20
+_BLOCK = 24 << 20
 _SLICES = 64
 
 
@@ -69,13 +69,10 @@ class Words:
     def __init__(self, texts: list[bytes], lang: str):
         data = np.frombuffer(b"\n".join(texts).lower(), dtype=np.uint8)
         inside = ~(_BREAK[data] | _BLANK[data])
-        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-        start, end = edge[::2], edge[1::2]
-        offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-        every = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
-        found = every.dictionary_encode()
-        self.distinct = found.dictionary
-        self.at = found.indices.to_numpy().astype(np.int64)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        self.distinct, self.at = distinct_words(data, inside, first)
+        start = np.flatnonzero(first)
         piece = np.cumsum(_BREAK[data], dtype=np.int32)[start] if len(start) else start
         self.next = piece[1:] == piece[:-1]  # the word and the next are of one piece
         seed = xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
@@ -99,11 +96,12 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, code, np.bincount(code, minlength=len(distinct))
 
 
-def _phrases(words: Words, reached: dict[int, np.ndarray], step: int, shards: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """([the distinct words of each place], counts) for each length that is counted in this scan."""
+def _phrases(words: Words, reached: dict[int, np.ndarray], step: int, shards: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """([the distinct words of each place], counts, the scan after which each began) for each length
+    that is counted in this scan."""
     counted = lambda since: (since < step) & (since >= step - shards)
     if step < shards:
-        yield [np.arange(len(words.distinct))], np.bincount(words.at, minlength=len(words.distinct))
+        yield [np.arange(len(words.distinct))], np.bincount(words.at, minlength=len(words.distinct)), np.full(len(words.distinct), -1)
     if not step or len(words.at) < 2:
         return
     word = reached[1][_cell(words.hash, len(reached[1]))].astype(np.int64)
@@ -115,40 +113,47 @@ def _phrases(words: Words, reached: dict[int, np.ndarray], step: int, shards: in
     first, pair, size = _groups(a * len(words.distinct) + b)
     mine = counted(since[first])
     if mine.any():
-        yield [a[first][mine], b[first][mine]], size[mine]
+        yield [a[first][mine], b[first][mine]], size[mine], since[first][mine]
     h = _join_hash(words.hash[a[first]], words.hash[b[first]])
     # a pair whose cell another pair has set counts from where its words have begun
     begun = np.maximum(reached[2][_cell(h, len(reached[2]))].astype(np.int64)[pair], since)
     two = np.flatnonzero(np.diff(known) == 1)
-    two = two[counted(np.maximum(begun[two], begun[two + 1]))]
+    since = np.maximum(begun[two], begun[two + 1])
+    mine = counted(since)
+    two, since = two[mine], since[mine]
     if len(two):
         first, _, size = _groups(pair[two] * (pair.max() + 1) + pair[two + 1])
         at = two[first]
-        yield [a[at], b[at], b[at + 1]], size
+        yield [a[at], b[at], b[at + 1]], size, since[first]
 
 
-_COUNTED = "lang string, size int, phrase string, n bigint"
+_COUNTED = "lang string, size int, phrase string, n bigint, since int"
 
 
 def _scan(shard: DataFrame, reached, step: int, shards: int) -> DataFrame:
-    """(lang, size, phrase, n) of the phrases counted in this scan, over one shard (lang, text)."""
+    """(lang, size, phrase, n, since) of the phrases counted in this scan, over one shard (lang, text); of
+    size 0 a language's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = {k: np.frombuffer(v, dtype=np.uint8) for k, v in reached.value.items()}
         held: dict[str, list[bytes]] = {}
         size = 0
 
+        def rows(lang: str, k: int, phrase: pa.Array, n: np.ndarray, since: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), phrase, pa.array(n, pa.int64()), pa.array(since.astype(np.int32))],
+                names=["lang", "size", "phrase", "n", "since"])
+
         def out() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
                 words = Words(texts, lang)
-                for parts, n in _phrases(words, cells, step, shards):
-                    strings = [words.distinct.take(pa.array(p)) for p in parts]
-                    phrase = pc.binary_join_element_wise(*strings, pa.scalar(b" ", pa.large_binary())) if len(strings) > 1 else strings[0]
+                if step < shards:
+                    yield rows(lang, 0, pa.array([""]), np.array([len(words.at)]), np.array([-1]))
+                for parts, n, since in _phrases(words, cells, step, shards):
                     for lo in range(0, len(n), 100_000):
-                        some = phrase.slice(lo, 100_000)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), len(parts), np.int32)),
-                             some.cast(pa.binary()).cast(pa.string()), pa.array(n[lo : lo + 100_000], pa.int64())], names=["lang", "size", "phrase", "n"])
+                        some = [words.distinct.take(pa.array(p[lo : lo + 100_000])) for p in parts]
+                        phrase = pc.binary_join_element_wise(*some, pa.scalar(b" ", pa.large_binary())) if len(some) > 1 else some[0]
+                        yield rows(lang, len(parts), phrase.cast(pa.binary()).cast(pa.string()), n[lo : lo + 100_000], since[lo : lo + 100_000])
             held.clear()
 
         for b in batches:
@@ -161,12 +166,12 @@ def _scan(shard: DataFrame, reached, step: int, shards: int) -> DataFrame:
                         size = 0
         yield from out()
 
-    return shard.mapInArrow(run, _COUNTED)
+    return shard.mapInArrow(freed(run), _COUNTED)
 
 
 def _reached(counted: DataFrame, size: int, cells: int) -> np.ndarray:
     """The cells of phrases of this length that occur often enough so far, as a bit map."""
-    often = counted.where(F.col("size") == size).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    often = counted.where((F.col("size") == size) & (F.col("n") >= LEAST)).select("lang", "phrase")
     width = cells // _SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,41 +197,45 @@ def _reached(counted: DataFrame, size: int, cells: int) -> np.ndarray:
     schema = "slice int, map binary"
     parts = min(_SLICES, partitions(counted.sparkSession))
     found = np.zeros(cells, dtype=bool)
-    for r in often.mapInArrow(run, schema).repartition(parts, "slice").mapInArrow(total, schema).collect():  # one bit a cell
+    for r in often.mapInArrow(freed(run), schema).repartition(parts, "slice").mapInArrow(freed(total), schema).collect():  # one bit a cell
         found[r["slice"] * width : (r["slice"] + 1) * width] = np.unpackbits(np.frombuffer(r["map"], dtype=np.uint8))
     return found
 
 
-def cells_for(n_bytes: int) -> int:
-    """Cells for a corpus of so many bytes of text: one for 64 bytes, 65,536 to 64 million."""
-    return 1 << min(max(ceil(log2(max(n_bytes, 1) / 64 + 1)), 16), 26)
+def cells_for(n_tokens: int) -> int:
+    """Cells for a corpus of so many tokens: one for 8 tokens, 65,536 to 64 million."""
+    return 1 << min(max(ceil(log2(max(n_tokens, 1) / 8 + 1)), 16), 26)
 
 
 def counts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(lang, size, phrase, n): all words, and all longer phrases that occur often enough."""
+    """(lang, size, phrase, n): all phrases that occur often enough, and of size 0 each language's tokens.
+
+    The counts so far are a table that each scan adds to; a phrase that has had its round and
+    is rare leaves it.
+    """
     spark = docs.sparkSession
-    text = F.col("text").cast("string")
-    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"), shard.alias("shard")).where("length(text) > 0")
-    dealt = written(dealt, "collocation-shards", by=["shard"])
-    cells = cells_for(dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    reached = {k: np.full(cells, _NEVER, dtype=np.uint8) for k in range(1, LONGEST)}
-    counted, step, last = None, 0, 0  # last: the scan up to which some phrase is counted
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    shard = F.pmod(F.xxhash64("text"), F.lit(shards))
+    reached = {k: np.full(1, _NEVER, dtype=np.uint8) for k in range(1, LONGEST)}
+    state, step, last = None, 0, 0  # last: the scan up to which some phrase is counted
     while step < max(shards, last + 1):
         cast = spark.sparkContext.broadcast({k: v.tobytes() for k, v in reached.items()})
-        part = _scan(dealt.where(F.col("shard") == step % shards).select("lang", "text"), cast, step, shards)
-        part = written(part.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")), "collocation-scan")
-        counted = part if counted is None else counted.union(part)
+        part = _scan(rows.where(shard == step % shards), cast, step, shards)
+        part = part if state is None else part.union(state.select(*part.columns))
+        total = part.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+        state = written(total.where((F.col("size") == 0) | (F.col("n") >= LEAST) | (F.col("since") + shards > step)), "collocation-counts")
+        if not step:
+            cells = cells_for(shards * (state.where("size = 0").agg(F.sum("n")).first()[0] or 0))
+            reached = {k: np.full(cells, _NEVER, dtype=np.uint8) for k in reached}
         for k in range(1, LONGEST):
-            if k * shards > step >= k - 1:  # phrases of this length may be counted in this scan
-                new = _reached(counted, k, cells) & (reached[k] == _NEVER)
+            if k * shards > step >= k - 1:  # phrases of this length may have been counted in this scan
+                new = _reached(state, k, cells) & (reached[k] == _NEVER)
                 reached[k][new] = step
                 if new.any():
                     last = step + shards
         cast.unpersist()
         step += 1
-    total = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return written(total.where((F.col("size") == 1) | (F.col("n") >= LEAST)), "collocation-counts")
+    return state.select("lang", "size", "phrase", "n")
 
 
 def _part(first: str, size: str) -> Column:
@@ -236,7 +245,7 @@ def _part(first: str, size: str) -> Column:
 def mine(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first phrases of each language of docs (lang, text)."""
     total = counts(docs, shards)
-    often = total.where(F.col("n") >= LEAST).select("lang", "phrase", F.col("n").alias("f"))
+    often = total.where((F.col("size") > 0) & (F.col("n") >= LEAST)).select("lang", "phrase", F.col("n").alias("f"))
     found = total.where((F.col("size") > 1) & (F.col("n") >= LEAST)).select("lang", "size", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
     cuts = found.select("lang", "phrase", "a", "size", "words", F.explode(F.expr("sequence(1, size - 1)")).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _part("1", "k").alias("first"), _part("k + 1", "size - k").alias("rest"))
@@ -254,5 +263,5 @@ def mine(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     kept = kept.select("lang", "phrase", "a", "low.l", "low.r", "low.score")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     kept = kept.withColumn("rank", rank).where(F.col("rank") <= TOP)
-    n = total.where(F.col("size") == 1).groupBy("lang").agg(F.sum("n").alias("n"))
+    n = total.where(F.col("size") == 0).select("lang", "n")
     return kept.join(n, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
