@@ -20,9 +20,6 @@ TIME_NAMES = (
 )
 CUSTOMER_PARTS = ("cust_no", "customer_no", "custno")
 RECORD_ID_NAMES = ("use_credit_id", "apply_id", "use_credit_apply_id", "loan_no", "ua_id", "ua_no")
-REQUEST_ID_NAMES = (
-    "apply_id", "applyid", "use_credit_id", "use_credit_apply_id", "loan_no", "ua_id", "ua_no",
-)
 DEFAULT_FEATURE_START = 4
 
 # Columns that are carried along but never compared.

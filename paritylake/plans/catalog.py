@@ -1086,14 +1086,18 @@ def _run(stream, root: str, name: str, mode: str, tables: dict | None = None) ->
     return target
 
 
-def _stream_cells(spark, d, **options):
-    stream = _response_stream(spark, d)
+def _stream_parts(spark, d):
+    """The static side, what to do to arriving bodies, and the catalogue of the stored ones."""
     left = X.requests(spark, d).select(
         F.col("id").alias("k"), "uid", F.col("K").alias("count"), "kind"
     )
-    stream = stream.withColumn("body", F.replace("body", F.lit('"k":'), F.lit('"Count":')))
-    docs = X.responses(spark, d).select(D.parse(F.replace("body", F.lit('"k":'), F.lit('"Count":'))).alias("doc"))
-    catalog = D.discover(docs, "doc")
+    body = F.replace("body", F.lit('"k":'), F.lit('"Count":'))
+    return left, body, D.discover(X.responses(spark, d).select(D.parse(body).alias("doc")), "doc")
+
+
+def _stream_cells(spark, d, **options):
+    left, body, catalog = _stream_parts(spark, d)
+    stream = _response_stream(spark, d).withColumn("body", body)
     return ST.stream_cells(stream, left, ["k"], ["uid", "count", "kind"], catalog=catalog, **options)
 
 
@@ -1106,6 +1110,20 @@ c AS (SELECT id AS k, ts, 'uid' AS feature, uid AS l, CASE WHEN state <> 'empty'
 cells AS (SELECT *, {eq_sql('l', 'r')} AS same FROM c)"""
 
 
+@query("stream_compare_batches", f"{_STREAM_SQL} SELECT k, feature, l AS left_value, r AS right_value FROM cells WHERE NOT same")
+def stream_compare_batches(spark, d):
+    """Responses in three lots, joined by the hot keys that the lots before them showed."""
+    root = fresh_dir(spark, "lots")
+    left, body, catalog = _stream_parts(spark, d)
+    events = X.table(spark, d, "events")
+    for lot in range(3):
+        events.where(F.col("event_id") % 3 == lot).write.mode("append").parquet(f"{root}/in")
+        stream = X.responses_of(spark.readStream.schema(events.schema).parquet(f"{root}/in")).withColumn("body", body)
+        run = stream.writeStream.foreachBatch(ST.balanced_batches(left, ["k"], ["uid", "count", "kind"], f"{root}/out", catalog=catalog))
+        run.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out/diffs").drop("batch")
+
+
 @query("stream_late_rows", """WITH e AS (SELECT event_id % 4 AS b, event_type AS feature, ts, event_id % 3 = 0 AS ok FROM events),
 m AS (SELECT b, max(ts) AS latest FROM e GROUP BY b), w AS (SELECT m.b, max(x.latest) - INTERVAL 9 DAY AS mark FROM m LEFT JOIN m x ON x.b < m.b GROUP BY m.b),
 r AS (SELECT feature, ok, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM e JOIN w USING (b))
