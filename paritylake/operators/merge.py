@@ -97,21 +97,23 @@ def _merge_by_key(dfs, keys, places, again, null_safe, policy) -> DataFrame:
     rows = None
     for n, (own, side) in enumerate(zip(t, sides)):
         laid = [F.col(c) if c == own else F.lit(None).cast(o.schema[c].dataType).alias(c) for c, o in zip(t, sides)]
-        laid = side.select(*on, *laid, F.lit(n).alias("__n"), F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()).alias("__row"))
+        laid = side.select(*on, *laid, F.lit(n).alias("__n"), F.monotonically_increasing_id().alias("__row"))
         rows = laid if rows is None else rows.union(laid)
-    cell = F.when(~K.has_key(on), F.array("__row")).otherwise(F.array(F.lit(0).cast("bigint")))
+    # a row whose key has a NULL is a group of its own: its table and its place there
+    rows = rows.withColumn("__lone", F.when(K.has_key(on), F.lit(-1)).otherwise(F.col("__n")))
+    cell = F.when(F.col("__lone") >= 0, F.array("__row")).otherwise(F.array(F.lit(0).cast("bigint")))
     grids = _hot_grids(sides, on, policy)
     lists = [F.collect_list(c).alias(c) for c in t]
     if grids is None:
-        met = rows.withColumn("__cell", F.explode(cell)).groupBy(*on, "__cell").agg(*lists)
+        met = rows.withColumn("__cell", F.explode(cell)).groupBy(*on, "__lone", "__cell").agg(*lists)
     else:
         dealt = rows.join(F.broadcast(grids), key_hash(on) == F.col("__h"), "left")
         size, step = F.col("__sizes")[F.col("__n")], F.col("__steps")[F.col("__n")]
-        at = F.pmod(F.col("__row"), size) * step
+        at = F.pmod(F.xxhash64("__row"), size) * step
         outer = F.sequence(F.lit(0).cast("bigint"), F.col("__cells") - 1, size * step)
         copies = F.flatten(F.transform(outer, lambda hi: F.transform(F.sequence(F.lit(0).cast("bigint"), step - 1), lambda lo: hi + at + lo)))
-        dealt = dealt.withColumn("__cell", F.explode(F.when(K.has_key(on) & F.col("__h").isNotNull(), copies).otherwise(cell)))
-        met = dealt.groupBy(*on, "__cell").agg(*lists, F.first("__has").alias("__has"))
+        dealt = dealt.withColumn("__cell", F.explode(F.when((F.col("__lone") < 0) & F.col("__h").isNotNull(), copies).otherwise(cell)))
+        met = dealt.groupBy(*on, "__lone", "__cell").agg(*lists, F.first("__has").alias("__has"))
         # a cell that lacks a table whose rows are in other cells of the key
         lacks = [F.col("__has")[n] & (F.size(c) == 0) for n, c in enumerate(t)]
         met = met.where(~F.coalesce(reduce(or_, lacks), F.lit(False)))

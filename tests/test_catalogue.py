@@ -93,12 +93,6 @@ def test_equal_blocks_are_not_joined(spark):
     assert by.blocks.where("NOT alike").count() == 1 and by.blocks.agg(F.sum("left_rows")).first()[0] == 20_000
 
 
-def test_large_integers_are_compared_exactly(spark):
-    a = spark.createDataFrame([(1, 2**53), (2, 2**53 + 1)], "k int, v long")
-    b = spark.createDataFrame([(1, 2**53 + 1), (2, 2**53 + 1)], "k int, v long")
-    assert compare(a, b, "k").stats().first()["mismatch"] == 1
-
-
 def test_stored_sides_are_not_shuffled(spark, tmp_path):
     from paritylake.sources import write_keyed
 
