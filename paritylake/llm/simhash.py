@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.skew import SkewPolicy, find_hot_keys, lookup_join
-from .common import ASCII_SPACE, partitions, written
+from .common import ASCII_SPACE, freed, partitions, written
 from .graph import components
 
 WORDS, SEED, DISTANCE, BITS = 4, 42, 4, 64
@@ -115,7 +115,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 fp = fingerprints(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(freed(run), f"doc_id {kind}, fp bigint")
 
 
 def tables(n: int) -> list[np.ndarray]:
@@ -161,7 +161,7 @@ def _keyed(prints: DataFrame, n: int, max_run: int) -> DataFrame:
         if size:
             yield from out(np.concatenate(held))
 
-    return prints.select("fp").mapInArrow(run, "tab int, key bigint, fp bigint")
+    return prints.select("fp").mapInArrow(freed(run), "tab int, key bigint, fp bigint")
 
 
 def stars(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +214,7 @@ def _links(rows: DataFrame, max_run: int) -> DataFrame:
         if len(run_fp) > 1:
             yield judge(run_fp)
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return rows.mapInArrow(freed(run), "u bigint, v bigint")
 
 
 def _places(prints: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _places(prints: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((some[:, None] ^ flip).ravel().view(np.int64)),
                                                   pa.array(np.repeat(some, len(flip)).view(np.int64))], names=["place", "fp"])
 
-    return prints.mapInArrow(run, "place bigint, fp bigint")
+    return prints.mapInArrow(freed(run), "place bigint, fp bigint")
 
 
 def links(prints: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
