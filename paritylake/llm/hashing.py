@@ -13,6 +13,7 @@ _rng = np.random.default_rng(20240607)
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_KEPT = 1 << 22  # powers that a worker keeps: 64 MB, enough for every portion of a sort
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
@@ -21,7 +22,7 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     while len(have) < n:  # doubling: base**(i + k) = base**i * base**k
         step = have[-1] * base
         have = np.concatenate([have, have * step])
-    _powers[kind] = have
+    _powers[kind] = have[:_KEPT]
     return have[:n]
 
 
@@ -45,3 +46,9 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """Hashes of data[start:end], not mixed."""
     with np.errstate(over="ignore"):
         return (prefix[end] - prefix[start]) * _power("down", _INVERSE, len(prefix))[start]
+
+
+def window_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of one size, not mixed."""
+    with np.errstate(over="ignore"):
+        return (prefix[size:] - prefix[:-size]) * _power("down", _INVERSE, len(prefix))[: len(prefix) - size]

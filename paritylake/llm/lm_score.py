@@ -1,20 +1,25 @@
 """Cross-entropy difference of two n-gram language models.
 
-Target and background model are matched: word bigrams over one shared vocabulary (the
-words that at least `min_count` places of the corpus hold; all others are one unknown word), smoothed
-alike. A token costs -ln p, where p mixes its share after the word before it with its share
-overall; a document's score is the mean over its tokens of target cost less background
-cost. Low scores are like the target.
+Target and background model are matched: word bigrams over one shared vocabulary, the
+words that at least `min_count` places of the corpus hold; all others are one unknown word, in bigrams as
+alone. A token costs -ln p, where p mixes its share after the word before it with its share
+overall; where a model has never seen the word before, the share overall alone. A document's
+score is the mean over its tokens of target cost less background cost. Low scores are like the
+target.
 
 The target model counts documents labelled of high quality, the background model all
-documents. Counts are gathered over the whole corpus: blocks of documents send each distinct
-word and bigram once, with its counts, to the task of the word's hash; that task adds up all
-blocks' counts and sends each block its corpus counts back. No model is collected or
-broadcast, so its size may grow with the corpus; a frequent word costs one entry a block.
+documents. A document is scored by the counts of the others: its own are taken off in both models.
+
+Counts are gathered over the whole corpus. Blocks of documents send each distinct word with its
+counts to the task of the word's hash, which adds up all blocks' counts and sends each block the sums
+back; then the same with each distinct bigram of the vocabulary. No model is collected or
+broadcast, so its size may grow with the corpus, and the most frequent word or bigram costs
+one entry a block.
 
 Null or blank texts have no tokens and a null score. Rows may repeat: each counts and is
 scored. A row without an id is never labelled. Repeated labels of one id count once, the
-larger. Columns other than id and text are ignored.
+larger. A very long text is a block of its own, held whole with about 40 bytes a word. Columns other than id and
+text are ignored, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import freed, partitions, written
 from .hashing import mix, prefixes, span_hash
 
-BLOCK_BYTES = 8 << 20
-START = np.uint64(0x5EED0F7E87)  # stands before a document's first word
+BLOCK_BYTES = 12 << 20
+#: What stands before a document's first word, after its last, and for words outside the vocabulary.
+START, END, UNKNOWN = np.uint64(0x5EED0F7E87), np.uint64(0xE4DDEAD), np.uint64(0x0DDBA11)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -45,31 +51,37 @@ def tokens(text: str | None) -> np.ndarray:
     return mix(span_hash(prefixes(data), start, end))
 
 
-class Block:
-    """Distinct words and bigrams of some documents, with the counts of both models."""
-
-    def __init__(self, texts: list[str | None], target: np.ndarray):
-        found = [tokens(t) for t in texts]
-        self.size = np.array([len(f) for f in found], dtype=np.int64)
-        word = np.concatenate([*found, np.empty(0, np.uint64)])
-        before = np.concatenate([*(np.concatenate([[START], f[:-1]]).astype(np.uint64) for f in found if len(f)), np.empty(0, np.uint64)])
-        of_target = np.repeat(target, self.size)
-        self.words, self.word_at = np.unique(word, return_inverse=True)
-        self.firsts, first_at = np.unique(before, return_inverse=True)
-        pair = first_at.astype(np.uint64) << np.uint64(32) | self.word_at.astype(np.uint64)
-        pairs, self.pair_at = np.unique(pair, return_inverse=True)
-        self.pair_first = (pairs >> np.uint64(32)).astype(np.int64)
-        self.pair_word = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        counts = lambda at, n: (np.bincount(at, minlength=n), np.bincount(at[of_target], minlength=n))
-        self.word_counts, self.pair_counts = counts(self.word_at, len(self.words)), counts(self.pair_at, len(pairs))
-
-    def parts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The part of each word (by itself) and of each bigram (by its first word)."""
-        return (self.words % np.uint64(n)).astype(np.int64), (self.firsts % np.uint64(n)).astype(np.int64)[self.pair_first]
+def _pack(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def _open(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
+    raw = pa.decompress(blob, decompressed_size=n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Rising numbers as the bytes of their steps, byte by byte: the upper ones are mostly zero."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _open_keys(raw: bytes, n: int) -> np.ndarray:
+    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(step, dtype=np.uint64)
+
+
+# --- blocks of documents ---------------------------------------------------------------------
+
+_BLOCK = "block_id bigint, n_docs int, n_words int, n_tokens int, docs binary, words binary, tokens binary"
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(block_id, body) with rows (doc_id, text, target)."""
+    """Blocks of rows (doc_id, text, target): their ids, distinct words, and which of them each token is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -77,16 +89,23 @@ def _blocks(docs: DataFrame) -> DataFrame:
         part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches([b for b, _ in held])
+            found = [f for _, some in held for f in some]
+            words, at = np.unique(np.concatenate(found), return_inverse=True)
+            rows = rows.append_column("size", pa.array([len(f) for f in found], pa.int64()))
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                for b in held:
-                    w.write_batch(b)
-            return pa.RecordBatch.from_pydict({"block_id": pa.array([(part << 24) + made], pa.int64()), "body": pa.array([sink.getvalue()], pa.binary())})
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(rows)
+            return pa.RecordBatch.from_pydict({
+                "block_id": pa.array([(part << 24) + made], pa.int64()), "n_docs": pa.array([len(found)], pa.int32()),
+                "n_words": pa.array([len(words)], pa.int32()), "n_tokens": pa.array([len(at)], pa.int32()),
+                "docs": pa.array([sink.getvalue()], pa.binary()), "words": pa.array([pa.compress(_pack_keys(words), codec="zstd", asbytes=True)], pa.binary()),
+                "tokens": pa.array([_pack(at.astype(np.uint32))], pa.binary())})
 
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 some = b.slice(lo, 500)
-                held.append(some)
+                held.append((some.select(["doc_id", "target"]), [tokens(t) for t in some.column("text").to_pylist()]))
                 size += some.column("text").nbytes
                 if size >= BLOCK_BYTES:
                     yield out()
@@ -94,111 +113,122 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return written(docs.mapInArrow(run, "block_id bigint, body binary"), "lm-blocks")
+    return written(docs.mapInArrow(freed(run), _BLOCK), "lm-blocks")
+
+
+class Block:
+    """A block as arrays; `counted` gives distinct keys of its tokens with the counts of both models."""
+
+    def __init__(self, row: dict):
+        self.rows = pa.ipc.open_stream(row["docs"]).read_all()
+        self.words = _open_keys(pa.decompress(row["words"], decompressed_size=8 * row["n_words"], codec="zstd", asbytes=True), row["n_words"])
+        self.at = _open(row["tokens"], row["n_tokens"], np.uint32)[0].astype(np.int64)
+        self.size = self.rows.column("size").to_numpy()
+        self.target = np.array(self.rows.column("target").to_pylist(), dtype=bool)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+
+    def counted(self, at: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(at, minlength=n), np.bincount(at[self.target[doc]], minlength=n)
+
+    def bigrams(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct bigrams, which of them each is, its document, whether it ends with a token) over
+        the vocabulary, the first with START and the last with END."""
+        word = np.where(known, self.words, UNKNOWN)[self.at]
+        some = np.flatnonzero(self.size)
+        ends = np.cumsum(self.size[some])
+        first = np.insert(word, ends - self.size[some], START)
+        second = np.insert(word, ends, END)
+        doc = np.repeat(some, self.size[some] + 1)
+        with np.errstate(over="ignore"):
+            pairs, pair_at = np.unique(mix(first * np.uint64(3) + mix(second)), return_inverse=True)
+        scored = np.ones(len(first), dtype=bool)
+        scored[ends + np.arange(len(ends))] = False
+        return pairs, pair_at, doc, scored
+
+
+def _own(at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """How often each token's (or bigram's) document holds it."""
+    _, inverse, count = np.unique(doc * np.int64(n) + at, return_inverse=True, return_counts=True)
+    return count[inverse]
+
+
+# --- counts over all blocks ------------------------------------------------------------------
+
+_SENT = pa.schema([("part", pa.int32()), ("block_id", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
+
+
+def _send(block_id: int, keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray], n_parts: int) -> pa.RecordBatch:
+    """A block's rising keys and their counts, by the part of each key."""
+    part = (keys % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
+    body = lambda at: pa.compress(_pack_keys(keys[at]) + b"".join(c[at].astype(np.uint32).tobytes() for c in counts), codec="zstd", asbytes=True)
+    rows = [(p, block_id, z - a, body(order[a:z]))
+            for p, (a, z) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if z > a]
+    return pa.RecordBatch.from_pylist([dict(zip(_SENT.names, r)) for r in rows], schema=_SENT)
+
+
+def _received(got: list[dict] | None, keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """The corpus counts (both models) of a block's keys, from its answers."""
+    part = (keys % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
+    out = np.zeros((2, len(keys)), dtype=np.int64)
+    for r in got or []:
+        a, z = cuts[r["part"]], cuts[r["part"] + 1]
+        out[:, order[a:z]] = _open(r["body"], r["n"], np.uint64, np.uint64)
+    return out
 
 
-def _load(body) -> tuple[pa.Table, Block]:
-    table = pa.ipc.open_stream(pa.py_buffer(body)).read_all()
-    return table, Block(table.column("text").to_pylist(), np.array(table.column("target").to_pylist(), dtype=bool))
+_ANSWER = pa.schema([*_SENT, *((c, pa.int64()) for c in "vxy")])
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+def _answers(sent: DataFrame, min_count: int = 0) -> DataFrame:
+    """For each blob the corpus counts of its keys. One row for each part, without a block, holds
+    how many of its keys occur often enough, and the occurrences of the others in both models."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(rows: list[dict]) -> pa.RecordBatch:
+            got = [_open(r["body"], r["n"], "V8", np.uint32, np.uint32) for r in rows]
+            got = [(_open_keys(g[0].tobytes(), len(g[0])), *g[1:]) for g in got]
+            keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            both = [np.bincount(at, weights=np.concatenate([g[i] for g in got]), minlength=len(keys)).astype(np.uint64) for i in (1, 2)]
+            known, cuts = both[0] >= min_count, np.cumsum([0, *(r["n"] for r in rows)])
+            out = [{"part": r["part"], "block_id": r["block_id"], "n": r["n"], "body": _pack(*(c[at[a:z]] for c in both))} for r, a, z in zip(rows, cuts, cuts[1:])]
+            out.append({"v": int(known.sum()), "x": int(both[0][~known].sum()), "y": int(both[1][~known].sum())})
+            return pa.RecordBatch.from_pylist(out, schema=_ANSWER)
+
+        held: list[dict] = []
+        for b in batches:
+            for row in b.to_pylist():
+                if held and held[-1]["part"] != row["part"]:
+                    yield answer(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield answer(held)
 
-def _open(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
-    raw = pa.decompress(blob, decompressed_size=n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+    n = partitions(sent.sparkSession)
+    dealt = sent.repartition(n, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(freed(run), "part int, block_id bigint, n int, body binary, v bigint, x bigint, y bigint")
 
 
-_SENT = "part int, block_id bigint, n_words int, n_pairs int, words binary, pairs binary"
-_SENT_SCHEMA = pa.schema([("part", pa.int32()), ("block_id", pa.int64()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())])
+def _by_block(answers: DataFrame, name: str) -> DataFrame:
+    return answers.where("block_id IS NOT NULL").groupBy("block_id").agg(F.collect_list(F.struct("part", "n", "body")).alias(name))
 
 
-def _send(blocks: DataFrame, n_parts: int) -> DataFrame:
-    """The counts of each block, by part. The order of entries in a blob is the block's own order."""
+def _over_blocks(blocks: DataFrame, made, schema: str) -> DataFrame:
+    """`made(block row)` gives a batch for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block_id, body in zip(b.column("block_id").to_pylist(), b.column("body")):
-                _, block = _load(body.as_buffer())
-                pw, pp = block.parts(n_parts)
-                ow, op = np.argsort(pw, kind="stable"), np.argsort(pp, kind="stable")
-                cw, cp = np.searchsorted(pw[ow], np.arange(n_parts + 1)), np.searchsorted(pp[op], np.arange(n_parts + 1))
-                rows = {k: [] for k in _SENT_SCHEMA.names}
-                for p in range(n_parts):
-                    w, q = ow[cw[p] : cw[p + 1]], op[cp[p] : cp[p + 1]]
-                    if not len(w) and not len(q):
-                        continue
-                    rows["part"].append(p)
-                    rows["block_id"].append(block_id)
-                    rows["n_words"].append(len(w))
-                    rows["n_pairs"].append(len(q))
-                    rows["words"].append(_pack(block.words[w], *(c[w].astype(np.uint32) for c in block.word_counts)))
-                    rows["pairs"].append(_pack(block.firsts[block.pair_first[q]], block.words[block.pair_word[q]], *(c[q].astype(np.uint32) for c in block.pair_counts)))
-                yield pa.RecordBatch.from_pydict(rows, schema=_SENT_SCHEMA)
-
-    return blocks.mapInArrow(run, _SENT)
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    held: list[dict] = []
-    for b in batches:
-        for row in b.to_pylist():
-            if held and held[-1]["part"] != row["part"]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
-def _words_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a part, their counts over all blocks in both models, and where each entry stands."""
-    got = [_open(r["words"], r["n_words"], np.uint64, np.uint32, np.uint32) for r in rows]
-    word, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-    both = [np.bincount(at, weights=np.concatenate([g[i] for g in got]), minlength=len(word)) for i in (1, 2)]
-    return word, both[0], both[1], at
-
-
-_ANSWER = pa.schema([("block_id", pa.int64()), ("part", pa.int32()), ("n_words", pa.int32()), ("n_pairs", pa.int32()), ("words", pa.binary()),
-                     ("pairs", pa.binary()), *((c, pa.int64()) for c in "vatxy")])
-
-
-def _answer(sent: DataFrame, min_count: int) -> DataFrame:
-    """For each blob the corpus counts in both models: of every word, and of every bigram and its
-    first word. One row for each part, without a block, holds the part's share of the totals:
-    vocabulary, tokens of background and target, and how many of both are unknown words."""
+            for i in range(b.num_rows):
+                yield made(b.slice(i, 1).to_pylist()[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_part(batches):
-            word, all_, target, at = _words_of(rows)
-            known = all_ >= min_count
-            totals = [int(known.sum()), int(all_.sum()), int(target.sum()), int(all_[~known].sum()), int(target[~known].sum())]
-            got = [_open(r["pairs"], r["n_pairs"], np.uint64, np.uint64, np.uint32, np.uint32) for r in rows]
-            first, second = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            _, f_at = np.unique(first, return_inverse=True)
-            order = np.lexsort((second, f_at))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (f_at[order][1:] != f_at[order][:-1]) | (second[order][1:] != second[order][:-1])
-            pair_at = np.empty(len(order), dtype=np.int64)
-            pair_at[order] = np.cumsum(new) - 1
-            pair = []
-            for i in (2, 3):
-                n = np.concatenate([g[i] for g in got]).astype(float)
-                pair += [np.bincount(pair_at, weights=n)[pair_at].astype(np.uint64), np.bincount(f_at, weights=n)[f_at].astype(np.uint64)]
-            single = [c[at].astype(np.uint64) for c in (all_, target)]
-            cw, cp = np.cumsum([0, *(r["n_words"] for r in rows)]), np.cumsum([0, *(r["n_pairs"] for r in rows)])
-            columns = [[r[c] for r in rows] + [None] for c in ("block_id", "part", "n_words", "n_pairs")]
-            columns += [[_pack(*(c[a:b] for c in counts)) for a, b in zip(cuts, cuts[1:])] + [None] for counts, cuts in ((single, cw), (pair, cp))]
-            columns += [[None] * len(rows) + [t] for t in totals]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANSWER)], schema=_ANSWER)
-
-    return sent.mapInArrow(run, "block_id bigint, part int, n_words int, n_pairs int, words binary, pairs binary, v bigint, a bigint, t bigint, x bigint, y bigint")
+    return blocks.mapInArrow(freed(run), schema)
+
+
+_SENT_SQL = "part int, block_id bigint, n int, body binary"
 
 
 def score(docs: DataFrame, labels: DataFrame, min_count: int = 2, mix_in: float = 0.5) -> DataFrame:
@@ -207,42 +237,62 @@ def score(docs: DataFrame, labels: DataFrame, min_count: int = 2, mix_in: float
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.max("quality") > 0).alias("target"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marked = rows.join(written(good.where("target"), "lm-target"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    blocks = _blocks(marked)
-    n_parts = 2 * partitions(spark)
-    dealt = _send(blocks, n_parts).repartition(partitions(spark), "part").sortWithinPartitions("part")
-    counted = written(_answer(dealt, min_count), "lm-counts")
-    sums = counted.where("block_id IS NULL").agg(*[F.sum(c) for c in "vatxy"]).first()
-    vocabulary, n_all, n_target, x_all, x_target = (int(x or 0) for x in sums)
-    answers = counted.where("block_id IS NOT NULL").groupBy("block_id").agg(F.collect_list(F.struct("part", "n_words", "n_pairs", "words", "pairs")).alias("got"))
-
-    def share(count: np.ndarray, unknown: int, known: np.ndarray, total: int) -> np.ndarray:
-        """One added to every count, the unknown word being one word more."""
-        return (np.where(known, count, unknown) + 1) / (total + vocabulary + 1)
-
-    joined = blocks.join(answers, "block_id", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for body, got in zip(b.column("body"), b.column("got")):
-                table, block = _load(body.as_buffer())
-                pw, pp = block.parts(n_parts)
-                ow, op = np.argsort(pw, kind="stable"), np.argsort(pp, kind="stable")
-                cw, cp = np.searchsorted(pw[ow], np.arange(n_parts + 1)), np.searchsorted(pp[op], np.arange(n_parts + 1))
-                word, pair = np.zeros((2, len(block.words))), np.zeros((4, len(block.pair_first)))
-                for r in got.as_py() or []:
-                    p = r["part"]
-                    word[:, ow[cw[p] : cw[p + 1]]] = _open(r["words"], r["n_words"], *[np.uint64] * 2)
-                    pair[:, op[cp[p] : cp[p + 1]]] = _open(r["pairs"], r["n_pairs"], *[np.uint64] * 4)
-                known = word[0] >= min_count
-                single = np.stack([share(word[0], x_all, known, n_all), share(word[1], x_target, known, n_target)])
-                after = pair[[0, 2]] / np.maximum(pair[[1, 3]], 1)
-                probability = mix_in * after + (1 - mix_in) * single[:, block.pair_word]
-                cost = -np.log(np.maximum(probability, 1e-300))[:, block.pair_at]
-                doc = np.repeat(np.arange(len(block.size)), block.size)
-                back, target = (np.bincount(doc, weights=cost[i], minlength=len(block.size)) / np.maximum(block.size, 1) for i in (0, 1))
-                none = block.size == 0
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(block.size), pa.array(target, mask=none), pa.array(back, mask=none),
-                                                  pa.array(target - back, mask=none)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+    blocks, n_parts = _blocks(marked), 2 * partitions(spark)
+
+    def send_words(row: dict) -> pa.RecordBatch:
+        block = Block(row)
+        return _send(row["block_id"], block.words, block.counted(block.at, block.doc, len(block.words)), n_parts)
+
+    def sizes(row: dict) -> pa.RecordBatch:
+        block = Block(row)
+        one = (block.size > 0, block.size)
+        return pa.RecordBatch.from_pylist([{f"{n}{m}": int(v[mask].sum()) for n, v in zip("dn", one) for m, mask in (("", slice(None)), ("t", block.target))}])
+
+    words = written(_answers(_over_blocks(blocks, send_words, _SENT_SQL), min_count), "lm-words")
+    sums = words.where("block_id IS NULL").agg(*[F.sum(c) for c in "vxy"]).first()
+    vocabulary, *unknown = (int(x or 0) for x in sums)
+    total = _over_blocks(blocks.select("docs", "words", "tokens", "n_tokens", "n_words"), sizes, "d bigint, dt bigint, n bigint, nt bigint").agg(*[F.sum(c) for c in ("d", "dt", "n", "nt")]).first()
+    n_docs, n_all = [int(x or 0) for x in total[:2]], [int(x or 0) for x in total[2:]]
+    seen = blocks.join(_by_block(words, "of_words"), "block_id", "left")
+
+    def known_words(block: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        count = _received(row["of_words"], block.words, n_parts)
+        return count, count[0] >= min_count
+
+    def send_pairs(row: dict) -> pa.RecordBatch:
+        block = Block(row)
+        pairs, at, doc, _ = block.bigrams(known_words(block, row)[1])
+        return _send(row["block_id"], pairs, block.counted(at, doc, len(pairs)), n_parts)
+
+    asked = seen.join(_by_block(_answers(_over_blocks(seen, send_pairs, _SENT_SQL)), "of_pairs"), "block_id", "left")
+
+    def losses(row: dict) -> pa.RecordBatch:
+        block = Block(row)
+        count, known = known_words(block, row)
+        pairs, pair_at, pair_doc, scored = block.bigrams(known)
+        pair_count = _received(row["of_pairs"], pairs, n_parts)[:, pair_at]
+        own_pair = _own(pair_at, pair_doc, len(pairs))[scored]
+        pair_count = pair_count[:, scored]
+        # the vocabulary's words, the unknown one last
+        place = np.where(known, np.arange(len(known)), len(known))[block.at]
+        own = _own(place, block.doc, len(known) + 1)
+        all_counts = np.concatenate([np.where(known, count, 0), np.array(unknown)[:, None]], axis=1)[:, place]
+        begins = np.cumsum(block.size) - block.size
+        first = np.zeros(len(place), dtype=bool)
+        first[begins[block.size > 0]] = True
+        out = []
+        for m in (0, 1):
+            mine = np.ones(len(block.size), dtype=bool) if m == 0 else block.target
+            less = mine[block.doc]
+            single = all_counts[m] - own * less
+            share = (single + 1) / (n_all[m] - (block.size * mine)[block.doc] + vocabulary + 1)
+            before = np.where(first, n_docs[m] - less, np.roll(single, 1))
+            after = (pair_count[m] - own_pair * less) / np.maximum(before, 1)
+            cost = -np.log(np.where(before > 0, mix_in * after + (1 - mix_in) * share, share))
+            out.append(np.bincount(block.doc, weights=cost, minlength=len(block.size)) / np.maximum(block.size, 1))
+        none = block.size == 0
+        return pa.RecordBatch.from_arrays([block.rows.column("doc_id").combine_chunks(), pa.array(block.size), pa.array(out[1], mask=none), pa.array(out[0], mask=none),
+                                           pa.array(out[1] - out[0], mask=none)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
+    return _over_blocks(asked, losses, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
