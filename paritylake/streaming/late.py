@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quote
 
+
 def _folder(base: str, name: str, batch: int | None = None) -> str:
     return f"{base.rstrip('/')}/{name}" + ("" if batch is None else f"/batch={batch}")
 
