@@ -52,14 +52,14 @@ def some_cell(rng):
     return f'"{text}"'
 
 
-@pytest.mark.parametrize("size", [150, 1000])
+@pytest.mark.parametrize("size", [250, 2000])
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_csv_ranges_equal_whole_files(spark, tmp_path, ranges, size, end):
     for f in range(3):
         rng = random.Random(f)
-        lines = [",".join(some_cell(rng) for _ in range(rng.choice([4, 4, 4, 3, 5]))) for _ in range(150)]
-        lines.insert(60, "")
-        lines.insert(61, '"' + "one cell\n" * 100 + '",z,z,z')  # longer than several ranges
+        lines = [",".join(some_cell(rng) for _ in range(rng.choice([4, 4, 4, 3, 5]))) for _ in range(70)]
+        lines.insert(30, "")
+        lines.insert(31, '"' + "one cell\n" * 100 + '",z,z,z')  # longer than several ranges
         (tmp_path / f"t{f}.csv").write_bytes(("k,b,c,d" + end + end.join(lines) + (end if f else "")).encode())
     want = read_table(spark, str(tmp_path), multi_line=True).collect()
     ranges(size)
@@ -108,12 +108,12 @@ def some_item(rng, depth=0):
 def test_array_ranges_equal_whole_files(spark, tmp_path, ranges):
     rng = random.Random(4)
     for f in range(4):
-        items = [some_item(rng) if i % 3 == 0 else '{"id": %d, "v": %s}' % (i, some_item(rng)) for i in range(120)]
+        items = [some_item(rng) if i % 3 == 0 else '{"id": %d, "v": %s}' % (i, some_item(rng)) for i in range(50)]
         (tmp_path / f"a{f}.json").write_text(rng.choice(["", " \n"]) + "[" + rng.choice([",", " ,\n"]).join(items) + "]" + rng.choice(["", "\n"]))
-    whole = "[" + ",".join('{"id": %d}' % i for i in range(80)) + "]"
+    whole = "[" + ",".join('{"id": %d}' % i for i in range(40)) + "]"
     others = {
         "cut": whole[:-1], "cut2": whole[:-4], "cut3": '[{"a": "' + "x" * 900, "lead": "x " + whole, "comma": whole[:-1] + ",]",
-        "gap": whole.replace("},", "},,", 1), "item": whole.replace('{"id": 50}', "{id}"), "empty": "[]", "blank array": "[ \n ]", "blank": " \n", "one": '{"a": [1, {"b": 2}], "c": 3}',
+        "gap": whole.replace("},", "},,", 1), "item": whole.replace('{"id": 30}', "{id}"), "empty": "[]", "blank array": "[ \n ]", "blank": " \n", "one": '{"a": [1, {"b": 2}], "c": 3}',
         "one cut": '{"a": [1, {"b": 2}], "c": 3', "number": "12", "text": '"a}b"', "words": "no json", "bom": "﻿" + whole, "long": '{"a": "' + "}" * 700 + '"}', "close": "}", "array close": "]",
         "scalars": "[1, 2, [3], null]", "deep": "[[[{}]]]", "tail blank": whole + " " * 900, "closed": "[}]",
     }
@@ -126,7 +126,7 @@ def test_array_ranges_equal_whole_files(spark, tmp_path, ranges):
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     want = sorted(map(key, read_responses(spark, str(tmp_path)).collect()))
     bad = sorted(map(key, rejected_responses(spark, str(tmp_path)).collect()))
-    for size in (200, 100_000):
+    for size in (300, 100_000):
         ranges(size)
         items, rejects = split_responses(spark, str(tmp_path))
         got = sorted(map(key, items.collect()))
