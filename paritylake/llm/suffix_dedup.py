@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
-from .hashing import mix, prefixes, span_hash
+from .common import freed, partitions, written
+from .hashing import mix, prefixes, span_hash, window_hash
 
 LENGTH, K, _T = 50, 28, 5
 _W = LENGTH - K + 1  # anchors of a string start at one of so many places
@@ -46,16 +46,14 @@ _LAST = 2**63 - 1
 # -- stretches ------------------------------------------------------------------------
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the first minimum of every `width` consecutive values."""
-    at, best, have = np.arange(len(values), dtype=np.int32), values, 1
+    """Position of the least of every `width` consecutive values, by their upper 32 bits; of equal ones the first."""
+    place = np.uint64(0xFFFFFFFF)
+    best, have = (values & ~place) | np.arange(len(values), dtype=np.uint64), 1
     while have < width:
         step = min(have, width - have)
-        right, right_at = best[step:], at[step:]
-        best, at = best[: len(right)], at[: len(right)]
-        less = right < best
-        best, at = np.where(less, right, best), np.where(less, right_at, at)
+        best = np.minimum(best[: len(best) - step], best[step:])
         have += step
-    return at
+    return (best & place).astype(np.int64)
 
 
 def stretches(data: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -69,9 +67,7 @@ def stretches(data: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, ...]:
     if n <= 0:
         return none, none, none.astype(np.uint64), none.astype(np.uint64), none
     p = prefixes(data)
-    at = np.arange(len(data) - _T + 1)
-    small = mix(span_hash(p, at, at + _T))
-    first = _least(small, LENGTH - _T + 1)[:n].astype(np.int64)
+    first = _least(mix(window_hash(p, _T)), LENGTH - _T + 1)[:n]
     start = np.arange(n, dtype=np.int64)
     anchor = start + (first - start) % _W
     valid = start + LENGTH <= doc_end[:n]
@@ -181,10 +177,10 @@ def _blocks(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, np.ndarray
                 sums[i] = sums.get(i, 0) + np.frombuffer(c, dtype=np.uint32).astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
 
-    both = written(docs.mapInArrow(run, "block_id bigint, body binary, slice int, counts binary"), "dedup-blocks")
+    both = written(docs.mapInArrow(freed(run), "block_id bigint, body binary, slice int, counts binary"), "dedup-blocks")
     slices = both.where("slice is not null").select("slice", "counts").repartition(min(_SLICES, partitions(docs.sparkSession)), "slice")
     cells = np.zeros(1 << _CELL_BITS, dtype=np.uint64)
-    for r in slices.mapInArrow(total, "slice int, counts binary").collect():  # a fixed 8 MB
+    for r in slices.mapInArrow(freed(total), "slice int, counts binary").collect():  # a fixed 8 MB
         cells[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.uint64)
     return both.where("block_id is not null").select("block_id", "body"), cells
 
@@ -213,7 +209,7 @@ def _ask(blocks: DataFrame, hot, n_parts: int, text: str, key: str) -> DataFrame
                     rows["blob"].append(_squeeze(np.diff(h[lo:hi], prepend=np.uint32(0)), s[lo:hi], low[lo:hi]))
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int32()), ("block_id", pa.int64()), ("size", pa.int32()), ("blob", pa.binary())]))
 
-    return blocks.mapInArrow(run, "part int, block_id bigint, size int, blob binary")
+    return blocks.mapInArrow(freed(run), "part int, block_id bigint, size int, blob binary")
 
 
 def _answer(asked: DataFrame, hot) -> DataFrame:
@@ -259,7 +255,7 @@ def _answer(asked: DataFrame, hot) -> DataFrame:
             yield judged(held)
 
     dealt = asked.repartition(partitions(asked.sparkSession), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "block_id bigint, part int, size int, bits binary")
+    return dealt.mapInArrow(freed(run), "block_id bigint, part int, size int, bits binary")
 
 
 # -- spans ----------------------------------------------------------------------------
@@ -354,7 +350,7 @@ def _settle(blocks: DataFrame, answers: DataFrame, hot, n_parts: int, schema, te
         return pa.RecordBatch.from_arrays(columns, names=[*names, *(n for n, _ in _DIGEST), "kind", "row_key", "spans", "anchor", "doc_key", "start", "mid", "stretch"])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema if f.name != text)
-    out = joined.mapInArrow(run, f"{head}n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kind int, row_key bigint, "
+    out = joined.mapInArrow(freed(run), f"{head}n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, kind int, row_key bigint, "
                                  "spans binary, anchor bigint, doc_key bigint, start bigint, mid bigint, stretch binary")
     return written(out, "settled")
 
@@ -516,7 +512,7 @@ def _suffix_spans(settled: DataFrame, split_above: int, portion: int = 30_000) -
             yield found(pa.Table.from_batches(held))
 
     dealt = whole.repartition(partitions(settled.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "row_key bigint, start bigint, end bigint").unionByName(from_split)
+    return dealt.mapInArrow(freed(run), "row_key bigint, start bigint, end bigint").unionByName(from_split)
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_kept: bool = False, split_above: int = 5000) -> DataFrame:
@@ -550,5 +546,5 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_kept: b
 
     done = settled.where("kind = 0").select(*[f"`{c}`" for c in kept])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.schema.fields)
-    both = done.unionByName(waiting.mapInArrow(finish, schema))
+    both = done.unionByName(waiting.mapInArrow(freed(finish), schema))
     return both if with_kept else both.drop("kept")
