@@ -31,7 +31,7 @@ from .common import distinct_words, freed
 
 WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
-_CHUNK = 500  # distinct words that are encoded as one text
+_CHUNK, _AT_ONCE = 500, 40  # distinct words that are encoded as one text, and texts whose tokens are held at once
 #: Kinds of bytes: white space, letters, digits, signs, and those that a cut must not touch.
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
@@ -65,16 +65,17 @@ def _word_ids(tok, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for i, e in zip(lone, tok.encode_batch_fast([texts[i] for i in lone], add_special_tokens=False)):
         ids[i] = np.array(e.ids, dtype=np.uint32)
     plain = [i for i, t in enumerate(texts) if "0" not in t]
-    chunks = [plain[lo : lo + _CHUNK] for lo in range(0, len(plain), _CHUNK)]
-    for chunk, e in zip(chunks, tok.encode_batch_fast([" 0 ".join([texts[i] for i in c]) for c in chunks], add_special_tokens=False)):
-        found = np.array(e.ids, dtype=np.uint32)
-        at = np.flatnonzero(found == zero[0])
-        if len(zero) != 1 or len(at) != len(chunk) - 1:
-            raise ValueError("the tokenizer joins a digit with other text")
-        lo = 0
-        for i, hi in zip(chunk, [*at.tolist(), len(found)]):
-            ids[i] = found[lo:hi]
-            lo = hi + 1
+    for low in range(0, len(plain), _CHUNK * _AT_ONCE):
+        chunks = [plain[lo : min(lo + _CHUNK, low + _CHUNK * _AT_ONCE)] for lo in range(low, min(len(plain), low + _CHUNK * _AT_ONCE), _CHUNK)]
+        for chunk, e in zip(chunks, tok.encode_batch_fast([" 0 ".join([texts[i] for i in c]) for c in chunks], add_special_tokens=False)):
+            found = np.array(e.ids, dtype=np.uint32)
+            at = np.flatnonzero(found == zero[0])
+            if len(zero) != 1 or len(at) != len(chunk) - 1:
+                raise ValueError("the tokenizer joins a digit with other text")
+            lo = 0
+            for i, hi in zip(chunk, [*at.tolist(), len(found)]):
+                ids[i] = found[lo:hi]
+                lo = hi + 1
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     return np.concatenate([np.empty(0, np.uint32), *ids]), lengths
 
@@ -85,18 +86,24 @@ def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
     matches its special tokens as they are written: texts with their mark are encoded whole."""
     tok = _tokenizer(path)
     raw = [b"" if t is None or "<|" in t else t.encode("utf-8", "replace").lower() for t in texts]
+    start = np.cumsum([0, *(len(r) + 1 for r in raw)])
     data = np.frombuffer(b"\n".join([b"", *raw]), dtype=np.uint8)
+    del raw
     kind = _KIND[data]
     first = np.zeros(len(data), dtype=bool)
     first[1:] = _STARTS[kind[:-1], kind[1:]]
     distinct, word = distinct_words(data, kind != _SPACE, first)
+    begins = np.searchsorted(np.flatnonzero(first), start)
+    del data, kind, first
     ids, length = _word_ids(tok, distinct.to_pylist())
     size = length[word]
     total = np.concatenate([[0], np.cumsum(size)])
+    at = total[begins]
     # the place in `ids` of every token: where its word starts there, and its place in the word
-    flat = ids[np.arange(total[-1]) + np.repeat((np.cumsum(length) - length)[word] - total[:-1], size)]
-    start = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    at = total[np.searchsorted(np.flatnonzero(first), start)]
+    place = np.repeat(((np.cumsum(length) - length)[word] - total[:-1]).astype(np.int32), size)
+    place += np.arange(total[-1], dtype=np.int32)
+    flat = ids[place]
+    del place
     end = np.array([end_id], dtype="<u4")
     out = [np.concatenate([flat[a:z], end]).astype("<u4") for a, z in zip(at[:-1], at[1:])]
     for i, t in enumerate(texts):
