@@ -53,8 +53,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
-    return packing.pieces(docs, tokenizer_path())
+    """Sequences of at most 2048 tokens. Portions are small, as the workers have been through all other stages."""
+    return packing.pieces(docs, tokenizer_path(), portion=5_000_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
