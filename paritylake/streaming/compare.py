@@ -56,8 +56,9 @@ def stream_cells(
     parsed = parse_stream(stream, body, error).where(F.col(STATUS_ERROR).isNull())
     k, scols, lcols = stream_keys(stream, left, names)
     doc, text = F.col("doc"), F.col(quote(body))
-    values = [D.lookup(doc, f, catalog, text).alias(f"r{i}") for i, f in enumerate(features)]
-    right = parsed.select(*[c.alias(n) for c, n in zip(scols, k)], *[quote(c) for c in carry], *values)
+    values = {f"r{i}": D.lookup(doc, f, catalog, text) for i, f in enumerate(features)}
+    # a projection that drops `doc` would be taken for 2 kB a row smaller, and a batch of any size broadcast
+    right = compute(parsed.withColumns(dict(zip(k, scols))), keep=[*k, *carry], **values)
     mine = left.select(
         *[c.alias(n) for c, n in zip(lcols, k)],
         *[F.col(quote(f)).cast("string").alias(f"l{i}") for i, f in enumerate(features)],

@@ -72,3 +72,20 @@ def test_errors_and_stats_over_several_batches(spark, tmp_path):
     stats = spark.read.parquet(f"{out}/stats")
     last = stats.where(F.col("batch") == stats.agg(F.max("batch")).first()[0]).collect()
     assert [(r["feature"], r["total"], r["match"], r["mismatch"]) for r in last] == [("f", 3, 2, 1)]
+
+
+def test_arriving_rows_are_not_taken_for_smaller_than_they_are(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("k"), F.concat(F.lit('{"f":'), F.col("id").cast("string"), F.lit("}")).alias("body"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows.select("k", F.md5("k").alias("f")).coalesce(1).write.parquet(str(tmp_path / "left"))
+    size = sum(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
+    catalog = D.Catalog({D.keys_path("f"): frozenset({"plain"})})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size // 2)
+    try:
+        cells = ST.stream_cells(spark.read.parquet(str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "left")), ["k"], ["f"], catalog=catalog)
+        plan = cells._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert cells.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
