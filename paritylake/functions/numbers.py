@@ -16,6 +16,7 @@ from .text import (
 # The layout of a decimal number in text, digits may be grouped with "_".
 _DIGITS = r"\d+(?:_\d+)*"
 NUMBER = rf"^([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)$"
+_PLAIN = r"^(?:0|-?[1-9][0-9]{0,14})\z"
 _PART = 2.0**40
 
 # What `unquote` removes. Every pattern needs one character to remain, so a cell of
@@ -32,12 +33,19 @@ def numeric(c: Column | str) -> Column:
 
     The pattern keeps out what the cast alone would take (`1d`, `0x10`, `nan`, `inf`)
     and lets `1_000` in. Input is used once, so the expression stays small when this
-    is nested in others.
+    is nested in others. What is no number is NULL before the cast, as a cast that fails
+    costs an exception, many times what the pattern costs.
     """
-    number = F.regexp_extract(clean(c), NUMBER, 1)
+    number = F.get(F.regexp_extract_all(clean(c), F.lit(NUMBER), F.lit(1)), F.lit(0))
     return F.replace(number, F.lit("_"), F.lit("")).try_cast("double")
 
 
+def plain_whole(c: Column | str) -> Column:
+    """The bigint of a cell that is an integer in its plain digits and exact as a double, else NULL. Such a
+    cell is its own trimmed, unquoted and shown text, so it needs no pattern."""
+    return F.when(col(c).rlike(_PLAIN), col(c)).try_cast("bigint")
+
+
 def unquote(c: Column | str, style: str = "fast") -> Column:
     """Remove quote marks around a cell; the result is trimmed.
 

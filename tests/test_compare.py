@@ -236,3 +236,18 @@ def test_profile_and_history(spark):
     d = S.run_delta(runs).first()
     assert (d["duration_improvement"], d["status_same"], d["errors_reduced"]) == (20.0, True, True)
     assert S.run_delta(runs.limit(1)).count() == 0
+
+
+def test_cells_are_parsed_once_and_shown_as_to_number_does(spark):
+    from paritylake.functions.numbers import NUMBER, numeric, plain_whole, to_number
+
+    texts = [None, "", " ", "0", "-0", "+5", "007", "12", " 12 ", "12\n", "12.0", "1_000", "1e3", "'8'", '" x "', "'", "''", "nan", "Infinity",
+             "999999999999999", "9007199254740993", "-9007199254740993", "123456789012345678901", "1e400", ".5", "5.", "None", "٣", "1d", "0x10"]
+    left = spark.createDataFrame(list(enumerate(texts)), "id int, f string")
+    right = spark.createDataFrame(list(enumerate(reversed(texts))), "id int, f string")
+    found = compare(left, right, "id").cells()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(NUMBER) <= 2
+    want = left.select("id", to_number("f").alias("l")).join(right.select("id", to_number("f").alias("r")), "id")
+    assert sorted(map(str, found.select("id", "left_value", "right_value").collect())) == sorted(map(str, want.toDF("id", "left_value", "right_value").collect()))
+    whole = left.select("f", plain_whole("f").alias("w"), numeric("f").alias("n"), to_number("f").alias("t")).where("w is not null").collect()
+    assert {r["f"] for r in whole} == {"0", "12", "999999999999999"} and all(r["t"] == r["f"] and r["n"] == r["w"] for r in whole)
