@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stage import fresh_dir
+from .hashing import drop_powers
 
 #: White space and word characters as the queries' contracts fix them.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -55,6 +56,11 @@ def distinct_words(data: np.ndarray, inside: np.ndarray, first: np.ndarray) -> t
     return found.dictionary, found.indices.to_numpy().astype(np.int64)
 
 
+def each(values: pa.Array) -> Iterator[object]:
+    """The values one by one, so that only one text of a batch is a Python object at a time."""
+    return (v.as_py() for v in values)
+
+
 def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task function whose worker gives its free memory back when the task ends; workers outlive
     tasks, and what one stage had at its peak is missed by the next."""
@@ -64,6 +70,7 @@ def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
         try:
             yield from run(batches)
         finally:
+            drop_powers()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)

@@ -13,7 +13,8 @@ _rng = np.random.default_rng(20240607)
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_KEPT = 1 << 22  # powers that a worker keeps: 64 MB, enough for every portion of a sort
+_KEPT = 1 << 22  # powers that a worker keeps during a task: 64 MB, enough for every portion of a sort
+_FEW = 1 << 16  # and between tasks: 1 MB
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
@@ -26,6 +27,12 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def drop_powers() -> None:
+    """Keep only the powers that most texts need; the others are quickly made again."""
+    for kind, have in _powers.items():
+        _powers[kind] = have[:_FEW].copy()
+
+
 def prefixes(data: np.ndarray) -> np.ndarray:
     """len(data) + 1 prefix hashes of an array of bytes."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)

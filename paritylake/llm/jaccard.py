@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import freed, partitions, written
+from .common import each, freed, partitions, written
 from .graph import components
 from .hashing import mix, prefixes, span_hash
 
@@ -40,6 +40,7 @@ _CELL_BITS, _SLICES = 20, 64
 _PARITIES = 1024
 _PER_TASK = 500  # sets compared with one copy of a centre
 _MOST_BITS = 29  # 64 MB
+_SENT = 8_000_000  # bytes of sets in one batch
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
@@ -101,7 +102,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         names = ["doc_id", "alt", "n", "node", "slice", "counts"]
         for b in batches:
             id_type, sizes, nodes = b.schema.field("doc_id").type, [], []
-            for t in b.column("text").to_pylist():
+            for t in each(b.column("text")):
                 found = shingles(t)
                 node = _name(found)
                 sizes.append(len(found))
@@ -151,7 +152,7 @@ def _prefix_rows(docs: DataFrame, cells: np.ndarray) -> DataFrame:
 
         for b in batches:
             rows, members, member_nodes, member_bits, held = [], [], [], [], 0
-            for t in b.column("text").to_pylist():
+            for t in each(b.column("text")):
                 found = shingles(t)
                 node = _name(found)
                 if node is None or node in nodes:
@@ -245,18 +246,24 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = _sift(texts, plan.select(F.xxhash64("__id", "__alt").alias("h")), F.xxhash64("doc_id", "alt"))
     texts = texts.join(plan, mine).select("text", "jobs")
 
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["centre", "part", "role", "node", "found"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                out = []
-                part = b.slice(lo, 500)
-                for t, jobs in zip(part.column("text").to_pylist(), part.column("jobs").to_pylist()):
-                    found = shingles(t)
-                    node, raw = _name(found), found.tobytes()
-                    out += [(g["centre"], g["part"], g["role"], node, raw) for j in jobs if j["node"] == node for g in j["goes"]]
-                kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                columns = zip(*out) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["centre", "part", "role", "node", "found"])
+            out, held = [], 0
+            for t, jobs in zip(each(b.column("text")), each(b.column("jobs"))):
+                found = shingles(t)
+                node, raw = _name(found), found.tobytes()
+                for g in (g for j in jobs if j["node"] == node for g in j["goes"]):
+                    out.append((g["centre"], g["part"], g["role"], node, raw))
+                    held += len(raw)
+                    if held > _SENT:
+                        yield sent(out)
+                        out, held = [], 0
+            if out:
+                yield sent(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = centre = None
@@ -296,7 +303,7 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
 
     members = written(kept.where("pos < 0").groupBy("gid", "n", "node").agg(F.first("bits").alias("bits")), "groups")
     heads = written(members.groupBy("gid", "n").agg(F.min("node").alias("head"), F.min_by("bits", "node").alias("bits")), "heads")
-    tokens = kept.where("pos >= 0").select("token", "part", "band", "gid", "n", "pos", "first", "first_near", "groups").distinct()
+    tokens = kept.where("pos >= 0").select("token", "part", "band", "gid", "n", "pos", "first", "first_near")
     # shingles dealt over parts have one leader for all of them, too
     parted = tokens.where("part >= 0")
     best = parted.groupBy("token", "band").agg(leader.alias("first"))

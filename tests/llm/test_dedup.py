@@ -217,3 +217,30 @@ def test_proximity(spark):
 def test_decontamination_plan_has_no_python(spark, docs, items):
     plan = decontaminate.find(docs, spark.createDataFrame(items, "item_id bigint, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_prefix_shingles_go_to_the_leaders_without_a_shuffle_of_their_own(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, name, *rest, **more):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name, *rest, **more)
+
+    written = jaccard.written
+    monkeypatch.setattr(jaccard, "written", noted)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, " ".join(["y", *words])), (4, " ".join(words)), (5, "another text of few words")]
+    got = jaccard.join(spark.createDataFrame(rows * 2, "doc_id long, text string")).distinct().collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    assert not [x for x in plans["leader-pairs"].splitlines() if "Aggregate" in x and "first_near" in x]
+
+
+def test_a_worker_keeps_little_between_tasks():
+    from paritylake.llm import common, hashing
+
+    def run(batches):
+        for b in batches:
+            yield hashing.prefixes(np.zeros(b, dtype=np.uint8))
+
+    assert [len(x) for x in common.freed(run)(iter([300_000]))] == [300_001]
+    assert all(p.base is None and len(p) <= 1 << 16 for p in hashing._powers.values())
