@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritylake.llm import decontaminate, jaccard, packing, quality, suffix_dedup
-from paritylake.llm.common import table, written
+from paritylake.llm.common import each, freed, table, written
 from paritylake.llm.queries import tokenizer_path
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,12 +38,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [t.decode("utf-8", "ignore") for t in b.column("kept").to_pylist()]
+            text = [t.decode("utf-8", "ignore") for t in each(b.column("kept"))]
             columns = {"text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())}
             yield pa.RecordBatch.from_arrays([columns[c] if c in columns else b.column(c) for c in DOC_COLUMNS], names=list(DOC_COLUMNS))
 
     types = dict(docs.select(*names).dtypes) | {"text": "string", "n_chars": "bigint"}
-    return kept.select("kept", *names).mapInArrow(decode, ", ".join(f"{c} {types[c]}" for c in DOC_COLUMNS))
+    return kept.select("kept", *names).mapInArrow(freed(decode), ", ".join(f"{c} {types[c]}" for c in DOC_COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens. Portions are small, as the workers have been through all other stages."""
-    return packing.pieces(docs, tokenizer_path(), portion=5_000_000)
+    return packing.pieces(docs, tokenizer_path(), portion=5_000_000, keep_tokenizer=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

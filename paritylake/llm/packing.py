@@ -216,12 +216,13 @@ def balance(sizes: list[int], window: int = WINDOW) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, tiers: tuple[int, ...] = TIERS,
-           portion: int = 12_000_000) -> DataFrame:
+           portion: int = 12_000_000, keep_tokenizer: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, step_id.
 
     Every task packs the rows of its own partition, in portions of about `portion` characters,
     so there is no shuffle and no key that could be hot. A sequence's id holds the
-    partition it was made in.
+    partition it was made in. A worker keeps the tokenizer for its next task; without `keep_tokenizer`
+    it is read again, where other work needs the memory between.
     """
     if window != tiers[0]:
         raise ValueError("the longest tier is the window")
@@ -249,6 +250,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDO
                     yield rows
         if held:
             yield out()[0]
+        if not keep_tokenizer:
+            _tokenizers.clear()
 
     return src.mapInArrow(freed(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
                                 "sequence_id bigint, offset bigint, step_id bigint")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE
+from .common import ASCII_SPACE, each, freed
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_CHARS = ASCII_SPACE + bytes(range(0x80, 0xC0))  # white space and the later bytes of a character
@@ -83,11 +83,11 @@ def with_measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = list(zip(*map(measure, b.column(text).to_pylist()))) or [()] * len(MEASURES)
+            got = list(zip(*map(measure, each(b.column(text))))) or [()] * len(MEASURES)
             arrays = [b.column(f.name) for f in out_schema] + [pa.array(g, pa.int64()) for g in got]
             yield pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in out_schema), *MEASURES])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(freed(run), schema)
 
 
 def failed_bits(rules: tuple[Rule, ...] = RULES) -> Column:
