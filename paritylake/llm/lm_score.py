@@ -18,7 +18,7 @@ one entry a block.
 
 Null or blank texts have no tokens and a null score. Rows may repeat: each counts and is
 scored. A row without an id is never labelled. Repeated labels of one id count once, the
-larger. A very long text is a block of its own, held whole with about 40 bytes a word. Columns other than id and
+larger. A very long text is a block of its own, held whole with about 160 bytes a word. Columns other than id and
 text are ignored, whatever their names. An empty table gives an empty one.
 """
 
@@ -36,6 +36,8 @@ from .common import freed, partitions, written
 from .hashing import mix, prefixes, span_hash
 
 BLOCK_BYTES = 12 << 20
+#: About so many tokens of a block are worked on at once.
+_PIECE = 1 << 17
 #: What stands before a document's first word, after its last, and for words outside the vocabulary.
 START, END, UNKNOWN = np.uint64(0x5EED0F7E87), np.uint64(0xE4DDEAD), np.uint64(0x0DDBA11)
 
@@ -122,28 +124,40 @@ class Block:
     def __init__(self, row: dict):
         self.rows = pa.ipc.open_stream(row["docs"]).read_all()
         self.words = _open_keys(pa.decompress(row["words"], decompressed_size=8 * row["n_words"], codec="zstd", asbytes=True), row["n_words"])
-        self.at = _open(row["tokens"], row["n_tokens"], np.uint32)[0].astype(np.int64)
+        self.at = _open(row["tokens"], row["n_tokens"], np.uint32)[0]
         self.size = self.rows.column("size").to_numpy()
         self.target = np.array(self.rows.column("target").to_pylist(), dtype=bool)
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
-
-    def counted(self, at: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(at, minlength=n), np.bincount(at[self.target[doc]], minlength=n)
-
-    def bigrams(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct bigrams, which of them each is, its document, whether it ends with a token) over
-        the vocabulary, the first with START and the last with END."""
-        word = np.where(known, self.words, UNKNOWN)[self.at]
-        some = np.flatnonzero(self.size)
-        ends = np.cumsum(self.size[some])
-        first = np.insert(word, ends - self.size[some], START)
-        second = np.insert(word, ends, END)
-        doc = np.repeat(some, self.size[some] + 1)
-        with np.errstate(over="ignore"):
-            pairs, pair_at = np.unique(mix(first * np.uint64(3) + mix(second)), return_inverse=True)
-        scored = np.ones(len(first), dtype=bool)
-        scored[ends + np.arange(len(ends))] = False
-        return pairs, pair_at, doc, scored
+        self.n_pairs = np.where(self.size > 0, self.size + 1, 0)
+
+    def counted(self, at: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(at, minlength=n), np.bincount(at[np.repeat(self.target, size)], minlength=n)
+
+    def pieces(self) -> Iterator[tuple[slice, slice, slice]]:
+        """Documents, tokens and bigrams of the block piece by piece; a document is never cut."""
+        ends, pair_ends = (np.concatenate([[0], np.cumsum(n)]) for n in (self.size, self.n_pairs))
+        lo = 0
+        while lo < len(self.size):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _PIECE, side="right")) - 1)
+            yield slice(lo, hi), slice(ends[lo], ends[hi]), slice(pair_ends[lo], pair_ends[hi])
+            lo = hi
+
+    def bigrams(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct bigrams, which of them each is) over the vocabulary, of each document the first
+        with START and the last with END."""
+        word, keys = np.where(known, self.words, UNKNOWN), np.empty(self.n_pairs.sum(), dtype=np.uint64)
+        for docs, tokens_, pairs in self.pieces():
+            mine, size = word[self.at[tokens_]], self.size[docs]
+            size = size[size > 0]
+            ends = np.cumsum(size)
+            with np.errstate(over="ignore"):
+                keys[pairs] = mix(np.insert(mine, ends - size, START) * np.uint64(3) + mix(np.insert(mine, ends, END)))
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        keys = keys[new]
+        pair_at = np.empty(len(order), dtype=np.uint32)
+        pair_at[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        return keys, pair_at
 
 
 def _own(at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -180,6 +194,11 @@ def _received(got: list[dict] | None, keys: np.ndarray, n_parts: int) -> np.ndar
     return out
 
 
+def each_row(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one by one, so that only one of a batch is a Python object at a time."""
+    return (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows))
+
+
 _ANSWER = pa.schema([*_SENT, *((c, pa.int64()) for c in "vxy")])
 
 
@@ -200,7 +219,7 @@ def _answers(sent: DataFrame, min_count: int = 0) -> DataFrame:
 
         held: list[dict] = []
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 if held and held[-1]["part"] != row["part"]:
                     yield answer(held)
                     held = []
@@ -222,12 +241,39 @@ def _over_blocks(blocks: DataFrame, made, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                yield made(b.slice(i, 1).to_pylist()[0])
+            yield from map(made, each_row(b))
 
     return blocks.mapInArrow(freed(run), schema)
 
 
+def _losses(block: Block, known: np.ndarray, count: np.ndarray, pair_at: np.ndarray, pair_count: np.ndarray, n_docs: list[int], n_all: list[int],
+            vocabulary: int, mix_in: float) -> np.ndarray:
+    """Mean cost of each document's tokens in the background and the target model; `count` has the
+    vocabulary's words, the unknown one last. The arrays for each token are made piece by piece."""
+    place_of = np.where(known, np.arange(len(known)), len(known))
+    out = np.empty((2, len(block.size)))
+    for docs, tokens_, pairs in block.pieces():
+        size, n_pairs, target = block.size[docs], block.n_pairs[docs], block.target[docs]
+        doc, place, pair = np.repeat(np.arange(len(size)), size), place_of[block.at[tokens_]], pair_at[pairs].astype(np.int64)
+        scored = np.ones(len(pair), dtype=bool)
+        scored[np.cumsum(n_pairs)[size > 0] - 1] = False
+        own_pair = _own(pair, np.repeat(np.arange(len(size)), n_pairs), pair_count.shape[1])[scored]
+        pair = pair[scored]
+        own = _own(place, doc, count.shape[1])
+        first = np.zeros(len(place), dtype=bool)
+        first[(np.cumsum(size) - size)[size > 0]] = True
+        for m in (0, 1):
+            mine = np.ones(len(size), dtype=bool) if m == 0 else target
+            less = mine[doc]
+            single = count[m][place] - own * less
+            share = (single + 1) / (n_all[m] - (size * mine)[doc] + vocabulary + 1)
+            before = np.where(first, n_docs[m] - less, np.roll(single, 1))
+            after = (pair_count[m][pair] - own_pair * less) / np.maximum(before, 1)
+            cost = -np.log(np.where(before > 0, mix_in * after + (1 - mix_in) * share, share))
+            out[m, docs] = np.bincount(doc, weights=cost, minlength=len(size)) / np.maximum(size, 1)
+    return out
+
+
 _SENT_SQL = "part int, block_id bigint, n int, body binary"
 
 
@@ -241,7 +287,7 @@ def score(docs: DataFrame, labels: DataFrame, min_count: int = 2, mix_in: float
 
     def send_words(row: dict) -> pa.RecordBatch:
         block = Block(row)
-        return _send(row["block_id"], block.words, block.counted(block.at, block.doc, len(block.words)), n_parts)
+        return _send(row["block_id"], block.words, block.counted(block.at, block.size, len(block.words)), n_parts)
 
     def sizes(row: dict) -> pa.RecordBatch:
         block = Block(row)
@@ -261,35 +307,19 @@ def score(docs: DataFrame, labels: DataFrame, min_count: int = 2, mix_in: float
 
     def send_pairs(row: dict) -> pa.RecordBatch:
         block = Block(row)
-        pairs, at, doc, _ = block.bigrams(known_words(block, row)[1])
-        return _send(row["block_id"], pairs, block.counted(at, doc, len(pairs)), n_parts)
+        pairs, at = block.bigrams(known_words(block, row)[1])
+        return _send(row["block_id"], pairs, block.counted(at, block.n_pairs, len(pairs)), n_parts)
 
     asked = seen.join(_by_block(_answers(_over_blocks(seen, send_pairs, _SENT_SQL)), "of_pairs"), "block_id", "left")
 
     def losses(row: dict) -> pa.RecordBatch:
         block = Block(row)
         count, known = known_words(block, row)
-        pairs, pair_at, pair_doc, scored = block.bigrams(known)
-        pair_count = _received(row["of_pairs"], pairs, n_parts)[:, pair_at]
-        own_pair = _own(pair_at, pair_doc, len(pairs))[scored]
-        pair_count = pair_count[:, scored]
-        # the vocabulary's words, the unknown one last
-        place = np.where(known, np.arange(len(known)), len(known))[block.at]
-        own = _own(place, block.doc, len(known) + 1)
-        all_counts = np.concatenate([np.where(known, count, 0), np.array(unknown)[:, None]], axis=1)[:, place]
-        begins = np.cumsum(block.size) - block.size
-        first = np.zeros(len(place), dtype=bool)
-        first[begins[block.size > 0]] = True
-        out = []
-        for m in (0, 1):
-            mine = np.ones(len(block.size), dtype=bool) if m == 0 else block.target
-            less = mine[block.doc]
-            single = all_counts[m] - own * less
-            share = (single + 1) / (n_all[m] - (block.size * mine)[block.doc] + vocabulary + 1)
-            before = np.where(first, n_docs[m] - less, np.roll(single, 1))
-            after = (pair_count[m] - own_pair * less) / np.maximum(before, 1)
-            cost = -np.log(np.where(before > 0, mix_in * after + (1 - mix_in) * share, share))
-            out.append(np.bincount(block.doc, weights=cost, minlength=len(block.size)) / np.maximum(block.size, 1))
+        pairs, pair_at = block.bigrams(known)
+        pair_count = _received(row["of_pairs"], pairs, n_parts)
+        del row["of_words"], row["of_pairs"]
+        count = np.concatenate([np.where(known, count, 0), np.array(unknown)[:, None]], axis=1)
+        out = _losses(block, known, count, pair_at, pair_count, n_docs, n_all, vocabulary, mix_in)
         none = block.size == 0
         return pa.RecordBatch.from_arrays([block.rows.column("doc_id").combine_chunks(), pa.array(block.size), pa.array(out[1], mask=none), pa.array(out[0], mask=none),
                                            pa.array(out[1] - out[0], mask=none)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])

@@ -4,9 +4,12 @@ import hashlib
 import html
 import io
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +310,51 @@ def test_losses_equal_plain_counting(docs, no_docs, spark, monkeypatch, block_by
     assert lm_score.score(no_docs, labels).count() == 0
 
 
+def block_of(sizes, n_words, seed=5):
+    """A block of random tokens over so many words; the vocabulary knows every second one."""
+    rng = np.random.default_rng(seed)
+    rows = pa.table({"doc_id": pa.array(range(len(sizes)), pa.int64()), "target": pa.array([i % 3 == 0 for i in range(len(sizes))]), "size": pa.array(sizes, pa.int64())})
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_table(rows)
+    words = np.sort(rng.integers(1, 2**63, n_words, dtype=np.uint64))
+    row = {"docs": sink.getvalue(), "n_words": n_words, "words": pa.compress(lm_score._pack_keys(words), codec="zstd", asbytes=True),
+           "n_tokens": sum(sizes), "tokens": lm_score._pack(rng.integers(0, n_words, sum(sizes)).astype(np.uint32))}
+    return lm_score.Block(row), np.arange(n_words) % 2 == 0
+
+
+def traced(run):
+    """Result of a call, and the bytes it needed at its peak."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def losses_of(block, known, pairs):
+    count = np.array([np.bincount(block.at, minlength=len(known)), np.bincount(block.at, minlength=len(known))])
+    count = np.concatenate([np.where(known, count, 0), np.full((2, 1), 10**6)], axis=1)
+    return lm_score._losses(block, known, count, pairs[1], np.full((2, len(pairs[0])), 1000), [10**6, 10**6], [10**8, 10**8], 500, 0.5)
+
+
+def test_a_block_of_tokens_needs_little_memory():
+    block, known = block_of([200] * 3000, 20_000)
+    pairs, most = traced(lambda: block.bigrams(known))
+    assert most < 60 * 600_000
+    assert traced(lambda: losses_of(block, known, pairs))[1] < 60 * 600_000
+
+
+def test_pieces_of_a_block_change_nothing(monkeypatch):
+    block, known = block_of([0, 3, 1, 0, 0, 40, 2, 7, 0], 20)
+    whole = block.bigrams(known)
+    want = losses_of(block, known, whole)
+    monkeypatch.setattr(lm_score, "_PIECE", 4)
+    assert len(list(block.pieces())) > 3
+    cut = block.bigrams(known)
+    assert all((a == b).all() for a, b in zip(whole, cut)) and (losses_of(block, known, cut) == want).all()
+
+
 # -- archives ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("zip64", [False, True])
