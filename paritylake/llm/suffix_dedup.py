@@ -369,11 +369,12 @@ def common_extension(p: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) ->
         lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
 
 
-def _before(data: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the suffix at i sorts before that at j, over LENGTH bytes."""
+def _compared(data: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as the suffix at i sorts before, like or after that at j, over LENGTH bytes."""
     ext = common_extension(p, i, j, LENGTH)
     step = np.minimum(ext, LENGTH - 1)
-    return (ext < LENGTH) & (data[i + step] < data[j + step])
+    a, b = data[i + step], data[j + step]
+    return np.where(ext < LENGTH, (a > b).astype(np.int8) - (a < b).astype(np.int8), 0).astype(np.int8)
 
 
 def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
@@ -381,12 +382,15 @@ def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, p: np
 
     Groups stand together in the input. A bottom-up mergesort: at each width, all pairs of
     runs of all groups are merged at once, each element finding its rank in the other run by
-    binary search.
+    binary search. The common extension is searched for only where the hashes of all LENGTH
+    bytes differ and the first eight bytes agree.
     """
     p = prefixes(data) if p is None else p
     order = np.arange(len(suffix))
     if not len(suffix):
         return order
+    head = np.ascontiguousarray(data[suffix[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
+    whole = span_hash(p, suffix, suffix + LENGTH)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(suffix)))
     base, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
@@ -400,17 +404,20 @@ def sort_suffixes(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, p: np
         other = b + np.minimum((run ^ 1) * width, n)
         other_end = b + np.minimum(((run ^ 1) + 1) * width, n)
         lo, hi = other.copy(), other_end.copy()
-        me = suffix[order[live]]
-        while True:
-            act = np.flatnonzero(lo < hi)
-            if not len(act):
-                break
-            mid = (lo[act] + hi[act]) // 2
-            them = suffix[order[mid]]
+        at, heads, wholes = suffix[order], head[order], whole[order]
+        act = np.flatnonzero(lo < hi)
+        while len(act):
+            mid, me = (lo[act] + hi[act]) // 2, live[act]
+            mine, them = heads[me], heads[mid]
+            unlike = wholes[me] != wholes[mid]
+            sign = np.where(mine < them, np.int8(-1), np.int8(1)) * unlike
+            tied = np.flatnonzero(unlike & (mine == them))
+            sign[tied] = _compared(data, p, at[me[tied]], at[mid[tied]])
             # equal suffixes keep their order: those of the left run come first
-            mine = np.where(left[act], ~_before(data, p, them, me[act]), _before(data, p, me[act], them))
-            hi[act] = np.where(mine, mid, hi[act])
-            lo[act] = np.where(mine, lo[act], mid + 1)
+            before = np.where(left[act], sign <= 0, sign < 0)
+            hi[act] = np.where(before, mid, hi[act])
+            lo[act] = np.where(before, lo[act], mid + 1)
+            act = act[lo[act] < hi[act]]
         pair = b + (run // 2) * 2 * width
         place = pair + (local % width) + (lo - other)
         fresh = order.copy()

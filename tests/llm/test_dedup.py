@@ -146,6 +146,23 @@ def test_mergesort_orders_suffixes_by_bytes():
     assert [key(i) for i in got] == sorted(key(i) for i in range(340))
 
 
+def test_mergesort_hashes_few_spans(monkeypatch):
+    """Most comparisons are decided by whole hashes and first bytes, without a search for the common extension."""
+    rng = np.random.default_rng(4)
+    strings = rng.integers(0, 256, (40, 50)).astype(np.uint8)
+    data, hashed = strings[rng.integers(0, 40, 2000)].ravel(), [0]
+    plain = suffix_dedup.span_hash
+
+    def counting(p, i, j):
+        hashed[0] += len(i)
+        return plain(p, i, j)
+
+    monkeypatch.setattr(suffix_dedup, "span_hash", counting)
+    got = suffix_dedup.sort_suffixes(data, np.arange(0, len(data), 50), np.zeros(2000, dtype=np.int64))
+    in_order = [data[50 * i : 50 * i + 50].tobytes() for i in got]
+    assert in_order == sorted(in_order) and hashed[0] < 20 * 2000
+
+
 def test_a_hash_collision_is_seen(monkeypatch):
     """With hashes that call everything equal, the bytes still decide."""
     monkeypatch.setattr(suffix_dedup, "span_hash", lambda p, i, j: np.zeros(len(i), dtype=np.uint64))
