@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritylake.llm import decontaminate, jaccard, packing, quality, suffix_dedup
-from paritylake.llm.common import each, freed, table, written
+from paritylake.llm.common import each, freed, gathered, table, written
 from paritylake.llm.queries import tokenizer_path
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,9 +24,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each component of similar documents: that with the smallest id. Rows
     that are equal in every column count as one document; rows without an id stay."""
     found = jaccard.join(docs).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__first")).where("__id <> __first").distinct()
-    drop = written(found.select("__id"), "near-duplicates")
+    drop = written(gathered(found.select("__id")), "near-duplicates")
     kept = docs.join(drop, F.col("doc_id") == F.col("__id"), "left_anti").select(*DOC_COLUMNS)
-    twice = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    twice = written(gathered(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")), "repeated-ids")
     return kept.join(twice, "doc_id", "left_anti").select(*DOC_COLUMNS).union(kept.join(twice, "doc_id", "left_semi").dropDuplicates().select(*DOC_COLUMNS))
 
 

@@ -47,6 +47,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A table of narrow rows that an aggregate or distinct ends, in an eighth of the shuffle partitions, but 8 at least.
+    A partition as large as texts need holds few such rows, and written each takes a file, for which Hadoop without its
+    native library starts several processes. Not for what a join ends: its hot keys stay dealt out."""
+    return df.coalesce(max(8, partitions(df.sparkSession) // 8))
+
+
 def distinct_words(data: np.ndarray, inside: np.ndarray, first: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The distinct words of some text bytes, and which of them each word is. `inside` marks the bytes of
     words, `first` the first byte of each; a word's bytes follow each other."""

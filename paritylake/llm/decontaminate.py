@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, written
+from .common import ascii_lower, gathered, written
 
 WINDOW = 10
 #: What separates words once A-Z is lower-cased.
@@ -80,11 +80,11 @@ def _aligned(postings: DataFrame, pairs: DataFrame) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row of docs with n_words, n_hit (words inside an occurring window), n_items and
     item_ids (sorted ids of items with an occurring window)."""
-    items = written(items_table(benchmark), "benchmark-items")
-    terms = written(items.select(F.explode("item_words").alias("term")).distinct(), "benchmark-terms")
+    items = written(gathered(items_table(benchmark)), "benchmark-items")
+    terms = written(gathered(items.select(F.explode("item_words").alias("term")).distinct()), "benchmark-terms")
     postings = build_index(docs, terms)
     counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
-    pairs = written(_window_terms(items, counts), "window-terms")
+    pairs = written(gathered(_window_terms(items, counts)), "window-terms")
     aligned = _aligned(postings, pairs).join(items, "item").select("doc_id", F.struct("item_id", "item_words", "diag").alias("c"))
     by_doc = written(aligned.groupBy("doc_id").agg(F.collect_list("c").alias("cands")), "alignments")
 
@@ -121,10 +121,10 @@ def _covered(h: Column) -> Column:
 def near(docs: DataFrame, benchmark: DataFrame, distance: int = 5) -> DataFrame:
     """(doc_id, item_id) where the two rarest terms of a window stand at most `distance`
     words away from where the window has them."""
-    items = written(items_table(benchmark), "benchmark-items")
-    terms = written(items.select(F.explode("item_words").alias("term")).distinct(), "benchmark-terms")
+    items = written(gathered(items_table(benchmark)), "benchmark-items")
+    terms = written(gathered(items.select(F.explode("item_words").alias("term")).distinct()), "benchmark-terms")
     postings = build_index(docs, terms)
-    pairs = written(_window_terms(items, postings.groupBy("term").agg(F.count(F.lit(1)).alias("count"))), "window-terms")
+    pairs = written(gathered(_window_terms(items, postings.groupBy("term").agg(F.count(F.lit(1)).alias("count")))), "window-terms")
     first = postings.join(pairs.withColumnRenamed("term_a", "term"), "term").select(
         "doc_id", "item", "term_b", F.explode(F.sequence(F.col("pos") - F.col("qa") + F.col("qb") - distance, F.col("pos") - F.col("qa") + F.col("qb") + distance)).alias("pos_b"))
     b = postings.select(F.col("doc_id").alias("doc_b"), F.col("term").alias("t_b"), F.col("pos").alias("p_b"))

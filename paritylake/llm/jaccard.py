@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import each, freed, partitions, written
+from .common import each, freed, gathered, partitions, written
 from .graph import components
 from .hashing import mix, prefixes, span_hash
 
@@ -232,14 +232,14 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     most = F.lit(partitions(docs.sparkSession))
     copies = F.least(F.ceil(F.count(F.lit(1)) / _PER_TASK), most).cast("int").alias("k")
-    spread = written(pairs.groupBy("v").agg(copies), "centres")
+    spread = written(gathered(pairs.groupBy("v").agg(copies)), "centres")
     goes = pairs.join(spread, "v").select(F.col("u").alias("node"), F.struct(F.col("v").alias("centre"), F.pmod(F.hash("u"), F.col("k")).alias("part"), F.lit(1).alias("role")).alias("go"))
     stays = spread.select(F.col("v").alias("node"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("v").alias("centre")).select(
         "node", F.struct("centre", "part", F.lit(0).alias("role")).alias("go"))
     sent = goes.union(stays).groupBy("node").agg(F.collect_list("go").alias("goes"))
     owners = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("__id"), F.min("alt").alias("__alt"))
     owners = owners.withColumn("__alt", F.when(F.col("__id").isNull(), F.col("__alt")))
-    plan = written(sent.join(owners, "node").select("__id", "__alt", F.struct("node", "goes").alias("job")).groupBy("__id", "__alt").agg(F.collect_list("job").alias("jobs")), "verify-plan")
+    plan = written(gathered(sent.join(owners, "node").select("__id", "__alt", F.struct("node", "goes").alias("job")).groupBy("__id", "__alt").agg(F.collect_list("job").alias("jobs"))), "verify-plan")
     texts = docs.select("doc_id", _alt(), F.col("text").cast("string").alias("text"))
     mine = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("alt").eqNullSafe(F.col("__alt"))
     # only rows whose id is in the plan, and few others, are shuffled
@@ -283,7 +283,7 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     moved = texts.mapInArrow(freed(send), "centre binary, part int, role int, node binary, found binary")
     dealt = moved.repartition(partitions(docs.sparkSession), "centre", "part").sortWithinPartitions("centre", "part", "role")
-    return written(dealt.mapInArrow(freed(compare), "u binary, v binary, linked boolean").distinct(), "verified")
+    return written(gathered(dealt.mapInArrow(freed(compare), "u binary, v binary, linked boolean").distinct()), "verified")
 
 
 def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
@@ -301,14 +301,14 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
     })
     kept = written(marked.where("(pos < 0 AND lag IS NULL) OR (pos >= 0 AND (part >= 0 OR lead IS NOT NULL OR lag IS NOT NULL))").drop("lead", "lag"), "prefix-index")
 
-    members = written(kept.where("pos < 0").groupBy("gid", "n", "node").agg(F.first("bits").alias("bits")), "groups")
-    heads = written(members.groupBy("gid", "n").agg(F.min("node").alias("head"), F.min_by("bits", "node").alias("bits")), "heads")
+    members = written(gathered(kept.where("pos < 0").groupBy("gid", "n", "node").agg(F.first("bits").alias("bits"))), "groups")
+    heads = written(gathered(members.groupBy("gid", "n").agg(F.min("node").alias("head"), F.min_by("bits", "node").alias("bits"))), "heads")
     tokens = kept.where("pos >= 0").select("token", "part", "band", "gid", "n", "pos", "first", "first_near")
     # shingles dealt over parts have one leader for all of them, too
     parted = tokens.where("part >= 0")
     best = parted.groupBy("token", "band").agg(leader.alias("first"))
     around = best.select("token", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "first").groupBy("token", "band").agg(F.min("first").alias("first"))
-    over_parts = written(best.union(around).distinct(), "leaders")
+    over_parts = written(gathered(best.union(around).distinct()), "leaders")
     led = tokens.select("gid", "n", "pos", F.explode(F.array("first", "first_near")).alias("first")).union(
         parted.select("token", "band", "gid", "n", "pos").join(over_parts, ["token", "band"]).select("gid", "n", "pos", "first"))
 
@@ -320,10 +320,10 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
     ends = grouped.join(heads.select("gid", "n", of_head.alias("a")), ["gid", "n"]).join(
         heads.select(F.col("gid").alias("gid2"), F.col("n").alias("n2"), of_head.alias("b")), ["gid2", "n2"])
     ends = ends.where((F.col("a.node") != F.col("b.node")) & _may_link("a", "b"))
-    between = written(ends.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), _unlike("a", "b").alias("cells")).distinct(), "leader-pairs")
+    between = written(gathered(ends.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), _unlike("a", "b").alias("cells")).distinct()), "leader-pairs")
     # of a group's leaders the one that looks nearest first; most others are then in its component
     nearest = between.groupBy("u").agg(F.min(F.struct("cells", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-    first = written(own.union(nearest).distinct(), "pairs")
+    first = written(gathered(own.union(nearest).distinct()), "pairs")
     tested = verify(docs, sets, first)
     linked = tested.where("linked").select("u", "v")
 
@@ -331,7 +331,7 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
     roots = components(linked)
     placed = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("__"), "placed")
     mixed = placed.groupBy("gid", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid", "n")
-    same = placed.join(written(mixed, "mixed-groups"), ["gid", "n"])
+    same = placed.join(written(gathered(mixed), "mixed-groups"), ["gid", "n"])
     apart = F.col("a.root") < F.col("b.root")
     inner = same.alias("a").join(same.alias("b"), (F.col("a.gid") == F.col("b.gid")) & (F.col("a.n") == F.col("b.n")) & apart & _may_link("a", "b"))
     inner = inner.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
@@ -344,11 +344,11 @@ def links(docs: DataFrame, sets: DataFrame, cells: np.ndarray) -> DataFrame:
     # of two groups one is the leader, so the pair of their heads is among the leader pairs: there is no other if both are single sets
     index = kept.where("pos >= 0").select("token", "part", "gid", "n", "pos", "groups")
     two = index.where("part < 0 AND groups <= 2")
-    many = written(members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("gid", "n"), "groups-of-many")
-    untested = written(two.join(many, ["gid", "n"]).select("token").distinct(), "untested-tokens")
+    many = written(gathered(members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("gid", "n")), "groups-of-many")
+    untested = written(gathered(two.join(many, ["gid", "n"]).select("token").distinct()), "untested-tokens")
     more = index.where("part >= 0 OR groups > 2").union(two.join(untested, "token", "left_semi").select(*index.columns))
     seen = written(more.select("token", "gid", "n", "pos").distinct().join(where, ["gid", "n"]), "token-roots")
-    several = written(seen.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "mixed-tokens")
+    several = written(gathered(seen.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")), "mixed-tokens")
     # the sets of different components that share a shingle meet with their parities, and few pass
     left = seen.join(several, "token").join(placed.select("gid", "n", "root", "node", "bits"), ["gid", "n", "root"])
     left = written(left.select("token", "n", "pos", "root", "node", "bits"), "token-sets")
@@ -369,7 +369,7 @@ def join(docs: DataFrame) -> DataFrame:
     roots = components(links(docs, sets, cells))
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     placed = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
-    lowest = written(placed.groupBy("root").agg(F.min("low").alias("component")), "lowest")
+    lowest = written(gathered(placed.groupBy("root").agg(F.min("low").alias("component"))), "lowest")
     # written, so that the join below sees two scans and may split a set with very many rows
     named = written(placed.join(lowest, "root").select("node", "component"), "components")
     out = sets.join(named, "node", "left")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, partitions, written
+from .common import freed, gathered, partitions, written
 from .hashing import mix, prefixes, span_hash, window_hash
 
 LENGTH, K, _T = 50, 28, 5
@@ -488,7 +488,7 @@ def _suffix_spans(settled: DataFrame, split_above: int, portion: int = 30_000) -
     single = marked.where("big").select("doc_key", "row_key", "start", "stretch", places)
     single = single.select(F.substring("stretch", F.col("at") + 1, F.lit(LENGTH)).alias("string"), "doc_key", "row_key", (F.col("start") + F.col("at")).alias("start"))
     # strings of a split key: the least id of each is enough, so a common one cannot fill a task either
-    least = written(single.groupBy("string").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where("least < most"), "split-strings")
+    least = written(gathered(single.groupBy("string").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most")).where("least < most")), "split-strings")
     from_split = single.join(least, "string").where("doc_key > least").select("row_key", "start", (F.col("start") + LENGTH).alias("end"))
 
     def found(rows: pa.Table) -> pa.RecordBatch:
@@ -536,7 +536,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_kept: b
     settled = _settle(blocks, answers, hot, n_parts, src.schema, text, key, with_kept)
     kept = [c for c in names if c != text] + [n for n, _ in _DIGEST]
     spans = _suffix_spans(settled, split_above)
-    by_row = written(spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("found")), "suffix-spans")
+    by_row = written(gathered(spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))), "suffix-spans")
     waiting = settled.where("kind = 1").select(*[f"`{c}`" for c in kept], "row_key", "spans").join(by_row, "row_key", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,6 +93,51 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, **{200 + i: 200 for i in range(7)}}
 
 
+def noting(monkeypatch, module, files):
+    """From now on `files` gets the number of files of every table that the module writes, by name."""
+    plain = module.written
+
+    def noted(df, name, *rest, **more):
+        out = plain(df, name, *rest, **more)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "written", noted)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    put = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    had = {k: spark.conf.get(k) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in had.items():
+        spark.conf.set(k, v)
+
+
+def test_components_stop_when_settled_and_take_few_files(spark, monkeypatch, many_partitions):
+    files = {}
+    noting(monkeypatch, graph, files)
+    stars = [(1000 * i, 1000 * i + j) for i in range(20) for j in range(1, 15)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(stars, "u int, v int")).collect()}
+    assert got == {n: n // 1000 * 1000 for e in stars for n in e}
+    assert files == {"edges": [8]}
+    graph.components(spark.createDataFrame(stars + [(1001, 2001)], "u int, v int"))
+    assert set(files) == {"edges", "low", "large", "small"} and max(map(max, files.values())) <= 8
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "u int, v int"), limit=1)
+
+
+def test_jaccard_writes_narrow_tables_to_few_files(spark, monkeypatch, vocabulary, many_partitions):
+    files = {}
+    noting(monkeypatch, jaccard, files)
+    rows = [(10 * i + j, " ".join([*vocabulary[i : i + 40], *["x"] * j])) for i in range(60) for j in range(3)]
+    jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    few = ("groups", "heads", "leader-pairs", "pairs", "centres", "verify-plan", "verified", "lowest")
+    assert {n: files[n] for n in few if max(files[n]) > 8} == {}
+
+
 # -- suffix dedup ------------------------------------------------------------------------
 
 def brute_removed(rows):
