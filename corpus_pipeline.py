@@ -37,7 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     names = [c for c in DOC_COLUMNS if c not in ("text", "n_chars")]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             text = [t.decode("utf-8", "ignore") for t in each(b.column("kept"))]
             columns = {"text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())}
             yield pa.RecordBatch.from_arrays([columns[c] if c in columns else b.column(c) for c in DOC_COLUMNS], names=list(DOC_COLUMNS))

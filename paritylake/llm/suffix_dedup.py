@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, gathered, partitions, written
+from .common import each, freed, gathered, partitions, written
 from .hashing import mix, prefixes, span_hash, window_hash
 
 LENGTH, K, _T = 50, 28, 5
 _W = LENGTH - K + 1  # anchors of a string start at one of so many places
-BLOCK_BYTES, _PIECE_BYTES, _BLOCK_ROWS = 16 << 20, 1 << 20, 1 << 18
+BLOCK_BYTES, _PIECE_BYTES, _BLOCK_ROWS = 8 << 20, 1 << 18, 1 << 18  # a piece takes some 100 bytes of arrays per byte
 _CELL_BITS, _SLICES = 20, 64
 _LAST = 2**63 - 1
 
@@ -84,51 +84,70 @@ def stretches(data: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, ...]:
     return begins, ends, mix(span_hash(p, a, a + K)), own, a - begins
 
 
+def _pieces(column: pa.ChunkedArray) -> Iterator[tuple[list[bytes], np.ndarray, tuple[np.ndarray, ...]]]:
+    """Texts as bytes, some `_PIECE_BYTES` of whole ones at once, with their lengths and stretches."""
+
+    def piece(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, tuple[np.ndarray, ...]]:
+        lengths = np.array([len(t) for t in texts])
+        return texts, lengths, stretches(np.frombuffer(b"".join(texts), dtype=np.uint8), np.repeat(np.cumsum(lengths), lengths))
+
+    held, size = [], 0
+    for t in each(column):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        if held and size + len(raw) > _PIECE_BYTES:
+            yield piece(held)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield piece(held)
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    """One array of several, which are let go."""
+    out = np.concatenate(parts) if parts else np.empty(0, dtype=kind)
+    parts.clear()
+    return out
+
+
 class Block:
     """Rows of one block: texts, ids (as sort keys) and stretches, the latter made in pieces."""
 
     def __init__(self, table: pa.Table, text: str = "text", key: str = "doc_id"):
         self.table = table
-        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column(text).to_pylist()]
         self.ids = np.array([_LAST if i is None else i for i in table.column(key).to_pylist()], dtype=np.int64)
+        self.texts: list[bytes] = []
         rows, starts, sizes, anchors, owns, mids = [], [], [], [], [], []
-        lo = 0
-        while lo < len(self.texts):
-            hi, size = lo, 0
-            while hi < len(self.texts) and (hi == lo or size + len(self.texts[hi]) <= _PIECE_BYTES):
-                size += len(self.texts[hi])
-                hi += 1
-            lengths = np.array([len(t) for t in self.texts[lo:hi]])
+        for texts, lengths, (b, e, anchor, own, mid) in _pieces(table.column(text)):
             ends = np.cumsum(lengths)
-            data = np.frombuffer(b"".join(self.texts[lo:hi]), dtype=np.uint8)
-            b, e, anchor, own, mid = stretches(data, np.repeat(ends, lengths))
             row = np.searchsorted(ends, b, side="right")
-            rows.append((row + lo).astype(np.int32))
+            rows.append((row + len(self.texts)).astype(np.int32))
             starts.append((b - (ends - lengths)[row]).astype(np.int64))
             sizes.append((e - b).astype(np.int16))
             anchors.append(anchor)
             owns.append(own)
             mids.append(mid.astype(np.int16))
-            lo = hi
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, dtype=kind)
-        self.row, self.start, self.size = join(rows, np.int32), join(starts, np.int64), join(sizes, np.int16)
-        self.anchor, self.own, self.mid = join(anchors, np.uint64), join(owns, np.uint64), join(mids, np.int16)
+            self.texts += texts
+        self.row, self.start, self.size = _joined(rows, np.int32), _joined(starts, np.int64), _joined(sizes, np.int16)
+        self.anchor, self.own, self.mid = _joined(anchors, np.uint64), _joined(owns, np.uint64), _joined(mids, np.int16)
 
     def entries(self, hot: np.ndarray, n_parts: int) -> tuple[np.ndarray, ...]:
         """Distinct stretches ordered by part, anchor, hash: part, anchor (high half), hash, least
         id, and for every stretch the number of its entry."""
-        high = (self.anchor >> np.uint64(32)).astype(np.uint32)
-        spread = hot[high >> np.uint32(32 - _CELL_BITS)]
-        part = (np.where(spread, self.own, self.anchor & np.uint64(0xFFFFFFFF)) % np.uint64(n_parts)).astype(np.int32)
-        order = np.lexsort((self.own, high, part))
-        p, h, s = part[order], high[order], self.own[order]
+        half = np.uint64(32)
+        place = self.anchor >> half  # becomes part, anchor (high half)
+        spread = hot[place >> np.uint64(32 - _CELL_BITS)]
+        place |= np.where(spread, self.own, self.anchor & np.uint64(0xFFFFFFFF)) % np.uint64(n_parts) << half
+        order = np.lexsort((self.own, place))
+        place, s = place[order], self.own[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (p[1:] != p[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        entry = np.empty(len(order), dtype=np.int64)
-        entry[order] = np.cumsum(new) - 1
+        new[1:] = (place[1:] != place[:-1]) | (s[1:] != s[:-1])
+        entry = np.empty(len(order), dtype=np.int32)
+        entry[order] = np.cumsum(new, dtype=np.int32) - 1
         at = np.flatnonzero(new)
-        low = np.minimum.reduceat(self.ids[self.row][order], at) if len(at) else np.empty(0, dtype=np.int64)
-        return p[at], h[at], s[at], low, entry
+        place, s = place[at], s[at]
+        low = np.minimum.reduceat(self.ids[self.row[order]], at) if len(at) else np.empty(0, dtype=np.int64)
+        return (place >> half).astype(np.int32), place.astype(np.uint32), s, low, entry
 
 
 def _blocks(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, np.ndarray]:
@@ -146,8 +165,8 @@ def _blocks(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, np.ndarray
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(table)
-            cells = (Block(table, text, key).anchor >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
-            np.add.at(counts, cells, 1)
+            for _, _, (_, _, anchor, _, _) in _pieces(table.column(text)):
+                np.add.at(counts, (anchor >> np.uint64(64 - _CELL_BITS)).astype(np.int64), 1)
             return pa.RecordBatch.from_pydict({"block_id": pa.array([(part << 24) + made], pa.int64()), "body": pa.array([sink.getvalue()], pa.binary()),
                                                "slice": pa.array([None], pa.int32()), "counts": pa.array([None], pa.binary())})
 
@@ -196,18 +215,21 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
 def _ask(blocks: DataFrame, hot, n_parts: int, text: str, key: str) -> DataFrame:
     """(part, block_id, size, blob): the entries of a block for one part."""
 
+    def of(block_id: int, body: pa.Buffer) -> pa.RecordBatch:  # a call a block, so that none of it stays while the next is made
+        p, h, s, low, _ = _load(body, text, key).entries(hot.value, n_parts)
+        cuts = np.append(np.flatnonzero(np.diff(p, prepend=-1)), len(p))
+        rows = {"part": [], "block_id": [], "size": [], "blob": []}
+        for lo, hi in zip(cuts, cuts[1:]):
+            rows["part"].append(int(p[lo]))
+            rows["block_id"].append(block_id)
+            rows["size"].append(int(hi - lo))
+            rows["blob"].append(_squeeze(np.diff(h[lo:hi], prepend=np.uint32(0)), s[lo:hi], low[lo:hi]))
+        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int32()), ("block_id", pa.int64()), ("size", pa.int32()), ("blob", pa.binary())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block_id, body in zip(b.column("block_id").to_pylist(), b.column("body")):
-                p, h, s, low, _ = _load(body.as_buffer(), text, key).entries(hot.value, n_parts)
-                cuts = np.append(np.flatnonzero(np.diff(p, prepend=-1)), len(p))
-                rows = {"part": [], "block_id": [], "size": [], "blob": []}
-                for lo, hi in zip(cuts, cuts[1:]):
-                    rows["part"].append(int(p[lo]))
-                    rows["block_id"].append(block_id)
-                    rows["size"].append(int(hi - lo))
-                    rows["blob"].append(_squeeze(np.diff(h[lo:hi], prepend=np.uint32(0)), s[lo:hi], low[lo:hi]))
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int32()), ("block_id", pa.int64()), ("size", pa.int32()), ("blob", pa.binary())]))
+                yield of(block_id, body.as_buffer())
 
     return blocks.mapInArrow(freed(run), "part int, block_id bigint, size int, blob binary")
 
@@ -298,21 +320,22 @@ def _settle(blocks: DataFrame, answers: DataFrame, hot, n_parts: int, schema, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block_id, body, bits in zip(b.column("block_id").to_pylist(), b.column("body"), b.column("bits").to_pylist()):
-                block = _load(body.as_buffer(), text, key)
-                p, h, s, low, entry = block.entries(hot.value, n_parts)
-                full, several = np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=bool)
-                at = np.searchsorted(p, np.arange(n_parts + 1))
-                for r in bits or []:
-                    got = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=2 * r["size"]).astype(bool)
-                    lo = at[r["part"]]
-                    full[lo : lo + r["size"]], several[lo : lo + r["size"]] = got[: r["size"]], got[r["size"] :]
-                ids = block.ids[block.row]
-                gone = full[entry] | (ids > low[entry])
-                asks = ~gone & several[entry]
-                yield from _rows(block, block_id, gone, asks)
-
-    def _rows(block: Block, block_id: int, gone: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for block_id, body, bits in zip(b.column("block_id").to_pylist(), b.column("body"), b.column("bits")):
+                yield from _rows(block_id, *_judged(body.as_buffer(), bits.as_py()))
+
+    def _judged(body: pa.Buffer, bits: list[dict] | None) -> tuple[Block, np.ndarray, np.ndarray]:
+        block = _load(body, text, key)
+        p, _, _, low, entry = block.entries(hot.value, n_parts)
+        full, several = np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=bool)
+        at = np.searchsorted(p, np.arange(n_parts + 1))
+        for r in bits or []:
+            got = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=2 * r["size"]).astype(bool)
+            lo = at[r["part"]]
+            full[lo : lo + r["size"]], several[lo : lo + r["size"]] = got[: r["size"]], got[r["size"] :]
+        gone = full[entry] | (block.ids[block.row] > low[entry])
+        return block, gone, ~gone & several[entry]
+
+    def _rows(block_id: int, block: Block, gone: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = len(block.texts)
         bounds = np.searchsorted(block.row, np.arange(n + 1))
         waits = np.zeros(n, dtype=bool)
@@ -540,7 +563,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_kept: b
     waiting = settled.where("kind = 1").select(*[f"`{c}`" for c in kept], "row_key", "spans").join(by_row, "row_key", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             out = []
             for body, raw, found in zip(*(b.column(c).to_pylist() for c in ("kept", "spans", "found"))):
                 spans = np.frombuffer(raw, np.int64).reshape(-1, 2)
@@ -548,7 +571,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_kept: b
                     spans = np.concatenate([spans, np.array([(f["start"], f["end"]) for f in found], dtype=np.int64)])
                 d = _digest(body, merge_spans(spans))
                 out.append(d if with_kept else (*d[:4], None))
-            columns = [b.column(c) for c in kept[: -len(_DIGEST)]] + [pa.array(c, k) for c, (_, k) in zip(zip(*out) if out else [()] * 5, _DIGEST)]
+            columns = [b.column(c) for c in kept[: -len(_DIGEST)]] + [pa.array(c, k) for c, (_, k) in zip(zip(*out), _DIGEST)]
             yield pa.RecordBatch.from_arrays(columns, names=kept)
 
     done = settled.where("kind = 0").select(*[f"`{c}`" for c in kept])

@@ -1,9 +1,13 @@
 """Jaccard join, suffix dedup and decontamination against brute force."""
 
 import hashlib
+import io
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +185,30 @@ def test_suffix_dedup_of_an_empty_table(no_docs):
     assert suffix_dedup.dedup(no_docs).count() == 0
 
 
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_of_texts_needs_little_memory():
+    """Some 13 bytes of arrays per byte and what one piece takes, and no block stays while the next is made."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 2000, dtype=np.uint8).tobytes().decode() for _ in range(2000)]
+    table = pa.table({"doc_id": pa.array(range(2000), pa.int64()), "text": texts})
+    assert peak_of(lambda: suffix_dedup.Block(table)) < 50e6
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    run = suffix_dedup._ask(SimpleNamespace(mapInArrow=lambda run, schema: run), SimpleNamespace(value=np.zeros(1 << 20, dtype=bool)), 8, "text", "doc_id")
+    batch = lambda n: pa.RecordBatch.from_pydict({"block_id": pa.array(range(n)), "body": pa.array([sink.getvalue()] * n)})
+    one, three = (peak_of(lambda: [None for _ in run(iter([batch(n)]))]) for n in (1, 3))
+    assert three < 1.1 * one
+
+
 def test_mergesort_orders_suffixes_by_bytes():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 400).astype(np.uint8)
